@@ -1,3 +1,4 @@
 """Import every module that registers queries."""
 
 from ledeframe.plans import slice  # noqa: F401
+from ledeframe.plans import q_rows  # noqa: F401
