@@ -16,31 +16,37 @@ from ledeframe.operators.order import with_row_index
 PAD_ID = 0
 OOV_ID = 1
 FIRST_WORD_ID = 2
-# Above this many entries the vocabulary is not attached as an in-plan map; the
-# encoder falls back to an exploded shuffle join.
-MAP_LOOKUP_LIMIT = 200_000
 
 
 def _tokens(df: DataFrame, text_col: str, tokens) -> Column:
     return tokens(text_col) if callable(tokens) else F.col(tokens)
 
 
+def by_document(df: DataFrame, id_col: str, num_partitions: int | None = None) -> DataFrame:
+    """Hash-partition rows by document id.  Vocabulary fitting and encoding of the
+    same input both start here, so Spark computes this exchange once and reuses it."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, F.col(id_col))
+
+
 def word_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokens=tokenizer_words) -> DataFrame:
     """Per word: occurrences ``n``, documents ``df`` and first appearance ``(first_doc, first_pos)``.
 
-    Exploding is local to each document's partition; the aggregation is
-    partial (map-side) before the shuffle, so a very frequent word costs one
-    row per map task, not one per occurrence.
+    Rows are clustered by document, so the (word, document) aggregation runs
+    inside each partition with no exchange; the word-level aggregation is
+    partial before its shuffle, so a very frequent word costs one row per map
+    task, not one per occurrence.
     """
-    exploded = df.select(
-        F.col(id_col).alias("_doc"), F.posexplode(_tokens(df, text_col, tokens)).alias("_pos", "word")
+    keyed = by_document(df, id_col)
+    exploded = keyed.select(
+        F.col(id_col).alias("_doc"), F.posexplode(_tokens(keyed, text_col, tokens)).alias("_pos", "word")
     )
-    return exploded.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("_doc").alias("df"),
-        F.min(F.struct("_doc", "_pos")).alias("_first"),
-    ).select(
-        "word", "n", "df", F.col("_first._doc").alias("first_doc"), F.col("_first._pos").alias("first_pos")
+    per_doc = exploded.groupBy("word", "_doc").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p"))
+    return per_doc.groupBy("word").agg(
+        F.sum("_n").alias("n"),
+        F.count(F.lit(1)).alias("df"),
+        F.min("_doc").alias("first_doc"),
+        F.min_by("_p", "_doc").alias("first_pos"),
     )
 
 
@@ -73,12 +79,6 @@ def vocab_size(df: DataFrame, text_col: str = "text", tokens=tokenizer_words) ->
     return words.agg(F.countDistinct("word").alias("vocab_size"))
 
 
-def vocab_map(vocab: DataFrame) -> Column:
-    """The (bounded) vocabulary as one map value, computed once as a scalar subquery."""
-    one = vocab.agg(F.map_from_entries(F.collect_list(F.struct("word", "id"))).alias("m"))
-    return one.scalar()
-
-
 def token_to_id(
     df: DataFrame,
     vocab: DataFrame,
@@ -87,32 +87,28 @@ def token_to_id(
     id_col: str = "doc_id",
     out: str = "ids",
     tokens=tokenizer_words,
-    strategy: str = "auto",
+    num_partitions: int | None = None,
 ) -> DataFrame:
     """Word -> id; unknown words and ids >= ``max_words`` -> 1.
 
-    ``strategy='map'`` (default while ``max_words`` <= MAP_LOOKUP_LIMIT): the
-    cut vocabulary - at most ``max_words`` entries by construction - is attached
-    as one map value and looked up inside each row; no shuffle of the corpus.
-    ``strategy='join'``: explode, shuffle join on word, regroup by document in
-    position order; used for vocabularies too large to ship with the plan.
+    Plan: the documents are hash-partitioned by ``id_col`` once; tokens are
+    exploded inside each partition and looked up with a broadcast hash join
+    against the cut vocabulary (at most ``max_words - 2`` rows by construction,
+    so the broadcast is bounded by a parameter, not by the data).  The ids are
+    regrouped by document in position order; because the exploded rows keep
+    the documents' partitioning, the regroup and the join back to the document
+    rows need no further exchange.
     """
-    cut = vocab.filter(F.col("id") < max_words).select("word", "id")
-    if strategy == "auto":
-        strategy = "map" if max_words <= MAP_LOOKUP_LIMIT else "join"
-    toks = _tokens(df, text_col, tokens)
-    if strategy == "map":
-        with_map = df.withColumn("_vmap", vocab_map(cut))
-        ids = F.transform(toks, lambda w: F.coalesce(F.try_element_at(F.col("_vmap"), w), F.lit(OOV_ID)))
-        return with_map.withColumn(out, ids).drop("_vmap")
-    exploded = df.select(F.col(id_col).alias("_doc"), F.posexplode(toks).alias("_pos", "word"))
-    looked = exploded.join(cut, "word", "left").select(
-        "_doc", F.struct("_pos", F.coalesce("id", F.lit(OOV_ID)).alias("id")).alias("_p")
+    cut = vocab.filter(F.col("id") < max_words).select("word", F.col("id").alias("_id"))
+    keyed = by_document(df, id_col, num_partitions)
+    exploded = keyed.select(F.col(id_col), F.posexplode(_tokens(keyed, text_col, tokens)).alias("_pos", "word"))
+    looked = exploded.join(F.broadcast(cut), "word", "left").select(
+        F.col(id_col), F.struct("_pos", F.coalesce("_id", F.lit(OOV_ID)).alias("id")).alias("_p")
     )
-    seqs = looked.groupBy("_doc").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
-    seqs = seqs.select(F.col("_doc").alias(id_col), F.col("_ps.id").alias(out))
+    seqs = looked.groupBy(id_col).agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
+    seqs = seqs.select(F.col(id_col), F.col("_ps.id").alias(out))
     # Documents without a single token still get an empty sequence.
-    return df.join(seqs, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    return keyed.join(seqs, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
 
 def longest_sequence(df: DataFrame, ids_col: str = "ids", cap: int = 128) -> DataFrame:
