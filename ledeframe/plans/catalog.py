@@ -117,7 +117,8 @@ def sql_encode(max_words: int) -> str:
     """CTE ``enc(doc, ids)`` over ``_tl`` / ``_toks`` / ``vocab`` (see ``sql_vocab``)."""
     return f"""
 _ids AS (SELECT t.doc, t.i, coalesce(v.id, 1) AS id FROM _toks t LEFT JOIN (SELECT word, id FROM vocab WHERE id < {max_words}) v ON t.w = v.word),
-enc AS (SELECT _tl.doc, coalesce((SELECT list(x.id ORDER BY x.i) FROM _ids x WHERE x.doc = _tl.doc), []::INTEGER[]) AS ids FROM _tl)
+_agg AS (SELECT doc, list(id ORDER BY i) AS ids FROM _ids GROUP BY doc),
+enc AS (SELECT _tl.doc, coalesce(_agg.ids, []::INTEGER[]) AS ids FROM _tl LEFT JOIN _agg ON _tl.doc = _agg.doc)
 """
 
 
