@@ -4,3 +4,4 @@ from ledeframe.plans import slice  # noqa: F401
 from ledeframe.plans import q_rows  # noqa: F401
 from ledeframe.plans import q_encode  # noqa: F401
 from ledeframe.plans import q_random  # noqa: F401
+from ledeframe.plans import q_metrics  # noqa: F401
