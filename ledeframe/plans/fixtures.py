@@ -61,11 +61,15 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epoch metrics: run = user, epochs numbered by (ts, event_id), val_loss = value."""
+    """Epoch metrics: run = user, epochs numbered by (ts, event_id), val_loss = value, f1 = props.k / 100."""
     from ledeframe.operators.runlog import epoch_axis
 
     ev = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("val_loss")
+        F.col("user_id").alias("run_id"),
+        "ts",
+        "event_id",
+        F.col("value").alias("val_loss"),
+        (F.get_json_object("props", "$.k").cast("double") / F.lit(100.0)).alias("f1"),
     )
     return epoch_axis(ev, "run_id", [F.col("ts"), F.col("event_id")], "epoch")
 
