@@ -176,7 +176,13 @@ def report_text(df: DataFrame, cols, digits: int = 4) -> DataFrame:
 
 
 def metric_callback(df: DataFrame, y_col: str = "y", pred_col: str = "pred") -> DataFrame:
-    """U4: the trainer's metric hook: accuracy and weighted P/R/F1 as one row."""
-    acc = accuracy(df, y_col, pred_col)
-    w = weighted_prf(df, y_col, pred_col)
-    return acc.crossJoin(w)  # one row x one row
+    """U4: the trainer's metric hook: accuracy and weighted P/R/F1 as one row
+    (accuracy equals the support-weighted recall, so one aggregation gives all four)."""
+    pc = per_class(df, y_col, pred_col)
+    s = F.sum("support").cast("double")
+    return pc.agg(
+        metric_or_zero(F.sum(F.col("recall") * F.col("support")), s).alias("accuracy"),
+        metric_or_zero(F.sum(F.col("precision") * F.col("support")), s).alias("precision"),
+        metric_or_zero(F.sum(F.col("recall") * F.col("support")), s).alias("recall"),
+        metric_or_zero(F.sum(F.col("f1") * F.col("support")), s).alias("f1"),
+    )

@@ -6,3 +6,4 @@ from ledeframe.plans import q_encode  # noqa: F401
 from ledeframe.plans import q_random  # noqa: F401
 from ledeframe.plans import q_metrics  # noqa: F401
 from ledeframe.plans import q_runlog  # noqa: F401
+from ledeframe.plans import q_vectors  # noqa: F401

@@ -83,3 +83,20 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("epoch").alias("seq"),
         F.create_map(key, F.col("val_loss"), F.lit("epoch"), F.col("epoch").cast("double")).alias("log"),
     )
+
+
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vectors: the vocabulary word whose id equals ``vec_id`` (id >= 2) gets that embedding."""
+    from ledeframe.operators.vocab import vocab_fit
+
+    vocab = vocab_fit(corpus(spark, sf_dir).select("doc_id", "text"), "text")
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vec"))
+    return vocab.join(emb, "id").select("word", "vec")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position sequences: seq = vec_id div 10, pos = vec_id mod 10."""
+    emb = table(spark, sf_dir, "embeddings")
+    return emb.select(
+        F.floor(F.col("vec_id") / 10).alias("seq"), (F.col("vec_id") % 10).cast("int").alias("pos"), F.col("embedding").alias("vec")
+    )
