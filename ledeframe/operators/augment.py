@@ -28,15 +28,17 @@ def delete_random_word(
     """with probability ``p``, and only for texts of more than ``min_words``
     words, delete one uniformly chosen word and rejoin with single spaces;
     otherwise keep the text unchanged.  ``apply_to`` restricts it (e.g. train rows)."""
-    words = split_words(text_col)
-    n = F.size(words)
+    # Words and the chosen index are staged as columns: a lambda that refers to
+    # an outer expression re-evaluates it for every element.
+    staged = df.withColumn("_ws", split_words(text_col))
+    n = F.size("_ws")
     coin = seeded_uniform(seed, id_col, "=coin")
-    k = F.floor(seeded_uniform(seed, id_col, "=pick") * n)
+    staged = staged.withColumn("_k", F.floor(seeded_uniform(seed, id_col, "=pick") * n).cast("int"))
     hit = (coin < F.lit(p)) & (n > F.lit(min_words))
     if apply_to is not None:
         hit = hit & apply_to
-    dropped = join_words(F.filter(words, lambda w, i: i != k))
-    return df.withColumn(out or text_col, F.when(hit, dropped).otherwise(F.col(text_col)))
+    dropped = join_words(F.filter("_ws", lambda w, i: i != F.col("_k")))
+    return staged.withColumn(out or text_col, F.when(hit, dropped).otherwise(F.col(text_col))).drop("_ws", "_k")
 
 
 def mask_random_tokens(

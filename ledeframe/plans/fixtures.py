@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledeframe.functions.mathfn import sigmoid
-from ledeframe.session import table
+from ledeframe.session import spread, table
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unlabelled texts: ``documents``."""
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled headlines: documents joined with labels; category from ``quality``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title")), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id").select(
         "doc_id",
@@ -32,7 +32,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headlines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; ``category`` is null where a document has no label (null rules)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), "lang"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id", "left").select(
         "doc_id",

@@ -24,7 +24,7 @@ DOCS_SQL = "SELECT doc_id, text FROM documents"
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.corpus(spark, sf_dir).select("doc_id", "text")
 
 
 def _encoded_docs(spark, sf_dir, max_words):

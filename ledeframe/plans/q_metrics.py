@@ -199,7 +199,7 @@ def q_align_predictions(spark, sf_dir):
     f"SELECT p.doc_id, md5(d.text) AS text_md5 FROM ({PREDICTIONS_SQL}) p JOIN documents d ON p.doc_id = d.doc_id WHERE p.y <> p.pred",
 )
 def q_error_text_lookup(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = X.corpus(spark, sf_dir).select("doc_id", "text")
     return M.error_text_lookup(X.predictions(spark, sf_dir), texts, "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
 
 

@@ -118,7 +118,7 @@ _DOC_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''
     SELECT doc_id, md5(array_to_string(ms, ' ')) AS tokens_md5, CAST(len(list_filter(ms, lambda t: t = '[MASK]')) AS BIGINT) AS n_masked FROM _m""",
 )
 def q_mask_random_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", split_words("text").alias("tokens"))
+    docs = X.corpus(spark, sf_dir).select("doc_id", split_words("text").alias("tokens"))
     m = AU.mask_random_tokens(docs, "tokens", "doc_id", epoch=1, seed=42)
     return m.select(
         "doc_id",

@@ -70,7 +70,7 @@ def q_columns_to_dataset(spark, sf_dir):
     "SELECT md5(d.text) AS text_md5 FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.quality <> l.toxic",
 )
 def q_error_sink_csv(spark, sf_dir):
-    errs = error_text_lookup(X.predictions(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    errs = error_text_lookup(X.predictions(spark, sf_dir), X.corpus(spark, sf_dir).select("doc_id", "text"), "doc_id")
     path = K.error_sink_csv(errs, scratch_path(spark, "errors-csv"))
     back = S.csv_scan(spark, path, "text string", na_values=False)
     return back.select(F.md5("text").alias("text_md5"))
@@ -135,7 +135,7 @@ def q_label_to_int(spark, sf_dir):
 )
 def q_strip_text(spark, sf_dir):
     t = TX.strip_text("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
+    return X.corpus(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
 
 
 @register(
@@ -144,7 +144,7 @@ def q_strip_text(spark, sf_dir):
 )
 def q_clean_alnum(spark, sf_dir):
     t = TX.clean_alnum("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
+    return X.corpus(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
 
 
 _CLEAN_HEADLINE_SQL = (
@@ -159,7 +159,7 @@ _CLEAN_HEADLINE_SQL = (
 )
 def q_clean_headline(spark, sf_dir):
     t = TX.clean_headline("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
+    return X.corpus(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
 
 
 @register(
@@ -168,7 +168,7 @@ def q_clean_headline(spark, sf_dir):
 )
 def q_tokenizer_normalize(spark, sf_dir):
     t = TX.tokenizer_words("text")
-    return table(spark, sf_dir, "documents").select("doc_id", i64(F.size(t)).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    return X.corpus(spark, sf_dir).select("doc_id", i64(F.size(t)).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 _SPLIT_SQL = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
@@ -180,13 +180,13 @@ _SPLIT_SQL = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''
 )
 def q_split_words(spark, sf_dir):
     t = TX.split_words("text")
-    return table(spark, sf_dir, "documents").select("doc_id", i64(F.size(t)).alias("n_words"), F.md5(F.array_join(t, "|")).alias("words_md5"))
+    return X.corpus(spark, sf_dir).select("doc_id", i64(F.size(t)).alias("n_words"), F.md5(F.array_join(t, "|")).alias("words_md5"))
 
 
 @register("join_words", f"SELECT doc_id, md5(array_to_string({_SPLIT_SQL}, ' ')) AS text_md5 FROM documents")
 def q_join_words(spark, sf_dir):
     t = TX.join_words(TX.split_words("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"))
+    return X.corpus(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"))
 
 
 # --- labels --------------------------------------------------------------------

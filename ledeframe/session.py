@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -75,3 +76,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when its scan has fewer partitions than the
+    cluster has cores (e.g. one large row group), so per-row text work runs in
+    parallel.  On a large input this is a no-op.  Spark drops a later
+    repartition on the same key, so document-keyed plans pay nothing extra."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    n = max(par, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, F.col(key))
