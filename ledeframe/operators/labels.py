@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledeframe.session import broadcast_if_small
+
 # The two-class headline mapping.
 HEADLINE_LABELS = {"non-political": 0, "political": 1}
 
@@ -21,8 +23,7 @@ def label_encode(df: DataFrame, col: str, out: str = "label") -> DataFrame:
 
     The class table has one row per class.
     """
-    classes = label_classes(df, col).withColumnRenamed("label", out)
-    # k rows; AQE turns this into a broadcast join once the class table is measured small.
+    classes = broadcast_if_small(label_classes(df, col).withColumnRenamed("label", out))
     return df.join(classes, col, "inner")
 
 

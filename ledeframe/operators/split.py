@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeframe.functions.rand import seeded_bits
+from ledeframe.session import broadcast_if_small
 
 
 def class_quotas(counts: DataFrame, label_col: str, val_share: float) -> DataFrame:
@@ -61,7 +62,9 @@ def _quota_split(
         .filter((F.col("_before") < F.col("_q")) & (F.col("_q") <= F.col("_incl")))
         .select(hist["_lab"], "_q", F.col("_b").alias("_bb"), F.col("_before").alias("_bbefore"))
     )
-    # bound has at most one row per class; AQE broadcasts it once measured small.
+    # One row per class: materialised, counted, broadcast when small (shuffle join beyond),
+    # so a class holding most rows is never funnelled into one join task.
+    bound = broadcast_if_small(bound)
     joined = keyed.join(bound, keyed[label_col].eqNullSafe(bound["_lab"]), "left").drop("_lab")
     on_edge = F.col("_bb").isNotNull() & (F.col("_b") == F.col("_bb"))
     away = joined.filter(~on_edge).withColumn(

@@ -89,3 +89,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
         return df
     n = max(par, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, F.col(key))
+
+
+# Row limit for broadcasting a side whose size is data-dependent (class tables,
+# per-class boundaries).  Such sides are materialised and counted first.
+BROADCAST_ROW_LIMIT = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, count it, and mark it for
+    broadcast only when it has at most ``limit_rows`` rows; otherwise return it
+    unmarked so the planner uses a shuffle join."""
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.count() <= limit_rows else small
