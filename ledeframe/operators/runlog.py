@@ -93,36 +93,49 @@ def plateau_lr(
 ) -> DataFrame:
     """Learning rate after each epoch under reduce-on-plateau.
 
-    Improvement means ``v < best - min_delta``; otherwise ``wait`` grows and at
-    ``patience`` the rate is multiplied by ``factor`` (not below ``min_lr``) and
-    ``wait`` restarts.  The state resets, so this is a fold over each run's
-    epochs in order (a run is one training job's epochs: bounded by its epoch
-    budget, hundreds of rows), done JVM-side with ``aggregate``.
+    Semantics: improvement means ``v < best - min_delta`` (then best = v,
+    wait = 0); otherwise ``wait`` grows, and when it reaches ``patience`` while
+    the rate is above ``min_lr`` the rate becomes ``max(lr * factor, min_lr)``
+    and ``wait`` restarts.  Epochs are numbered 1..n per run.
+
+    Plan (exact, no run gathered whole): ``best`` always stays within
+    ``min_delta`` of the running minimum, so only epochs that set a new running
+    minimum can improve.  Those records (about ln n of n noisy values) are folded
+    per run to pick the improvements; the rest is prefix scans: last
+    improvement, cut opportunities every ``patience`` epochs after it, their
+    running count ``c``, and ``lr = max(base * factor^c, min_lr)``.
     """
-    runs = df.groupBy(run_col).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(epoch_col).alias("e"), F.col(value_col).alias("v")))).alias("_xs")
-    )
-    init = F.struct(
-        F.lit(float("inf")).alias("best"),
-        F.lit(0).alias("wait"),
-        F.lit(float(base_lr)).alias("lr"),
-        F.array().cast("array<struct<epoch:int,lr:double,cut:boolean>>").alias("out"),
-    )
+    rb = running_aggregate(df, run_col, [F.col(epoch_col)], [("_mb", value_col, "min", False)])
+    v, e = F.col(value_col), F.col(epoch_col)
+    records = rb.filter(F.col("_mb").isNull() | (v < F.col("_mb")))
+    per_run = records.groupBy(run_col).agg(F.sort_array(F.collect_list(F.struct(e.alias("e"), v.alias("v")))).alias("_xs"))
+    init = F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<int>").alias("imp"))
 
-    def step(s: Column, x: Column) -> Column:
+    def pick(s: Column, x: Column) -> Column:
         better = x["v"] < s["best"] - F.lit(float(min_delta))
-        wait1 = F.when(better, F.lit(0)).otherwise(s["wait"] + 1)
-        cut = (~better) & (wait1 >= F.lit(patience)) & (s["lr"] > F.lit(float(min_lr)))
-        new_lr = F.when(cut, F.greatest(s["lr"] * F.lit(float(factor)), F.lit(float(min_lr)))).otherwise(s["lr"])
         return F.struct(
             F.when(better, x["v"]).otherwise(s["best"]).alias("best"),
-            F.when(cut, F.lit(0)).otherwise(wait1).alias("wait"),
-            new_lr.alias("lr"),
-            F.concat(s["out"], F.array(F.struct(x["e"].cast("int").alias("epoch"), new_lr.alias("lr"), cut.alias("cut")))).alias("out"),
+            F.when(better, F.concat(s["imp"], F.array(x["e"].cast("int")))).otherwise(s["imp"]).alias("imp"),
         )
 
-    folded = runs.select(run_col, F.aggregate("_xs", init, step)["out"].alias("_out"))
-    return folded.select(run_col, F.inline("_out"))
+    imps = per_run.select(F.col(run_col).alias("_ir"), F.explode(F.aggregate("_xs", init, pick)["imp"]).alias("_ie"))
+    imps = imps.withColumn("_imp", F.lit(True))
+    flagged = rb.join(imps, (F.col(run_col) == F.col("_ir")) & (F.col(epoch_col) == F.col("_ie")), "left").drop("_ir", "_ie")
+    flagged = flagged.withColumn("_imp", F.coalesce(F.col("_imp"), F.lit(False)))
+    flagged = flagged.withColumn("_ie", F.when(F.col("_imp"), e))
+    li = running_aggregate(flagged, run_col, [e], [("_last", "_ie", "max", True)])
+    opp = (~F.col("_imp")) & (((e - F.col("_last")) % F.lit(patience)) == 0)
+    li = li.withColumn("_opp", opp.cast("int"))
+    cnt = running_aggregate(li, run_col, [e], [("_c", "_opp", "sum", True)])
+    base, fl = F.lit(float(base_lr)), F.lit(float(min_lr))
+    c = F.col("_c").cast("double")
+    if base_lr > min_lr:
+        lr = F.greatest(base * F.pow(F.lit(float(factor)), c), fl)
+        before = F.greatest(base * F.pow(F.lit(float(factor)), c - 1), fl)
+        cut = (F.col("_opp") == 1) & (before > fl)
+    else:
+        lr, cut = base, F.lit(False)
+    return cnt.select(run_col, e.cast("int").alias("epoch"), lr.alias("lr"), cut.alias("cut"))
 
 
 def warmup_schedule(steps_df: DataFrame, base_lr: float, warmup_share: float = 0.1, total_col: str = "total_steps") -> DataFrame:

@@ -257,3 +257,43 @@ def test_warmup_schedule_ends(spark):
     steps = spark.createDataFrame([(10,)], "total_steps long")
     lr = {r.step: r.lr for r in R.warmup_schedule(steps, base_lr=1.0).collect()}
     assert lr[0] == 0.0 and lr[1] == pytest.approx(1.0) and lr[10] == 0.0 and lr[5] == pytest.approx(5 / 9)
+
+
+def _simulate_plateau(vals, patience, base, factor, delta, min_lr):
+    best, wait, lr, out = float("inf"), 0, base, []
+    for v in vals:
+        cut = False
+        if v < best - delta:
+            best, wait = v, 0
+        else:
+            wait += 1
+            if wait >= patience and lr > min_lr:
+                lr, wait, cut = max(lr * factor, min_lr), 0, True
+        out.append((lr, cut))
+    return out
+
+
+def test_plateau_matches_state_machine(spark):
+    import random
+
+    rng = random.Random(5)
+    runs = {}
+    for r in range(12):
+        n = rng.randint(1, 60)
+        kind = r % 3
+        if kind == 0:  # noisy
+            vals = [round(rng.uniform(0, 1), 2) for _ in range(n)]
+        elif kind == 1:  # slowly creeping down, steps smaller than min_delta
+            vals = [1.0 - 3e-5 * i for i in range(n)]
+        else:  # decreasing with plateaus and ties
+            vals = [round(1.0 - 0.05 * (i // 4), 3) for i in range(n)]
+        runs[f"r{r}"] = vals
+    rows = [(k, i + 1, float(v)) for k, vs in runs.items() for i, v in enumerate(vs)]
+    log = spark.createDataFrame(rows, "run_id string, epoch int, val_loss double")
+    for patience, min_lr in ((1, 0.0), (2, 0.0), (3, 0.2)):
+        got = {(r.run_id, r.epoch): (r.lr, r.cut) for r in R.plateau_lr(log, patience=patience, base_lr=1.0, min_lr=min_lr).collect()}
+        for k, vs in runs.items():
+            want = _simulate_plateau(vs, patience, 1.0, 0.5, 1e-4, min_lr)
+            for i, (lr, cut) in enumerate(want):
+                assert got[(k, i + 1)][1] == cut, (k, i + 1, patience)
+                assert got[(k, i + 1)][0] == pytest.approx(lr), (k, i + 1, patience)
