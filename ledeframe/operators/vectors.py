@@ -86,12 +86,12 @@ def vector_sequences(df: DataFrame, matrix: DataFrame, id_col: str = "doc_id", i
 
 
 def _dim_sum(vecs: Column, weights: Column | None, dim: int) -> Column:
-    def comp(j):
-        if weights is None:
-            return F.aggregate(vecs, F.lit(0.0), lambda a, v: a + v[j])
-        return F.aggregate(F.arrays_zip(vecs.alias("v"), weights.alias("w")), F.lit(0.0), lambda a, p: a + p["v"][j] * p["w"])
-
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), comp)
+    """Sum over positions of (weight x vector), one pass with a dim-wide accumulator."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    if weights is None:
+        return F.aggregate(vecs, zero, lambda acc, v: F.zip_with(acc, v, lambda a, x: a + x))
+    pairs = F.arrays_zip(vecs.alias("v"), weights.alias("w"))
+    return F.aggregate(pairs, zero, lambda acc, p: F.zip_with(acc, p["v"], lambda a, x: a + x * p["w"]))
 
 
 def with_mean_pool(df: DataFrame, vecs_col: str, ids_col: str, dim: int, out: str = "pooled", include_pad: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledeframe.functions.text import tokenizer_words
 from ledeframe.operators.order import with_row_index
+from ledeframe.session import cut_lineage
 
 PAD_ID = 0
 OOV_ID = 1
@@ -61,16 +62,20 @@ def vocab_fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", tok
     return ranked.select("word", "n", "df", (F.col("_r") + FIRST_WORD_ID).cast("int").alias("id"))
 
 
-def vocab_top_n(df: DataFrame, max_words: int, text_col: str = "text", id_col: str = "doc_id", tokens=tokenizer_words) -> DataFrame:
+def vocab_top_n(df: DataFrame, max_words: int, text_col: str = "text", id_col: str = "doc_id", tokens=tokenizer_words, freeze: bool = True) -> DataFrame:
     """O3: only the words that get an id below ``max_words`` (``max_words - 2`` words).
 
     ``orderBy().limit(k)`` is a distributed top-k (each task keeps k rows), so
-    the ranking window afterwards sees at most k rows.
+    the ranking window afterwards sees at most k rows.  The fitted vocabulary
+    (at most k rows) is materialised once (``freeze``) so that every consumer
+    (encoding, embedding matrix) reads the same small table instead of
+    recomputing the corpus aggregation.
     """
     k = max(max_words - FIRST_WORD_ID, 0)
     top = word_counts(df, text_col, id_col, tokens).orderBy(*_rank_order()).limit(k)
     w = Window.orderBy(*_rank_order())  # over <= k rows only
-    return top.select("word", "n", "df", (F.row_number().over(w) + FIRST_WORD_ID - 1).cast("int").alias("id"))
+    fitted = top.select("word", "n", "df", (F.row_number().over(w) + FIRST_WORD_ID - 1).cast("int").alias("id"))
+    return cut_lineage(fitted) if freeze else fitted
 
 
 def vocab_size(df: DataFrame, text_col: str = "text", tokens=tokenizer_words) -> DataFrame:

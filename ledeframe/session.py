@@ -67,11 +67,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared checkpoint folder.
 
-    Used where a result is read twice and must be identical both times
-    (e.g. partition-local ids).  Never ``localCheckpoint``: executors may be lost.
+    Used where a result is read more than once and must be identical each time
+    (e.g. partition-local ids) or is a small fitted artifact.  The rows are
+    persisted while the checkpoint is written so the plan runs once, not twice.
+    Never ``localCheckpoint``: executors may be lost.
     """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
