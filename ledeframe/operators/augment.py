@@ -13,6 +13,15 @@ from ledeframe.functions.rand import seeded_uniform
 from ledeframe.functions.text import join_words, split_words
 
 MASK_TOKEN = "[MASK]"
+TRAIN_ONLY = "train_only"
+
+
+def _scope(df: DataFrame, apply_to, split_col: str = "split") -> Column | None:
+    """``'train_only'`` (default): rows whose ``split`` is train when the frame has a
+    split column, else every row; ``None``: every row; or any boolean Column."""
+    if isinstance(apply_to, str) and apply_to == TRAIN_ONLY:
+        return (F.col(split_col) == "train") if split_col in df.columns else None
+    return apply_to
 
 
 def delete_random_word(
@@ -23,11 +32,12 @@ def delete_random_word(
     p: float = 0.3,
     min_words: int = 3,
     out: str | None = None,
-    apply_to: Column | None = None,
+    apply_to=TRAIN_ONLY,
 ) -> DataFrame:
     """with probability ``p``, and only for texts of more than ``min_words``
     words, delete one uniformly chosen word and rejoin with single spaces;
-    otherwise keep the text unchanged.  ``apply_to`` restricts it (e.g. train rows)."""
+    otherwise keep the text unchanged.  Train rows only by default."""
+    apply_to = _scope(df, apply_to)
     # Words and the chosen index are staged as columns: a lambda that refers to
     # an outer expression re-evaluates it for every element.
     staged = df.withColumn("_ws", split_words(text_col))
@@ -51,11 +61,13 @@ def mask_random_tokens(
     token_p: float = 0.1,
     mask: str = MASK_TOKEN,
     out: str | None = None,
-    apply_to: Column | None = None,
+    apply_to=TRAIN_ONLY,
 ) -> DataFrame:
     """for a share ``row_p`` of rows per epoch, replace each token by ``mask``
     with probability ``token_p`` (draw <= p masks).  ``epoch`` is a number or a
-    column name; ``apply_to`` restricts it (default: every row, as the reference does)."""
+    column name.  Train rows only by default (the reference also masked
+    validation rows: pass ``apply_to=None`` for that)."""
+    apply_to = _scope(df, apply_to)
     ep = epoch if isinstance(epoch, str) else f"={epoch}"
     row_hit = seeded_uniform(seed, id_col, ep, "=row") < F.lit(row_p)
     if apply_to is not None:

@@ -31,9 +31,47 @@ def running_best(df: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch
     return out.withColumn("improved", improved).withColumn("best_so_far", best)
 
 
-def early_stop_trace(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min") -> DataFrame:
-    """W2 per epoch: epochs since the last strict improvement and the stop flag."""
+def improvement_flags(
+    df: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
+) -> DataFrame:
+    """Mark epochs that improve on the monitored best (callback semantics).
+
+    Improvement means ``v < best - min_delta`` (mode min) or ``v > best + min_delta``
+    (mode max); ``best`` moves only on an improvement.  With ``min_delta = 0``
+    this is a strict running best, a pure prefix scan.  With ``min_delta > 0``
+    ``best`` stays within ``min_delta`` of the running extreme, so only epochs
+    that set a new running extreme can improve; those records are folded per
+    run (a handful per run for noisy values) and joined back.
+    """
     rb = running_best(df, run_col, epoch_col, value_col, mode)
+    if not min_delta:
+        return rb
+    v, e = F.col(value_col), F.col(epoch_col)
+    sign = 1.0 if mode == "min" else -1.0
+    records = rb.filter(F.col("improved"))  # new running extremes
+    per_run = records.groupBy(run_col).agg(
+        F.sort_array(F.collect_list(F.struct(e.alias("e"), (v * F.lit(sign)).alias("v")))).alias("_xs")
+    )
+    init = F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<int>").alias("imp"))
+
+    def pick(st: Column, x: Column) -> Column:
+        better = x["v"] < st["best"] - F.lit(float(min_delta))
+        return F.struct(
+            F.when(better, x["v"]).otherwise(st["best"]).alias("best"),
+            F.when(better, F.concat(st["imp"], F.array(x["e"].cast("int")))).otherwise(st["imp"]).alias("imp"),
+        )
+
+    imps = per_run.select(F.col(run_col).alias("_ir"), F.explode(F.aggregate("_xs", init, pick)["imp"]).alias("_ie"))
+    imps = imps.withColumn("_hit", F.lit(True))
+    out = rb.join(imps, (F.col(run_col) == F.col("_ir")) & (F.col(epoch_col) == F.col("_ie")), "left").drop("_ir", "_ie")
+    return out.withColumn("improved", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+
+
+def early_stop_trace(
+    df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
+) -> DataFrame:
+    """W2 per epoch: epochs since the last improvement and the stop flag."""
+    rb = improvement_flags(df, run_col, epoch_col, value_col, mode, min_delta)
     rb = rb.withColumn("_imp_epoch", F.when(F.col("improved"), F.col(epoch_col)))
     tr = running_aggregate(rb, run_col, [F.col(epoch_col)], [("_last_imp", "_imp_epoch", "max", True)])
     return (
@@ -43,10 +81,13 @@ def early_stop_trace(df: DataFrame, patience: int, run_col: str = "run_id", epoc
     )
 
 
-def early_stop(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min") -> DataFrame:
+def early_stop(
+    df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
+) -> DataFrame:
     """Per run the first epoch whose counter reaches ``patience`` (null if
-    never) and the number of epochs actually run.  Improvement is strict (min delta 0)."""
-    tr = early_stop_trace(df, patience, run_col, epoch_col, value_col, mode)
+    never) and the number of epochs actually run.  Improvement is strict; with
+    ``min_delta`` it must beat the best by more than that (callback semantics)."""
+    tr = early_stop_trace(df, patience, run_col, epoch_col, value_col, mode, min_delta)
     return tr.groupBy(run_col).agg(
         F.count(F.lit(1)).alias("n_epochs"),
         F.min(F.when(F.col("stop_here"), F.col(epoch_col))).alias("stop_epoch"),
@@ -105,23 +146,9 @@ def plateau_lr(
     improvement, cut opportunities every ``patience`` epochs after it, their
     running count ``c``, and ``lr = max(base * factor^c, min_lr)``.
     """
-    rb = running_aggregate(df, run_col, [F.col(epoch_col)], [("_mb", value_col, "min", False)])
-    v, e = F.col(value_col), F.col(epoch_col)
-    records = rb.filter(F.col("_mb").isNull() | (v < F.col("_mb")))
-    per_run = records.groupBy(run_col).agg(F.sort_array(F.collect_list(F.struct(e.alias("e"), v.alias("v")))).alias("_xs"))
-    init = F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<int>").alias("imp"))
-
-    def pick(s: Column, x: Column) -> Column:
-        better = x["v"] < s["best"] - F.lit(float(min_delta))
-        return F.struct(
-            F.when(better, x["v"]).otherwise(s["best"]).alias("best"),
-            F.when(better, F.concat(s["imp"], F.array(x["e"].cast("int")))).otherwise(s["imp"]).alias("imp"),
-        )
-
-    imps = per_run.select(F.col(run_col).alias("_ir"), F.explode(F.aggregate("_xs", init, pick)["imp"]).alias("_ie"))
-    imps = imps.withColumn("_imp", F.lit(True))
-    flagged = rb.join(imps, (F.col(run_col) == F.col("_ir")) & (F.col(epoch_col) == F.col("_ie")), "left").drop("_ir", "_ie")
-    flagged = flagged.withColumn("_imp", F.coalesce(F.col("_imp"), F.lit(False)))
+    e = F.col(epoch_col)
+    flagged = improvement_flags(df, run_col, epoch_col, value_col, "min", min_delta).withColumnRenamed("improved", "_imp")
+    flagged = flagged.drop("best_before", "best_so_far")
     flagged = flagged.withColumn("_ie", F.when(F.col("_imp"), e))
     li = running_aggregate(flagged, run_col, [e], [("_last", "_ie", "max", True)])
     opp = (~F.col("_imp")) & (((e - F.col("_last")) % F.lit(patience)) == 0)

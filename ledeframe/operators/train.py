@@ -168,16 +168,15 @@ def batch_score(df: DataFrame, w: list[float], b: float, x_col: str = "x", thres
     return df.withColumn("p", p).withColumn("pred", (F.col("p") > F.lit(threshold)).cast("int"))
 
 
-def fit_classifier(train: DataFrame, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
-    """A Spark ML pipeline (array -> vector, then LogisticRegression or an MLP
-    with one hidden layer); returns the fitted ``PipelineModel``."""
+def classifier_pipeline(dim: int, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
+    """T2 (unfitted): array column -> vector -> LogisticRegression or a one-hidden-layer MLP.
+
+    Stock stages only, so a fitted pipeline saves and reloads anywhere."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
     from pyspark.ml.feature import SQLTransformer, VectorAssembler
 
-    dim = len(train.select(x_col).first()[0])
     cols = [f"_x{j}" for j in range(dim)]
-    # Stock stages only, so the fitted pipeline saves and reloads anywhere.
     unpack = SQLTransformer(
         statement="SELECT *, " + ", ".join(f"{x_col}[{j}] AS {c}" for j, c in enumerate(cols)) + f", CAST({y_col} AS DOUBLE) AS label_d FROM __THIS__"
     )
@@ -186,7 +185,29 @@ def fit_classifier(train: DataFrame, x_col: str = "x", y_col: str = "y", kind: s
         clf = MultilayerPerceptronClassifier(layers=[dim, hidden, 2], maxIter=max_iter, seed=seed, labelCol="label_d")
     else:
         clf = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol="label_d")
-    return Pipeline(stages=[unpack, assemble, clf]).fit(train)
+    return Pipeline(stages=[unpack, assemble, clf])
+
+
+def fit_classifier(train: DataFrame, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
+    """Fit the classifier pipeline; returns the ``PipelineModel``."""
+    dim = len(train.select(x_col).first()[0])
+    return classifier_pipeline(dim, x_col, y_col, kind, hidden, max_iter, reg, seed).fit(train)
+
+
+def sweep_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1), x_col: str = "x", y_col: str = "y", train_ratio: float = 0.8, parallelism: int = 2, seed: int = 42):
+    """T10 (model side): a grid over the regularisation strength, chosen on a
+    held-out share with Spark ML ``TrainValidationSplit``; returns the fitted
+    selection model (``validationMetrics`` in grid order)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+
+    dim = len(train.select(x_col).first()[0])
+    pipe = classifier_pipeline(dim, x_col, y_col)
+    clf = pipe.getStages()[-1]
+    grid = ParamGridBuilder().addGrid(clf.regParam, list(reg_params)).build()
+    ev = BinaryClassificationEvaluator(labelCol="label_d")
+    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, trainRatio=train_ratio, parallelism=parallelism, seed=seed)
+    return tvs.fit(train)
 
 
 def fit_word_vectors(df: DataFrame, tokens_col: str, dim: int = 16, min_count: int = 5, max_iter: int = 1, seed: int = 42, partitions: int = 8) -> DataFrame:

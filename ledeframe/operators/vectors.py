@@ -108,10 +108,21 @@ def with_mean_pool(df: DataFrame, vecs_col: str, ids_col: str, dim: int, out: st
     return staged.withColumn(out, pooled).drop("_w", "_n", "_sum")
 
 
-def with_attention_pool(df: DataFrame, vecs_col: str, w: list[float], dim: int, b: list[float] | None = None, out: str = "pooled", weights_out: str = "attn") -> DataFrame:
+def with_attention_pool(
+    df: DataFrame,
+    vecs_col: str,
+    w: list[float],
+    dim: int,
+    b: list[float] | None = None,
+    out: str = "pooled",
+    weights_out: str = "attn",
+    mask_pad: bool = False,
+    ids_col: str = "pos_ids",
+) -> DataFrame:
     """T4: e = tanh(x_pos . w + b_pos); a = softmax over positions; pooled = sum_pos a_pos x_pos.
 
-    Pad positions take part (no mask), as in the reference layer.
+    Pad positions take part by default, as in the reference layer; with
+    ``mask_pad`` the positions whose id is 0 get weight 0.
     """
     wl = F.array(*[F.lit(float(x)) for x in w])
     bl = F.array(*[F.lit(float(x)) for x in b]) if b else None
@@ -122,6 +133,9 @@ def with_attention_pool(df: DataFrame, vecs_col: str, w: list[float], dim: int,
         return F.tanh(dot + bias)
 
     staged = df.withColumn("_sc", F.transform(F.col(vecs_col), score))
+    if mask_pad:
+        masked = F.zip_with("_sc", F.col(ids_col), lambda sc, i: F.when(i == 0, F.lit(float("-inf"))).otherwise(sc))
+        staged = staged.withColumn("_sc", masked)
     staged = staged.withColumn("_mx", F.array_max("_sc"))
     staged = staged.withColumn("_ex", F.transform("_sc", lambda x: F.exp(x - F.col("_mx"))))
     staged = staged.withColumn("_tot", F.aggregate("_ex", F.lit(0.0), lambda a, x: a + x))

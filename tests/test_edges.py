@@ -297,3 +297,56 @@ def test_plateau_matches_state_machine(spark):
             for i, (lr, cut) in enumerate(want):
                 assert got[(k, i + 1)][1] == cut, (k, i + 1, patience)
                 assert got[(k, i + 1)][0] == pytest.approx(lr), (k, i + 1, patience)
+
+
+def _simulate_early_stop(vals, patience, delta, mode="min"):
+    best, wait = (float("inf") if mode == "min" else float("-inf")), 0
+    for i, v in enumerate(vals):
+        better = v < best - delta if mode == "min" else v > best + delta
+        if better:
+            best, wait = v, 0
+        else:
+            wait += 1
+            if wait >= patience:
+                return i + 1
+    return None
+
+
+def test_early_stop_min_delta_matches_callback(spark):
+    import random
+
+    rng = random.Random(11)
+    runs = {f"r{r}": [round(rng.uniform(0, 1), 3) if r % 2 else 1.0 - 4e-5 * i for i in range(rng.randint(1, 40))] for r in range(10)}
+    rows = [(k, i + 1, float(v)) for k, vs in runs.items() for i, v in enumerate(vs)]
+    log = spark.createDataFrame(rows, "run_id string, epoch int, val_loss double")
+    for mode in ("min", "max"):
+        got = {r.run_id: r.stop_epoch for r in R.early_stop(log, patience=3, mode=mode, min_delta=1e-4).collect()}
+        want = {k: _simulate_early_stop(vs, 3, 1e-4, mode) for k, vs in runs.items()}
+        assert got == want
+
+
+def test_augmentation_defaults_to_train_rows(spark):
+    from ledeframe.operators import augment as AU
+
+    df = spark.createDataFrame([(i, "one two three four five six", "train" if i % 2 else "val") for i in range(40)], "id long, t string, split string")
+    out = AU.delete_random_word(df, "t", "id", p=1.0, out="a").collect()
+    assert all(r.a == r.t for r in out if r.split == "val")
+    assert all(r.a != r.t for r in out if r.split == "train")
+    toks = df.select("id", "split", F.split("t", " ").alias("w"))
+    m = AU.mask_random_tokens(toks, "w", "id", row_p=1.0, token_p=1.0, out="m").collect()
+    assert all(r.m == r.w for r in m if r.split == "val") and all(set(r.m) == {"[MASK]"} for r in m if r.split == "train")
+
+
+def test_attention_mask_pad(spark):
+    df = spark.createDataFrame([(1, [5, 0, 0], [[1.0, 0.0], [0.0, 1.0], [0.0, 1.0]])], "doc_id long, pos_ids array<int>, vecs array<array<double>>")
+    out = VE.with_attention_pool(df, "vecs", [0.3, -0.2], 2, mask_pad=True).first()
+    assert out.attn[1] == 0.0 and out.attn[2] == 0.0 and out.pooled == pytest.approx([1.0, 0.0])
+
+
+def test_sweep_classifier(spark):
+    from ledeframe.operators.train import sweep_classifier
+
+    rows = [(i, float(i % 2), [float(i % 2) + 0.1 * (i % 7), 0.5 - 0.05 * (i % 5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, y double, x array<double>")
+    model = sweep_classifier(df, reg_params=(0.0, 0.5))
+    assert len(model.validationMetrics) == 2
