@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledeframe.session import broadcast_if_small
+from ledeframe.session import broadcast_if_small, cut_lineage
 
 # The two-class headline mapping.
 HEADLINE_LABELS = {"non-political": 0, "political": 1}
 
 
+# Up to this many classes the class table is ranked by a plain window (one task);
+# beyond it the distributed row index is used.
+WINDOW_ROW_LIMIT = 100_000
+
+
 def label_classes(df: DataFrame, col: str) -> DataFrame:
-    """Distinct non-null classes sorted ascending -> 0..k-1 (one row per class)."""
-    classes = df.select(col).where(F.col(col).isNotNull()).distinct()
-    w = Window.orderBy(F.col(col).asc())  # over the class table (k rows)
+    """Distinct non-null classes sorted ascending -> 0..k-1 (one row per class).
+
+    The class table is materialised and counted; a large one is ranked with the
+    distributed row index instead of a single-task window."""
+    from ledeframe.operators.order import with_row_index
+
+    classes = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
+    if classes.count() > WINDOW_ROW_LIMIT:
+        return with_row_index(classes, [F.col(col)], "_ix").select(col, F.col("_ix").cast("int").alias("label"))
+    w = Window.orderBy(F.col(col).asc())  # over at most WINDOW_ROW_LIMIT class rows
     return classes.withColumn("label", (F.row_number().over(w) - 1).cast("int"))
 
 

@@ -14,27 +14,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeframe.functions.rand import seeded_bits
-from ledeframe.session import broadcast_if_small
+from ledeframe.session import broadcast_if_small, cut_lineage
 
 
 def class_quotas(counts: DataFrame, label_col: str, val_share: float) -> DataFrame:
     """Per-class train/val sizes: n_val = ceil(share * n); train allocated first by
     largest remainder (ties by label ascending), the remainder of each class is val.
 
-    ``counts`` has one row per class (``label_col``, ``c``): tiny by construction.
+    ``counts`` has one row per class (``label_col``, ``c``).  Totals are scalar
+    subqueries; the remainder ranking is a window while the class table is
+    small and the distributed row index beyond that.
     """
-    tot = Window.partitionBy()  # over the class table only (one row per class)
-    q = (
-        counts.withColumn("_n", F.sum("c").over(tot))
-        .withColumn("_nval", F.ceil(F.lit(float(val_share)) * F.col("_n").cast("double")))
-        .withColumn("_ntrain", F.col("_n") - F.col("_nval"))
-        .withColumn("_cont", F.col("c").cast("double") / F.col("_n").cast("double") * F.col("_ntrain").cast("double"))
-        .withColumn("_fl", F.floor("_cont"))
-        .withColumn("_need", F.col("_ntrain") - F.sum("_fl").over(tot))
-        .withColumn("_rk", F.row_number().over(Window.orderBy((F.col("_cont") - F.col("_fl")).desc(), F.col(label_col).asc_nulls_first())))
-        .withColumn("train_n", (F.col("_fl") + F.when(F.col("_rk") <= F.col("_need"), 1).otherwise(0)).cast("long"))
-        .withColumn("val_n", (F.col("c") - F.col("train_n")).cast("long"))
-    )
+    from ledeframe.operators.labels import WINDOW_ROW_LIMIT
+    from ledeframe.operators.order import with_row_index
+
+    counts = cut_lineage(counts)
+    n_classes = counts.count()
+    n = counts.agg(F.sum("c").alias("n")).scalar()
+    q = counts.withColumn("_n", n)
+    q = q.withColumn("_nval", F.ceil(F.lit(float(val_share)) * F.col("_n").cast("double")))
+    q = q.withColumn("_ntrain", F.col("_n") - F.col("_nval"))
+    q = q.withColumn("_cont", F.col("c").cast("double") / F.col("_n").cast("double") * F.col("_ntrain").cast("double"))
+    q = cut_lineage(q.withColumn("_fl", F.floor("_cont")).withColumn("_rem", F.col("_cont") - F.col("_fl")))
+    need = q.agg((F.first("_ntrain") - F.sum("_fl")).alias("need")).scalar()
+    order = [F.col("_rem").desc(), F.col(label_col).asc_nulls_first()]
+    if n_classes > WINDOW_ROW_LIMIT:
+        q = with_row_index(q, order, "_rk0").withColumn("_rk", F.col("_rk0") + 1)
+    else:
+        q = q.withColumn("_rk", F.row_number().over(Window.orderBy(*order)))  # class table only
+    q = q.withColumn("train_n", (F.col("_fl") + F.when(F.col("_rk") <= need, 1).otherwise(0)).cast("long"))
+    q = q.withColumn("val_n", (F.col("c") - F.col("train_n")).cast("long"))
     return q.select(label_col, F.col("c").cast("long").alias("class_n"), "train_n", "val_n")
 
 
