@@ -20,10 +20,9 @@ from ledeframe.session import cut_lineage
 
 def with_row_index(df: DataFrame, order: list, name: str = "row_index", num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based global position ``name`` following ``order`` (a unique key)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     tagged = (
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
@@ -90,12 +89,10 @@ def running_aggregate(df: DataFrame, group_col: str, order: list, specs: list, n
     scanned per group to give each piece its carry-in, which is then combined
     with the local value.  No window ever holds more than one partition's rows.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(group_col)] + list(order)
-    tagged = cut_lineage(
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
-    )
+    # AQE may merge adjacent range partitions at run time; order is preserved.
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    tagged = cut_lineage(ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
     fns = {"min": F.min, "max": F.max, "sum": F.sum}
     piece = Window.partitionBy("_pid", group_col).orderBy(*order)
     local_cols = []

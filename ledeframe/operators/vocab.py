@@ -26,8 +26,11 @@ def _tokens(df: DataFrame, text_col: str, tokens) -> Column:
 def by_document(df: DataFrame, id_col: str, num_partitions: int | None = None) -> DataFrame:
     """Hash-partition rows by document id.  Vocabulary fitting and encoding of the
     same input both start here, so Spark computes this exchange once and reuses it."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.col(id_col))
+    # Without an explicit count AQE may coalesce the partitions at run time (never
+    # below the cluster's parallelism), and still keeps rows clustered by id.
+    if num_partitions:
+        return df.repartition(num_partitions, F.col(id_col))
+    return df.repartition(F.col(id_col))
 
 
 def word_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokens=tokenizer_words) -> DataFrame:

@@ -68,17 +68,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared checkpoint folder.
 
     Used where a result is read more than once and must be identical each time
-    (e.g. partition-local ids) or is a small fitted artifact.  The rows are
-    persisted while the checkpoint is written so the plan runs once, not twice.
-    Never ``localCheckpoint``: executors may be lost.
+    (e.g. partition-local ids) or is a small fitted artifact.  Not persisted
+    first: a cached plan keeps its shuffle partition count (AQE may not coalesce
+    it), while the checkpoint write only re-reads the last stage from shuffle
+    files.  Never ``localCheckpoint``: executors may be lost.
     """
-    from pyspark import StorageLevel
-
     ensure_checkpoint_dir(df.sparkSession)
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint(eager=True)
-    kept.unpersist()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,8 +90,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     par = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df
-    n = max(par, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, F.col(key))
+    return df.repartition(par, F.col(key))
 
 
 # Row limit for broadcasting a side whose size is data-dependent (class tables,
