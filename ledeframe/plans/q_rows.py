@@ -153,13 +153,32 @@ _CLEAN_HEADLINE_SQL = (
 )
 
 
+_URL_TEXTS_SQL = """
+SELECT 'doc' AS src, doc_id AS id, text FROM documents
+UNION ALL SELECT 'page', page_id, 'Read ' || url || ' now, ok?' FROM pages
+UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations
+"""
+
+
+def _url_texts(spark, sf_dir):
+    """Texts with links: documents, page URLs inside a sentence, conversation turns."""
+    docs = X.corpus(spark, sf_dir).select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
+    pages = table(spark, sf_dir, "pages").select(
+        F.lit("page").alias("src"), F.col("page_id").alias("id"), F.concat(F.lit("Read "), F.col("url"), F.lit(" now, ok?")).alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select(
+        F.lit("turn").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
+    )
+    return docs.unionByName(pages).unionByName(turns)
+
+
 @register(
     "clean_headline",
-    f"SELECT doc_id, md5({_CLEAN_HEADLINE_SQL}) AS text_md5, CAST(length({_CLEAN_HEADLINE_SQL}) AS BIGINT) AS n_chars FROM documents",
+    f"SELECT src, id, md5({_CLEAN_HEADLINE_SQL}) AS text_md5, CAST(length({_CLEAN_HEADLINE_SQL}) AS BIGINT) AS n_chars FROM ({_URL_TEXTS_SQL})",
 )
 def q_clean_headline(spark, sf_dir):
     t = TX.clean_headline("text")
-    return X.corpus(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
+    return _url_texts(spark, sf_dir).select("src", "id", F.md5(t).alias("text_md5"), i64(F.length(t)).alias("n_chars"))
 
 
 @register(
