@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledeframe.functions.mathfn import sigmoid  # noqa: F401  (re-exported for callers)
 
 
 def _c(x) -> Column:

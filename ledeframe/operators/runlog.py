@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledeframe.operators.order import running_aggregate, with_row_index
+from ledeframe.operators.order import running_aggregate
 
 
 def epoch_axis(df: DataFrame, run_col: str, order: list, name: str = "epoch") -> DataFrame:

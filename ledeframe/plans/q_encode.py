@@ -18,7 +18,6 @@ from ledeframe.plans.catalog import (
     sql_encode,
     sql_vocab,
 )
-from ledeframe.session import table
 
 DOCS_SQL = "SELECT doc_id, text FROM documents"
 
