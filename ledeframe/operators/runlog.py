@@ -2,7 +2,9 @@
 
 A run log is ``(run_id, epoch, metric...)``.  Running values use
 ``running_aggregate`` (range-partitioned prefix scan), so a run with very many
-rows is not one task; per-run decisions are plain partial aggregations.
+rows is not one task; per-run decisions are partial aggregations, and the
+one-row-per-run summaries joined back go through the size-checked broadcast,
+so a hot run never lands in a single join task.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledeframe.operators.order import running_aggregate
+from ledeframe.session import broadcast_if_small
 
 
 def epoch_axis(df: DataFrame, run_col: str, order: list, name: str = "epoch") -> DataFrame:
@@ -101,7 +104,7 @@ def early_stop(
 
 def best_epoch(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min") -> DataFrame:
     """The epoch whose state is kept: best value (earliest on ties) among epochs run."""
-    stops = early_stop(df, patience, run_col, epoch_col, value_col, mode)
+    stops = broadcast_if_small(early_stop(df, patience, run_col, epoch_col, value_col, mode))
     joined = df.join(stops, run_col).filter(F.col(epoch_col) <= F.col("epochs_run"))
     key = F.col(value_col) if mode == "min" else -F.col(value_col)
     return joined.groupBy(run_col, "epochs_run", "stop_epoch").agg(
@@ -112,7 +115,7 @@ def best_epoch(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col:
 
 def dual_criterion(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", loss_col: str = "val_loss", score_col: str = "f1") -> DataFrame:
     """Stop on loss, keep the checkpoint of the best score (strictly greater) up to the stop."""
-    stops = early_stop(df, patience, run_col, epoch_col, loss_col, "min")
+    stops = broadcast_if_small(early_stop(df, patience, run_col, epoch_col, loss_col, "min"))
     joined = df.join(stops, run_col).filter(F.col(epoch_col) <= F.col("epochs_run"))
     return joined.groupBy(run_col, "epochs_run", "stop_epoch").agg(
         F.min_by(F.col(epoch_col), F.struct(-F.col(score_col), F.col(epoch_col))).cast("int").alias("score_epoch"),
@@ -183,7 +186,7 @@ def warmup_schedule(steps_df: DataFrame, base_lr: float, warmup_share: float = 0
 def checkpoint_retention(df: DataFrame, keep: int, patience: int | None = None, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss") -> DataFrame:
     """Checkpoints kept: the newest ``keep`` epochs of each run plus its best epoch."""
     last = df.groupBy(run_col).agg(F.max(epoch_col).alias("_last"), F.min_by(F.col(epoch_col), F.struct(F.col(value_col), F.col(epoch_col))).alias("_best"))
-    j = df.join(last, run_col)
+    j = df.join(broadcast_if_small(last), run_col)
     keep_it = (F.col(epoch_col) > F.col("_last") - F.lit(keep)) | (F.col(epoch_col) == F.col("_best"))
     return j.filter(keep_it).withColumn("is_best", F.col(epoch_col) == F.col("_best")).drop("_last", "_best")
 
@@ -204,7 +207,7 @@ def log_series(df: DataFrame, key: str, without: str | None = None, run_col: str
 
 def trim_series(train: DataFrame, evals: DataFrame, run_col: str = "run_id", point_col: str = "point") -> DataFrame:
     """Cut each run's train series to the number of eval points of that run."""
-    n_eval = evals.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n_eval"))
+    n_eval = broadcast_if_small(evals.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n_eval")))
     return train.join(n_eval, run_col).filter(F.col(point_col) <= F.col("_n_eval")).drop("_n_eval")
 
 
