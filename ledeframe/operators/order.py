@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeframe.functions.rand import seeded_bits
-from ledeframe.session import cut_lineage
+from ledeframe.session import broadcast_if_small, cut_lineage
 
 
 def with_row_index(df: DataFrame, order: list, name: str = "row_index", num_partitions: int | None = None) -> DataFrame:
@@ -47,28 +47,45 @@ def shuffle_key(seed: int, id_col: str, *salt) -> list[Column]:
     return [seeded_bits(seed, *salt, id_col), F.col(id_col)]
 
 
+def hash_order_index(df: DataFrame, seed: int, id_col: str, name: str, group_col: str | None = None, salt=(), bucket_bits: int = 20) -> DataFrame:
+    """0-based position in md5(seed|salt|id) order (ties by id), per ``group_col`` if given.
+
+    The hash is uniform, so no sampling or checkpoint is needed: the first
+    ``bucket_bits`` bits pick a bucket, a per-bucket count (partial aggregation,
+    at most groups x 2^bits rows) gives every bucket its starting offset, and
+    rows are ranked only inside their bucket (about n / 2^bits rows per window).
+    Deterministic for any partitioning and on recomputation.
+    """
+    keyed = df.withColumn("_h", seeded_bits(seed, *salt, id_col)).withColumn(
+        "_b", F.shiftrightunsigned(F.col("_h"), 32 - bucket_bits)
+    )
+    gkeys = [group_col] if group_col else []
+    hist = keyed.groupBy(*gkeys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    upto = (Window.partitionBy(*gkeys) if gkeys else Window.partitionBy()).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hist.withColumn("_off", F.coalesce(F.sum("_cnt").over(upto), F.lit(0))).drop("_cnt")
+    in_bucket = Window.partitionBy(*gkeys, "_b").orderBy("_h", id_col)
+    ranked = keyed.withColumn("_r", F.row_number().over(in_bucket))
+    offsets = broadcast_if_small(offsets)
+    return (
+        ranked.join(offsets, gkeys + ["_b"])
+        .withColumn(name, (F.col("_off") + F.col("_r") - 1).cast("long"))
+        .drop("_h", "_b", "_r", "_off")
+    )
+
+
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "shuffle_index") -> DataFrame:
     """O1: a full, reproducible shuffle with a fresh 0-based index.
 
     The order is md5(seed|id), so it is the same for any partitioning and on
     recomputation (``rand()`` would not be).
     """
-    keyed = df.withColumn("_h", seeded_bits(seed, id_col))
-    return with_row_index(keyed, [F.col("_h"), F.col(id_col)], name).drop("_h")
+    return hash_order_index(df, seed, id_col, name)
 
 
 def epoch_shuffle(df: DataFrame, id_col: str, epochs: int, seed: int = 42, name: str = "shuffle_index") -> DataFrame:
-    """O2: a new seeded order per epoch; one row per (epoch, input row)."""
+    """O2: a new seeded order per epoch (md5(seed|epoch|id)); one row per (epoch, input row)."""
     rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
-    keyed = rows.withColumn("_h", seeded_bits(seed, "epoch", id_col))
-    # One distributed index over (epoch, hash, id); each epoch then starts at its own minimum.
-    indexed = with_row_index(keyed, [F.col("epoch"), F.col("_h"), F.col(id_col)], "_g")
-    starts = indexed.groupBy("epoch").agg(F.min("_g").alias("_g0"))  # one row per epoch
-    return (
-        indexed.join(F.broadcast(starts), "epoch")
-        .withColumn(name, F.col("_g") - F.col("_g0"))
-        .drop("_h", "_g", "_g0")
-    )
+    return hash_order_index(rows, seed, id_col, name, group_col="epoch", salt=("epoch",))
 
 
 def batch_assign(df: DataFrame, order: list, batch_size: int, name: str = "batch_id", position: str = "position") -> DataFrame:
