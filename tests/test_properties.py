@@ -93,3 +93,36 @@ def test_row_index_is_dense_and_ordered(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"))
     out = O.with_row_index(df, [F.col("k")], "ix", num_partitions=13).collect()
     assert sorted((r.k, r.ix) for r in out) == [(k, k) for k in range(1000)]
+
+
+def test_hot_run_spans_partitions(spark):
+    """One run holds a third of all rows: carries across many range partitions stay exact."""
+    from pyspark.sql import Window
+
+    from ledeframe.operators import runlog as R
+
+    hot = [("hot", e, float((e * 7919) % 1000) / 1000.0) for e in range(1, 3001)]
+    cold = [(f"r{r}", e, float((r * 31 + e * 17) % 100) / 100.0) for r in range(60) for e in range(1, 101)]
+    log = spark.createDataFrame(hot + cold, "run_id string, epoch int, val_loss double")
+    got = O.running_aggregate(log, "run_id", [F.col("epoch")], [("m", "val_loss", "min", False), ("c", "val_loss", "sum", True)], num_partitions=32)
+    w = Window.partitionBy("run_id").orderBy("epoch")
+    ref = log.select(
+        "run_id", "epoch",
+        F.min("val_loss").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m"),
+        F.sum("val_loss").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
+    )
+    a = {(r.run_id, r.epoch): (r.m, round(r.c, 6)) for r in got.collect()}
+    b = {(r.run_id, r.epoch): (r.m, round(r.c, 6)) for r in ref.collect()}
+    assert a == b
+    stops = {r.run_id: r.stop_epoch for r in R.early_stop(log, patience=40).collect()}
+    vals = [v for _, _, v in hot]
+    best, wait, want = float("inf"), 0, None
+    for i, v in enumerate(vals):
+        if v < best:
+            best, wait = v, 0
+        else:
+            wait += 1
+            if wait >= 40:
+                want = i + 1
+                break
+    assert stops["hot"] == want
