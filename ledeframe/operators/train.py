@@ -168,6 +168,19 @@ def batch_score(df: DataFrame, w: list[float], b: float, x_col: str = "x", thres
     return df.withColumn("p", p).withColumn("pred", (F.col("p") > F.lit(threshold)).cast("int"))
 
 
+def score_foreign_model(df: DataFrame, load_model: Callable[[], object], predict: Callable[[object, "pd.DataFrame"], "pd.DataFrame"], schema: str) -> DataFrame:
+    """T8 for a model Spark cannot run itself (e.g. an ONNX or pickled model):
+    ``load_model()`` runs once per task, ``predict(model, batch)`` once per
+    Arrow batch and returns the output columns of ``schema``."""
+
+    def run(batches):
+        model = load_model()
+        for pdf in batches:
+            yield predict(model, pdf)
+
+    return df.mapInPandas(run, schema)
+
+
 def classifier_pipeline(dim: int, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
     """T2 (unfitted): array column -> vector -> LogisticRegression or a one-hidden-layer MLP.
 

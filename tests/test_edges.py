@@ -350,3 +350,28 @@ def test_sweep_classifier(spark):
     df = spark.createDataFrame(rows, "id long, y double, x array<double>")
     model = sweep_classifier(df, reg_params=(0.0, 0.5))
     assert len(model.validationMetrics) == 2
+
+
+def test_foreign_model_scoring_matches_native(spark):
+    import numpy as np
+
+    from ledeframe.operators import train as T
+
+    rows = [(i, [0.1 * (i % 5), -0.2 * (i % 3), 0.05 * i]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    w, b = [0.4, -0.3, 0.2], 0.1
+    native = {r.id: r.p for r in T.batch_score(df, w, b).collect()}
+    loads = []
+
+    def load():
+        loads.append(1)
+        return np.array(w), b
+
+    def predict(model, pdf):
+        wv, bias = model
+        z = np.stack(pdf["x"].to_numpy()) @ wv + bias
+        return pdf[["id"]].assign(p=1.0 / (1.0 + np.exp(-z)))
+
+    foreign = {r.id: r.p for r in T.score_foreign_model(df, load, predict, "id long, p double").collect()}
+    assert foreign.keys() == native.keys()
+    assert all(abs(foreign[k] - native[k]) < 1e-12 for k in native)
