@@ -126,3 +126,22 @@ def test_hot_run_spans_partitions(spark):
                 want = i + 1
                 break
     assert stops["hot"] == want
+
+
+def test_train_epochs_stop_and_best_agree_with_run_log_operators(spark):
+    from ledeframe.operators import runlog as R
+    from ledeframe.operators import train as T
+    from ledeframe.plans.q_train import headline_features
+
+    feats = headline_features(spark, SF)
+    cfg = T.TrainConfig(max_epochs=12, lr=8.0, patience=2, l2=0.01, clip=1.0, warmup_share=0.1, run_id="t")
+    res = T.train_epochs(feats, 64, cfg)
+    assert res.stop_epoch is not None and res.best_epoch < res.stop_epoch
+    log = T.log_frame(spark, res)
+    assert [r["epoch"] for r in res.log] == list(range(1, len(res.log) + 1))
+    st = R.early_stop(log, patience=2).first()
+    assert st.stop_epoch == res.stop_epoch
+    best = R.best_epoch(log, patience=2).first()
+    assert best.best_epoch == res.best_epoch
+    # the warm-up/decay rate follows W6 step by step
+    assert [round(r["lr"], 12) for r in res.log] == [round(8.0 * f, 12) for f in T.lr_factors(12, 0.1)][: len(res.log)]
