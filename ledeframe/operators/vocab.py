@@ -119,6 +119,23 @@ def token_to_id(
     return keyed.join(seqs, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
 
-def longest_sequence(df: DataFrame, ids_col: str = "ids", cap: int = 128) -> DataFrame:
-    """Longest encoding, capped, as one row ``pad_len``."""
-    return df.agg(F.least(F.max(F.size(ids_col)), F.lit(cap)).cast("int").alias("pad_len"))
+def longest_sequence(df: DataFrame, ids_col: str = "ids", cap: int = 128, group_cols=()) -> DataFrame:
+    """Longest encoding, capped, as ``pad_len`` (one row, or one per group,
+    e.g. per split: the reference pads train and validation separately)."""
+    return df.groupBy(*group_cols).agg(F.least(F.max(F.size(ids_col)), F.lit(cap)).cast("int").alias("pad_len"))
+
+
+def pad_to_longest(df: DataFrame, ids_col: str = "ids", cap: int = 128, group_cols=(), out: str | None = None) -> DataFrame:
+    """F8: pad every sequence to the longest of its group (capped) instead of a constant.
+
+    The per-group lengths are one row per group, joined back through the
+    size-checked broadcast."""
+    from ledeframe.functions.sequence import pad_sequence
+    from ledeframe.session import broadcast_if_small
+
+    lens = longest_sequence(df, ids_col, cap, group_cols)
+    if group_cols:
+        j = df.join(broadcast_if_small(lens), list(group_cols))
+    else:
+        j = df.withColumn("pad_len", lens.scalar())
+    return j.withColumn(out or ids_col, pad_sequence(ids_col, "pad_len"))

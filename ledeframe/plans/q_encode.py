@@ -16,6 +16,7 @@ from ledeframe.plans.catalog import (
     register,
     sql_clean_alnum,
     sql_encode,
+    sql_stratified,
     sql_vocab,
 )
 
@@ -103,15 +104,22 @@ def q_pad_sequence(spark, sf_dir):
 @register(
     "pad_to_longest",
     f"""WITH {sql_vocab(HEADLINES_SQL, 'title')}, {sql_encode(8000)},
-    _L AS (SELECT least(max(len(ids)), 128) AS n FROM enc)
-    SELECT doc AS doc_id, array_to_string(((ids) || list_transform(range((SELECT n FROM _L)), lambda x: 0))[1:(SELECT n FROM _L)], ',') AS ids FROM enc""",
+    {sql_stratified(HEADLINES_SQL, 'label', 'doc_id')},
+    _e AS (SELECT enc.doc, enc.ids, sr.split FROM enc JOIN split_rows sr ON enc.doc = sr.doc_id),
+    _L AS (SELECT split, least(max(len(ids)), 128) AS n FROM _e GROUP BY split)
+    SELECT _e.doc AS doc_id, _e.split, CAST(_L.n AS BIGINT) AS pad_len,
+           array_to_string((_e.ids || list_transform(range(_L.n), lambda x: 0))[1:_L.n], ',') AS ids
+    FROM _e JOIN _L ON _e.split = _L.split""",
 )
 def q_pad_to_longest(spark, sf_dir):
+    """F8 + A14 per split: each split padded to its own longest encoding (cap 128)."""
+    from ledeframe.operators.split import stratified_split
+
     h = X.headlines(spark, sf_dir)
     enc = V.token_to_id(h, V.vocab_top_n(h, 8000, "title", "doc_id"), 8000, "title", "doc_id")
-    pad_len = V.longest_sequence(enc, "ids", 128).scalar()  # one value, computed once
-    with_len = enc.withColumn("_pad_len", pad_len)
-    return with_len.select("doc_id", arr_text(SQ.pad_sequence("ids", "_pad_len")).alias("ids"))
+    sp = stratified_split(enc.select("doc_id", "label", "ids"), "label", "doc_id", 0.2, 42)
+    padded = V.pad_to_longest(sp, "ids", 128, group_cols=["split"], out="padded")
+    return padded.select("doc_id", "split", i64("pad_len").alias("pad_len"), arr_text("padded").alias("ids"))
 
 
 @register(
