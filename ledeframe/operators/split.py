@@ -21,27 +21,31 @@ def class_quotas(counts: DataFrame, label_col: str, val_share: float) -> DataFra
     """Per-class train/val sizes: n_val = ceil(share * n); train allocated first by
     largest remainder (ties by label ascending), the remainder of each class is val.
 
-    ``counts`` has one row per class (``label_col``, ``c``).  Totals are scalar
-    subqueries; the remainder ranking is a window while the class table is
-    small and the distributed row index beyond that.
+    ``counts`` has one row per class (``label_col``, ``c``); it is materialised
+    and counted.  A small class table is handled with windows over it; a large
+    one with scalar-subquery totals and the distributed row index.
     """
     from ledeframe.operators.labels import WINDOW_ROW_LIMIT
     from ledeframe.operators.order import with_row_index
 
     counts = cut_lineage(counts)
-    n_classes = counts.count()
-    n = counts.agg(F.sum("c").alias("n")).scalar()
-    q = counts.withColumn("_n", n)
+    large = counts.count() > WINDOW_ROW_LIMIT
+    if large:
+        q = counts.withColumn("_n", counts.agg(F.sum("c").alias("n")).scalar())
+    else:
+        q = counts.withColumn("_n", F.sum("c").over(Window.partitionBy()))  # class table only
     q = q.withColumn("_nval", F.ceil(F.lit(float(val_share)) * F.col("_n").cast("double")))
     q = q.withColumn("_ntrain", F.col("_n") - F.col("_nval"))
     q = q.withColumn("_cont", F.col("c").cast("double") / F.col("_n").cast("double") * F.col("_ntrain").cast("double"))
-    q = cut_lineage(q.withColumn("_fl", F.floor("_cont")).withColumn("_rem", F.col("_cont") - F.col("_fl")))
-    need = q.agg((F.first("_ntrain") - F.sum("_fl")).alias("need")).scalar()
+    q = q.withColumn("_fl", F.floor("_cont")).withColumn("_rem", F.col("_cont") - F.col("_fl"))
     order = [F.col("_rem").desc(), F.col(label_col).asc_nulls_first()]
-    if n_classes > WINDOW_ROW_LIMIT:
+    if large:
+        q = cut_lineage(q)
+        need = q.agg((F.first("_ntrain") - F.sum("_fl")).alias("need")).scalar()
         q = with_row_index(q, order, "_rk0").withColumn("_rk", F.col("_rk0") + 1)
     else:
-        q = q.withColumn("_rk", F.row_number().over(Window.orderBy(*order)))  # class table only
+        need = F.col("_ntrain") - F.sum("_fl").over(Window.partitionBy())
+        q = q.withColumn("_rk", F.row_number().over(Window.orderBy(*order)))
     q = q.withColumn("train_n", (F.col("_fl") + F.when(F.col("_rk") <= need, 1).otherwise(0)).cast("long"))
     q = q.withColumn("val_n", (F.col("c") - F.col("train_n")).cast("long"))
     return q.select(label_col, F.col("c").cast("long").alias("class_n"), "train_n", "val_n")
