@@ -98,9 +98,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit_rows: int | None = None) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, count it, and mark it for
-    broadcast only when it has at most ``limit_rows`` rows; otherwise return it
-    unmarked so the planner uses a shuffle join."""
+    broadcast only when it has at most ``limit_rows`` rows (default
+    ``BROADCAST_ROW_LIMIT``); otherwise return it unmarked so the planner uses a
+    shuffle join."""
+    limit = BROADCAST_ROW_LIMIT if limit_rows is None else limit_rows
     small = cut_lineage(df)
-    return F.broadcast(small) if small.count() <= limit_rows else small
+    return F.broadcast(small) if small.count() <= limit else small

@@ -160,3 +160,13 @@ def test_large_class_table_paths_match(spark, monkeypatch):
     assert small == large
     assert sum(v for _, v in small.values()) == 4  # ceil(0.2 * 18)
     assert enc_small == enc_large
+
+
+def test_split_without_broadcast_matches(spark, monkeypatch):
+    import ledeframe.session as S
+
+    h = X.headlines(spark, SF)
+    base = {r.doc_id: r.split for r in SP.stratified_split(h, "label", "doc_id").collect()}
+    monkeypatch.setattr(S, "BROADCAST_ROW_LIMIT", 0)
+    sp = SP.stratified_split(h, "label", "doc_id")
+    assert {r.doc_id: r.split for r in sp.collect()} == base
