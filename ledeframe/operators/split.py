@@ -62,10 +62,15 @@ def _quota_split(
     seed: int,
     bucket_bits: int,
     name: str,
+    materialize: bool = False,
 ) -> DataFrame:
     keyed = df.withColumn("_h", seeded_bits(seed, id_col)).withColumn(
         "_b", F.shiftrightunsigned(F.col("_h"), 32 - bucket_bits)
     )
+    if materialize:
+        # The input is read three times (histogram, rows away from the boundary,
+        # boundary rows); an expensive upstream is computed once instead.
+        keyed = cut_lineage(keyed)
     hist = keyed.groupBy(F.col(label_col).alias("_lab"), "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     upto = Window.partitionBy("_lab").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_incl", F.sum("_cnt").over(upto)).withColumn("_before", F.col("_incl") - F.col("_cnt"))
@@ -100,11 +105,16 @@ def stratified_split(
     seed: int = 42,
     bucket_bits: int = 20,
     name: str = "split",
+    materialize: bool = False,
 ) -> DataFrame:
     """Label-stratified train/val split with exact per-class sizes.
 
     In each class the first ``train_n`` rows in md5(seed|id) order are train.
+    ``materialize`` checkpoints the input once when it is expensive to recompute
+    (the split reads it several times).
     """
+    if materialize:
+        df = cut_lineage(df)
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("c"))
     quotas = class_quotas(counts, label_col, val_share)
     return _quota_split(df, label_col, id_col, "train_n", "train", "val", quotas, seed, bucket_bits, name)

@@ -117,7 +117,7 @@ def q_pad_to_longest(spark, sf_dir):
 
     h = X.headlines(spark, sf_dir)
     enc = V.token_to_id(h, V.vocab_top_n(h, 8000, "title", "doc_id"), 8000, "title", "doc_id")
-    sp = stratified_split(enc.select("doc_id", "label", "ids"), "label", "doc_id", 0.2, 42)
+    sp = stratified_split(enc.select("doc_id", "label", "ids"), "label", "doc_id", 0.2, 42, materialize=True)
     padded = V.pad_to_longest(sp, "ids", 128, group_cols=["split"], out="padded")
     return padded.select("doc_id", "split", i64("pad_len").alias("pad_len"), arr_text("padded").alias("ids"))
 

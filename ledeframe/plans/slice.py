@@ -26,7 +26,7 @@ def encoded_headlines(spark: SparkSession, sf_dir: str, max_words: int = 2000, m
 
 def encode_split_summary(spark: SparkSession, sf_dir: str, max_words: int = 2000, max_len: int = 30, seed: int = 42, val_share: float = 0.2) -> DataFrame:
     enc = encoded_headlines(spark, sf_dir, max_words, max_len)
-    sp = stratified_split(enc, "label", "doc_id", val_share, seed)
+    sp = stratified_split(enc, "label", "doc_id", val_share, seed, materialize=True)  # encoding is costly to recompute
     known = F.try_divide(F.size(F.filter("ids", lambda x: x >= 2)).cast("double"), F.size("ids").cast("double"))
     return sp.groupBy("split", "label").agg(
         F.count(F.lit(1)).alias("n_rows"),
