@@ -31,15 +31,25 @@ def _na_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType | str = HEADLINE_SCHEMA, encoding: str = "UTF-8", na_values: bool = True) -> DataFrame:
+def csv_scan(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str = HEADLINE_SCHEMA,
+    encoding: str = "UTF-8",
+    na_values: bool = True,
+    multi_line: bool = True,
+) -> DataFrame:
     """CSV with a header, RFC-4180 quoting (doubled quotes, embedded newlines).
 
     An explicit schema (no inference pass).  With ``na_values`` the texts pandas
-    treats as missing become null, since Spark keeps them as strings.
+    treats as missing become null, since Spark keeps them as strings.  A file
+    read with ``multi_line`` cannot be split across tasks; for large files known
+    to have no newline inside a field pass ``multi_line=False`` so each file is
+    split and read in parallel.
     """
     df = (
         spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', encoding=encoding, mode="FAILFAST")
+        .options(header=True, multiLine=multi_line, quote='"', escape='"', encoding=encoding, mode="FAILFAST")
         .csv(path)
     )
     return _na_to_null(df) if na_values else df
