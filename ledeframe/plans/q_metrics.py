@@ -27,9 +27,9 @@ def sql_per_class(src: str) -> str:
     """CTEs ``_cells(y, pred, n)`` and ``_pcm(label, precision, recall, f1, support)`` for a (y, pred) source."""
     return f"""
 _p AS ({src}),
-_cnt AS (SELECT y, pred, count(*) AS n FROM _p GROUP BY y, pred),
+_pcnt AS (SELECT y, pred, count(*) AS n FROM _p GROUP BY y, pred),
 _ls AS (SELECT DISTINCT v FROM (SELECT y AS v FROM _p UNION ALL SELECT pred FROM _p)),
-_cells AS (SELECT a.v AS y, b.v AS pred, coalesce(c.n, 0) AS n FROM _ls a CROSS JOIN _ls b LEFT JOIN _cnt c ON c.y = a.v AND c.pred = b.v),
+_cells AS (SELECT a.v AS y, b.v AS pred, coalesce(c.n, 0) AS n FROM _ls a CROSS JOIN _ls b LEFT JOIN _pcnt c ON c.y = a.v AND c.pred = b.v),
 _bt AS (SELECT y AS label, sum(n) AS support, sum(CASE WHEN y = pred THEN n END) AS tp FROM _cells GROUP BY y),
 _bp AS (SELECT pred AS label, sum(n) AS predicted FROM _cells GROUP BY pred),
 _pcm AS (SELECT _bt.label,
