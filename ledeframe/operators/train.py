@@ -178,6 +178,9 @@ def score_foreign_model(df: DataFrame, load_model: Callable[[], object], predict
         for pdf in batches:
             yield predict(model, pdf)
 
+    from ledeframe.session import ship_code
+
+    ship_code()
     return df.mapInPandas(run, schema)
 
 

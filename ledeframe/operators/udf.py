@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeframe.functions.sequence import attention_mask, frame_sequence, pad_sequence
+from ledeframe.session import ship_code
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -23,6 +24,7 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
         for pdf in batches:
             yield fn(pdf)
 
+    ship_code()
     return df.mapInPandas(run, schema)
 
 
@@ -31,6 +33,7 @@ def map_rows(fn: Callable, return_type: str = "string"):
 
     Prefer a column expression (``ledeframe.functions``) where one exists; this
     is for arbitrary user code."""
+    ship_code()
     return F.udf(fn, return_type, useArrow=True)
 
 

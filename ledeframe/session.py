@@ -43,6 +43,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def ship_code() -> None:
+    """Pickle this package's functions by value, so Python workers (executors) can run
+    user-function operators without the package being importable there."""
+    from pyspark import cloudpickle
+
+    import ledeframe
+
+    cloudpickle.register_pickle_by_value(ledeframe)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting a private one only when none is configured."""
     sc = spark.sparkContext

@@ -170,3 +170,25 @@ def test_split_without_broadcast_matches(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_ROW_LIMIT", 0)
     sp = SP.stratified_split(h, "label", "doc_id")
     assert {r.doc_id: r.split for r in sp.collect()} == base
+
+
+def test_user_functions_run_where_the_package_is_not_importable():
+    """Python workers started outside the repo still run U1/U2 (functions are pickled by value)."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "q = E.queries()\n"
+        "print(q['map_batches'](s, %r).count(), q['map_rows'](s, %r).count())\n"
+    ) % (repo, SF, SF)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.gettempdir(), env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert out.stdout.strip().splitlines()[-1] == "200 200"
