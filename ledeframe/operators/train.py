@@ -194,7 +194,7 @@ def score_foreign_model(df: DataFrame, load_model: Callable[[], object], predict
     return df.mapInPandas(run, schema)
 
 
-def classifier_pipeline(dim: int, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
+def classifier_estimator(dim: int, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
     """T2 (unfitted): array column -> vector -> LogisticRegression or a one-hidden-layer MLP.
 
     Stock stages only, so a fitted pipeline saves and reloads anywhere."""
@@ -217,7 +217,7 @@ def classifier_pipeline(dim: int, x_col: str = "x", y_col: str = "y", kind: str
 def fit_classifier(train: DataFrame, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
     """Fit the classifier pipeline; returns the ``PipelineModel``."""
     dim = len(train.select(x_col).first()[0])
-    return classifier_pipeline(dim, x_col, y_col, kind, hidden, max_iter, reg, seed).fit(train)
+    return classifier_estimator(dim, x_col, y_col, kind, hidden, max_iter, reg, seed).fit(train)
 
 
 def sweep_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1), x_col: str = "x", y_col: str = "y", train_ratio: float = 0.8, parallelism: int = 2, seed: int = 42):
@@ -228,7 +228,7 @@ def sweep_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1), x_col: str =
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 
     dim = len(train.select(x_col).first()[0])
-    pipe = classifier_pipeline(dim, x_col, y_col)
+    pipe = classifier_estimator(dim, x_col, y_col)
     clf = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(clf.regParam, list(reg_params)).build()
     ev = BinaryClassificationEvaluator(labelCol="label_d")
