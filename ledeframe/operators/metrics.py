@@ -40,8 +40,11 @@ def confusion_cells(df: DataFrame, y_col: str = "y", pred_col: str = "pred") ->
     """A5 (long form): count per (true, predicted) over the sorted union of labels,
     zero cells included."""
     counts = df.groupBy(F.col(y_col).alias("y"), F.col(pred_col).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
-    labels = counts.select(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("y", "pred"))))).alias("_ls"))
-    grid = labels.select(F.explode("_ls").alias("y"), "_ls").select("y", F.explode("_ls").alias("pred"))
+    # The distinct labels are found first (distributed); only the k-label set is gathered,
+    # and the k x k grid it spans is the matrix itself.
+    labels = counts.select(F.explode(F.array("y", "pred")).alias("v")).distinct()
+    label_set = labels.agg(F.array_sort(F.collect_list("v")).alias("_ls"))
+    grid = label_set.select(F.explode("_ls").alias("y"), "_ls").select("y", F.explode("_ls").alias("pred"))
     return grid.join(counts, ["y", "pred"], "left").select("y", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
