@@ -1,12 +1,20 @@
-"""Global order without a single-task window (O1, O2, W7, and the row index they share).
-
-``row_number()`` without ``partitionBy`` sends every row to one task.  Instead
-the rows are range-partitioned on the (unique) order key, sorted inside each
-partition, tagged with a partition-local id, and shifted by the row count of
-all earlier partitions.  The per-partition count table has one row per
-partition, so broadcasting it is bounded by the partition count, not the data.
-The tagged table is checkpointed to the shared folder first: the local ids
-are read twice (counts and index) and must come from the same run.
+"""Global order without a single-task window (O1, O2, W7) and skew-safe running aggregates.
+
+``row_number()`` without ``partitionBy`` sends every row to one task.  Two
+replacements:
+
+* ``hash_order_index`` for a uniform hash order (seeded shuffles): a bucket
+  histogram gives each bucket its offset and rows are ranked inside buckets.
+* ``with_row_index`` for any unique order: rows are range-partitioned on the
+  key, sorted inside each partition, tagged with a partition-local id, and
+  shifted by the row count of all earlier partitions.  The per-partition count
+  table has one row per partition, so broadcasting it is bounded by the
+  partition count, not the data.  The tagged table is checkpointed to the
+  shared folder first: the local ids are read twice and must come from the
+  same run.
+
+``running_aggregate`` applies the same range-partition idea to per-group
+prefix scans.
 """
 
 from __future__ import annotations
@@ -42,11 +50,6 @@ def with_row_index(df: DataFrame, order: list, name: str = "row_index", num_part
     )
 
 
-def shuffle_key(seed: int, id_col: str, *salt) -> list[Column]:
-    """Sort key of a seeded shuffle: 32 hash bits, ties broken by the id."""
-    return [seeded_bits(seed, *salt, id_col), F.col(id_col)]
-
-
 def hash_order_index(df: DataFrame, seed: int, id_col: str, name: str, group_col: str | None = None, salt=(), bucket_bits: int = 20) -> DataFrame:
     """0-based position in md5(seed|salt|id) order (ties by id), per ``group_col`` if given.
 
