@@ -34,6 +34,57 @@ def running_best(df: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch
     return out.withColumn("improved", improved).withColumn("best_so_far", best)
 
 
+# Runs with at most this many new-extreme epochs pick their improvements with a
+# JVM-side fold; beyond it, the exact distributed pointer-doubling path is used.
+FOLD_ROW_LIMIT = 100_000
+
+
+def _improvements_by_fold(records: DataFrame, run_col: str, min_delta: float) -> DataFrame:
+    """Greedy picks per run: (run, _ie).  ``records``: (run, e, v) with v strictly
+    decreasing in e; a record is picked when v < (last pick) - min_delta."""
+    per_run = records.groupBy(run_col).agg(F.sort_array(F.collect_list(F.struct("e", "v"))).alias("_xs"))
+    init = F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<int>").alias("imp"))
+
+    def pick(st: Column, x: Column) -> Column:
+        better = x["v"] < st["best"] - F.lit(float(min_delta))
+        return F.struct(
+            F.when(better, x["v"]).otherwise(st["best"]).alias("best"),
+            F.when(better, F.concat(st["imp"], F.array(x["e"].cast("int")))).otherwise(st["imp"]).alias("imp"),
+        )
+
+    return per_run.select(F.col(run_col).alias("_ir"), F.explode(F.aggregate("_xs", init, pick)["imp"]).alias("_ie"))
+
+
+def _improvements_by_jumps(records: DataFrame, run_col: str, min_delta: float) -> DataFrame:
+    """The same picks without gathering a run.
+
+    next(i) = the first later record with v < v_i - min_delta.  Because record
+    values fall strictly with the epoch, it is the smallest epoch among records
+    whose value is below the threshold: one prefix scan over the merged
+    (threshold, record) events sorted by value.  The picks are the path from
+    each run's first record along ``next``; pointer doubling expands it in
+    O(log n) rounds of joins on unique (run, epoch) keys.
+    """
+    from ledeframe.session import cut_lineage
+
+    recs = records.select(F.col(run_col).alias("_r"), F.col("e").cast("int").alias("e"), F.col("v").cast("double").alias("v"))
+    events = recs.select("_r", F.col("v").alias("_val"), F.lit(1).alias("_kind"), "e").unionByName(
+        recs.select("_r", (F.col("v") - F.lit(float(min_delta))).alias("_val"), F.lit(0).alias("_kind"), "e")
+    ).withColumn("_rec_e", F.when(F.col("_kind") == 1, F.col("e")))
+    # Ascending value; at equal value the threshold comes first (strictly below is required).
+    scanned = running_aggregate(events, "_r", [F.col("_val"), F.col("_kind"), F.col("e")], [("_nx", "_rec_e", "min", False)])
+    jump = cut_lineage(scanned.filter(F.col("_kind") == 0).select("_r", "e", F.col("_nx").alias("_j")))
+    path = cut_lineage(recs.groupBy("_r").agg(F.min("e").alias("e")))  # the first epoch always improves
+    while True:
+        step = path.join(jump, ["_r", "e"]).filter(F.col("_j").isNotNull()).select("_r", F.col("_j").alias("e"))
+        path = cut_lineage(path.unionByName(step).distinct())
+        longer = jump.alias("a").join(jump.alias("b"), (F.col("a._r") == F.col("b._r")) & (F.col("a._j") == F.col("b.e")), "left")
+        jump = cut_lineage(longer.select(F.col("a._r").alias("_r"), F.col("a.e").alias("e"), F.col("b._j").alias("_j")))
+        if jump.filter(F.col("_j").isNotNull()).limit(1).count() == 0:
+            break
+    return path.select(F.col("_r").alias("_ir"), F.col("e").alias("_ie"))
+
+
 def improvement_flags(
     df: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
 ) -> DataFrame:
@@ -43,28 +94,22 @@ def improvement_flags(
     (mode max); ``best`` moves only on an improvement.  With ``min_delta = 0``
     this is a strict running best, a pure prefix scan.  With ``min_delta > 0``
     ``best`` stays within ``min_delta`` of the running extreme, so only epochs
-    that set a new running extreme can improve; those records are folded per
-    run (a handful per run for noisy values) and joined back.
+    that set a new running extreme can improve.  Those records are folded per
+    run while every run has at most ``FOLD_ROW_LIMIT`` of them (checked), and
+    otherwise resolved by distributed pointer doubling.
     """
     rb = running_best(df, run_col, epoch_col, value_col, mode)
     if not min_delta:
         return rb
-    v, e = F.col(value_col), F.col(epoch_col)
     sign = 1.0 if mode == "min" else -1.0
-    records = rb.filter(F.col("improved"))  # new running extremes
-    per_run = records.groupBy(run_col).agg(
-        F.sort_array(F.collect_list(F.struct(e.alias("e"), (v * F.lit(sign)).alias("v")))).alias("_xs")
+    records = rb.filter(F.col("improved")).select(
+        run_col, F.col(epoch_col).alias("e"), (F.col(value_col) * F.lit(sign)).alias("v")
     )
-    init = F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<int>").alias("imp"))
-
-    def pick(st: Column, x: Column) -> Column:
-        better = x["v"] < st["best"] - F.lit(float(min_delta))
-        return F.struct(
-            F.when(better, x["v"]).otherwise(st["best"]).alias("best"),
-            F.when(better, F.concat(st["imp"], F.array(x["e"].cast("int")))).otherwise(st["imp"]).alias("imp"),
-        )
-
-    imps = per_run.select(F.col(run_col).alias("_ir"), F.explode(F.aggregate("_xs", init, pick)["imp"]).alias("_ie"))
+    per_run_max = records.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if per_run_max <= FOLD_ROW_LIMIT:
+        imps = _improvements_by_fold(records, run_col, min_delta)
+    else:
+        imps = _improvements_by_jumps(records, run_col, min_delta)
     imps = imps.withColumn("_hit", F.lit(True))
     out = rb.join(imps, (F.col(run_col) == F.col("_ir")) & (F.col(epoch_col) == F.col("_ie")), "left").drop("_ir", "_ie")
     return out.withColumn("improved", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")

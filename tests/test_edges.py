@@ -382,3 +382,29 @@ def test_csv_scan_single_line_mode(spark, tmp_dir):
     _write(p, 'doc_id,title,category\n1,"a, b",political\n2,NA,non-political\n')
     rows = {r.doc_id: r for r in S.csv_scan(spark, p, multi_line=False).collect()}
     assert rows[1].title == "a, b" and rows[2].title is None
+
+
+def test_min_delta_pointer_doubling_matches_fold(spark, monkeypatch):
+    """Force the distributed path (no run gathered) and compare with the state machines."""
+    import random
+
+    rng = random.Random(23)
+    runs = {}
+    for r in range(8):
+        n = rng.randint(1, 50)
+        if r % 3 == 0:
+            vals = [1.0 - 3e-5 * i for i in range(n)]  # creeping: sub-delta steps
+        elif r % 3 == 1:
+            vals = [round(1.0 - 0.013 * i + rng.uniform(0, 0.02), 4) for i in range(n)]
+        else:
+            vals = [round(rng.uniform(0, 1), 3) for _ in range(n)]
+        runs[f"r{r}"] = vals
+    rows = [(k, i + 1, float(v)) for k, vs in runs.items() for i, v in enumerate(vs)]
+    log = spark.createDataFrame(rows, "run_id string, epoch int, val_loss double")
+    monkeypatch.setattr(R, "FOLD_ROW_LIMIT", 0)
+    got = {r.run_id: r.stop_epoch for r in R.early_stop(log, patience=3, min_delta=1e-4).collect()}
+    assert got == {k: _simulate_early_stop(vs, 3, 1e-4) for k, vs in runs.items()}
+    lr = {(r.run_id, r.epoch): (r.lr, r.cut) for r in R.plateau_lr(log, patience=2, base_lr=1.0).collect()}
+    for k, vs in runs.items():
+        for i, (want_lr, want_cut) in enumerate(_simulate_plateau(vs, 2, 1.0, 0.5, 1e-4, 0.0)):
+            assert lr[(k, i + 1)][1] == want_cut and lr[(k, i + 1)][0] == pytest.approx(want_lr)
