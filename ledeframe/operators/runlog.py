@@ -118,7 +118,22 @@ def improvement_flags(
 def early_stop_trace(
     df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
 ) -> DataFrame:
-    """W2 per epoch: epochs since the last improvement and the stop flag."""
+    """W2 per epoch: epochs since the last improvement and the stop flag.
+
+    With ``min_delta = 0`` the last improving epoch up to t is the first epoch
+    reaching the running extreme, i.e. the running minimum of
+    struct(value, epoch): one prefix scan.
+    """
+    if not min_delta:
+        v = F.col(value_col) if mode == "min" else -F.col(value_col)
+        keyed = df.withColumn("_key", F.struct(v.alias("k"), F.col(epoch_col).alias("e")))
+        tr = running_aggregate(keyed, run_col, [F.col(epoch_col)], [("_run_best", "_key", "min", True)])
+        return (
+            tr.withColumn("since_improved", (F.col(epoch_col) - F.col("_run_best.e")).cast("int"))
+            .withColumn("improved", F.col("since_improved") == 0)
+            .withColumn("stop_here", F.col("since_improved") >= F.lit(patience))
+            .drop("_key", "_run_best")
+        )
     rb = improvement_flags(df, run_col, epoch_col, value_col, mode, min_delta)
     rb = rb.withColumn("_imp_epoch", F.when(F.col("improved"), F.col(epoch_col)))
     tr = running_aggregate(rb, run_col, [F.col(epoch_col)], [("_last_imp", "_imp_epoch", "max", True)])
