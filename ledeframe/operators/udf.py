@@ -16,7 +16,7 @@ from ledeframe.functions.sequence import attention_mask, frame_sequence, pad_seq
 from ledeframe.session import ship_code
 
 
-def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
     """``map(fn, batched=True)``: ``fn`` gets a pandas batch and returns it with
     added columns; ``schema`` is the output schema.  Runs per Arrow batch."""
 

@@ -5,6 +5,8 @@
   vocabulary on train -> ids -> mean-pooled word vectors -> T1 with early
   stopping -> best epoch -> validation report; the epoch metrics are written
   as CSV per run.
+* ``trainer_flow`` (trainer-object style): drop nulls -> label map -> seeded
+  random split -> batched user map -> model columns -> Spark ML fit -> metrics.
 * ``sequence_flow`` (sequence-model style): read CSV -> clean -> vocabulary on
   all rows -> ids -> pad -> stratified split -> embedding matrix -> attention
   pooling -> MLP classifier -> threshold -> report and confusion matrix.
@@ -99,3 +101,34 @@ def sequence_flow(
     scored = model.transform(val).withColumn("p", F.get(vector_to_array("probability"), 1))
     preds = M.threshold_predict(scored, "p", "pred").select("y", "pred")
     return {"report": M.classification_report(preds), "confusion": M.confusion_cells(preds, "y", "pred")}
+
+
+def trainer_flow(
+    spark: SparkSession,
+    csv_path: str,
+    vectors: DataFrame,
+    dim: int,
+    batch_fn=None,
+    max_words: int = 8000,
+    max_len: int = 128,
+    val_share: float = 0.2,
+    seed: int = 42,
+) -> dict:
+    """Trainer-object style: drop nulls -> fixed label map (unknown stays null) ->
+    seeded random split -> batched user map -> keep the model's columns ->
+    Spark ML fit -> metric callback on the held-out rows."""
+    from ledeframe.operators import udf as U
+
+    raw = S.csv_scan(spark, csv_path)
+    rows = H.drop_null_any(raw, ["doc_id", "title", "category"])
+    rows = L.label_map(rows, "category").filter(F.col("label").isNotNull())
+    rows = SP.random_split(rows, "doc_id", seed=seed, val_share=val_share)
+    if batch_fn is not None:
+        rows = U.map_batches(rows, batch_fn, rows.schema)  # same columns out
+    vocab = V.vocab_top_n(rows.filter(F.col("split") == "train"), max_words, "title", "doc_id")
+    feats = _features(rows, vocab, vectors, max_words, max_len, dim, "title")
+    model_in = H.prune_columns(feats.withColumnRenamed("label", "y"), ["y", "x", "split"])
+    model = T.fit_classifier(model_in.filter(F.col("split") == "train"), kind="logistic", max_iter=50)
+    scored = model.transform(model_in.filter(F.col("split") == "val"))
+    metrics = M.metric_callback(scored.select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")))
+    return {"model": model, "metrics": metrics, "sizes": SP.split_sizes(rows, "label")}

@@ -40,3 +40,19 @@ def test_sequence_flow(spark, tmp_dir):
     acc = {r.row: r for r in out["report"].collect()}["accuracy"]
     assert acc.support == n_val
     assert out["report"].filter(F.col("row") == "weighted avg").count() == 1
+
+
+def test_trainer_flow(spark, tmp_dir):
+    from ledeframe.plans.flows import trainer_flow
+
+    def strip_batch(pdf):
+        return pdf.assign(title=pdf["title"].str.strip())
+
+    out = trainer_flow(spark, _csv(spark, tmp_dir), X.word_vectors(spark, SF), 64, batch_fn=strip_batch)
+    m = out["metrics"].first()
+    assert 0.0 <= m.accuracy <= 1.0 and m.recall == m.accuracy
+    sizes = {(r.split, r.label): r.n_rows for r in out["sizes"].collect()}
+    n = sum(sizes.values())
+    import math
+
+    assert sum(v for (s, _), v in sizes.items() if s == "val") == math.ceil(0.2 * n)
