@@ -141,3 +141,12 @@ def running_aggregate(df: DataFrame, group_col: str, order: list, specs: list, n
         joined = joined.withColumn(out, v)
     drop = ["_pid", "_cpid", "_cgrp"] + [f"_{p}_{s[0]}" for s in specs for p in ("l", "c")]
     return joined.drop(*drop)
+
+
+def shuffled_batches(df: DataFrame, id_col: str, batch_size: int, epoch: int = 1, seed: int = 42, name: str = "batch_id") -> DataFrame:
+    """W7 over a per-epoch seeded shuffle (a shuffled data loader): position in
+    md5(seed|epoch|id) order, batch = position // batch_size.  Uses the hash-bucket
+    index, so no sampling or checkpoint; the same batches for any partitioning."""
+    keyed = df.withColumn("_epoch", F.lit(epoch))
+    out = hash_order_index(keyed, seed, id_col, "position", salt=("_epoch",))
+    return out.withColumn(name, F.floor(F.col("position") / F.lit(batch_size)).cast("long")).drop("_epoch")

@@ -192,3 +192,18 @@ def test_user_functions_run_where_the_package_is_not_importable():
     out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.gettempdir(), env=env, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
     assert out.stdout.strip().splitlines()[-1] == "200 200"
+
+
+def test_shuffled_batches(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
+    n = docs.count()
+    b1 = {r.doc_id: (r.position, r.batch_id) for r in O.shuffled_batches(docs, "doc_id", 32, epoch=1).collect()}
+    b2 = {r.doc_id: r.position for r in O.shuffled_batches(docs.repartition(7), "doc_id", 32, epoch=2).collect()}
+    assert sorted(p for p, _ in b1.values()) == list(range(n))
+    sizes = {}
+    for _, b in b1.values():
+        sizes[b] = sizes.get(b, 0) + 1
+    assert all(v == 32 for k, v in sizes.items() if k < max(sizes)) and sizes[max(sizes)] == n - 32 * max(sizes)
+    assert b2 != {k: v[0] for k, v in b1.items()}  # a new order each epoch
+    again = {r.doc_id: (r.position, r.batch_id) for r in O.shuffled_batches(docs.repartition(3), "doc_id", 32, epoch=1).collect()}
+    assert again == b1  # partition independent
