@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledeframe.llm.common import documents
+from ledeframe.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, KINDS, THRESHOLDS, WINDOW, find_secrets, render
 from ledeframe.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +24,55 @@ def query(fn):
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents: 3-word shingles, at most 2 differing bits."""
     return simhash_groups(documents(spark, sf_dir), shingle=3, max_bits=2)
+
+
+@query
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base spans, and all spans."""
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"), "text", "found").select("doc_id", "found")
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(k))).cast("long")
+    base = F.filter("found", lambda s: s["kind"] <= KINDS.index("hex"))
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(render(base), 256).alias("base_sha256"),
+        render(F.col("found")).alias("spans"),
+    )
+
+
+def _sql_spans(kind: int, pattern: str, keep: str = "true") -> str:
+    """Rows (doc_id, kind, s, e, m) of a pattern's matches."""
+    p = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, {kind} AS kind, s, s + length(m) AS e, m FROM (
+      SELECT doc_id, ms[i] AS m, gs[i] AS g,
+             list_sum(list_transform(ps[1:i], lambda x: length(x)))::BIGINT
+             + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0)::BIGINT AS s
+      FROM (SELECT doc_id, ms, gs, ps, unnest(generate_series(1, len(ms))) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {2 if kind == 0 else 0}) AS gs,
+               string_split_regex(t, '{p}') AS ps FROM d WHERE regexp_matches(t, '{p}')))) WHERE {keep}"""
+
+
+def _op8_sql() -> str:
+    allow = "|".join(f"(?:{p})" for p in ALLOW)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_sql_spans(0, ASSIGN, f"length(g) >= {ASSIGN_LEAST}")} UNION ALL {_sql_spans(1, ACCESS)} UNION ALL {_sql_spans(2, HEX)}),
+cand AS (SELECT *, CASE WHEN regexp_matches(m, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN 3 WHEN regexp_matches(m, '^[A-Za-z0-9]+$') THEN 4 ELSE 5 END AS k
+         FROM ({_sql_spans(9, CANDIDATE)}) WHERE NOT regexp_matches(m, '{allow}')),
+win AS (SELECT doc_id, k, s, p, round(list_aggregate(string_split(substr(m, p + 1, {WINDOW}), ''), 'entropy'), 9) AS h
+        FROM (SELECT doc_id, k, s, m, unnest(generate_series(0, length(m) - {WINDOW})) AS p FROM cand)),
+extra AS (SELECT doc_id, k AS kind, s + min(p) AS s, s + max(p) + {WINDOW} AS e FROM win
+          WHERE h >= CASE k WHEN 3 THEN {THRESHOLDS["hex"]} WHEN 4 THEN {THRESHOLDS["alnum"]} ELSE {THRESHOLDS["base64"]} END GROUP BY doc_id, k, s),
+spans AS (SELECT doc_id, kind, s, e FROM base UNION ALL SELECT doc_id, kind, s, e FROM extra),
+named AS (SELECT *, [{", ".join(f"'{k}'" for k in KINDS)}][kind + 1] || ':' || s || ':' || e AS txt FROM spans),
+agg AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+        string_agg(txt, ',' ORDER BY s, kind) FILTER (kind <= 2) AS base, string_agg(txt, ',' ORDER BY s, kind) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg ON d.doc_id = agg.doc_id"""
+
+
+ORACLE["op8_secret_scans"] = _op8_sql()
