@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledeframe.llm.common import documents
+from ledeframe.llm.quality import quality_verdicts
 from ledeframe.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, KINDS, THRESHOLDS, WINDOW, find_secrets, render
 from ledeframe.llm.simhash import simhash_groups
 
@@ -76,3 +77,10 @@ FROM d LEFT JOIN agg ON d.doc_id = agg.doc_id"""
 
 
 ORACLE["op8_secret_scans"] = _op8_sql()
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document and the verdict of the fitted rules."""
+    found = quality_verdicts(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
