@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledeframe.llm.common import documents
+from ledeframe.llm.mixing import mix
 from ledeframe.llm.quality import quality_verdicts
 from ledeframe.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, KINDS, THRESHOLDS, WINDOW, find_secrets, render
 from ledeframe.llm.simhash import simhash_groups
@@ -84,3 +85,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document and the verdict of the fitted rules."""
     found = quality_verdicts(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, with its source's size and target."""
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op7_source_mixing"] = """
+WITH b AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+           md5('42|' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM b GROUP BY source),
+tot AS (SELECT sum(source_size)::BIGINT AS total FROM s0),
+s1 AS (SELECT *, coalesce(sum(3 * source_size) OVER o, 0)::BIGINT AS held, (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::BIGINT AS opened
+       FROM s0 WINDOW o AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lvl AS (SELECT min_by((total - held)::DOUBLE / opened::DOUBLE, held) AS level FROM s1, tot WHERE (total - held)::DOUBLE / opened::DOUBLE * w <= 3 * source_size),
+s AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, w * level) AS target FROM s0, lvl),
+p AS (SELECT b.*, s.source_size, s.target, sum(size) OVER (PARTITION BY b.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+      FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source),
+f AS (SELECT doc_id, size, k, source, c, (c * source_size + upto)::DOUBLE / target AS fin FROM p, (SELECT unnest([0, 1, 2]) AS c) WHERE size > 0),
+q AS (SELECT *, sum(size) OVER (ORDER BY fin, k, doc_id NULLS FIRST, source NULLS FIRST, c ROWS UNBOUNDED PRECEDING) AS words FROM f),
+t AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM q, tot WHERE words <= total GROUP BY doc_id)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::BIGINT AS taken FROM p LEFT JOIN t ON p.doc_id = t.doc_id"""
