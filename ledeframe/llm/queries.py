@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledeframe.llm.bpe import decode, encode, load
 from ledeframe.llm.common import documents
 from ledeframe.llm.mixing import mix
 from ledeframe.llm.quality import quality_verdicts
@@ -108,3 +110,21 @@ f AS (SELECT doc_id, size, k, source, c, (c * source_size + upto)::DOUBLE / targ
 q AS (SELECT *, sum(size) OVER (ORDER BY fin, k, doc_id NULLS FIRST, source NULLS FIRST, c ROWS UNBOUNDED PRECEDING) AS words FROM f),
 t AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM q, tot WHERE words <= total GROUP BY doc_id)
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::BIGINT AS taken FROM p LEFT JOIN t ON p.doc_id = t.doc_id"""
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id and digests of the byte-level BPE round trip of each text."""
+    ranks = load(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return decode(ids, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document: number of ids, digest of the ids, digest of the bytes they decode to."""
+    return bpe_digests(documents(spark, sf_dir))
