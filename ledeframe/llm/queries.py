@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledeframe.llm.bpe import decode, encode, load
-from ledeframe.llm.common import documents
+from ledeframe.llm.common import documents, table
 from ledeframe.llm.mixing import mix
 from ledeframe.llm.quality import quality_verdicts
 from ledeframe.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, KINDS, THRESHOLDS, WINDOW, find_secrets, render
 from ledeframe.llm.simhash import simhash_groups
+from ledeframe.llm.toxicity import held_out, score_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +129,13 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document: number of ids, digest of the ids, digest of the bytes they decode to."""
     return bpe_digests(documents(spark, sf_dir))
+
+
+TOXIC_FROM = 0.7
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels outside the held-out third."""
+    scored = score_documents(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
