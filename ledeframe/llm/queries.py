@@ -14,6 +14,8 @@ from ledeframe.llm.mixing import mix
 from ledeframe.llm.quality import quality_verdicts
 from ledeframe.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, KINDS, THRESHOLDS, WINDOW, find_secrets, render
 from ledeframe.llm.simhash import simhash_groups
+from ledeframe.llm.substrings import remove_repeats
+from ledeframe.llm.suffixes import remove_repeated_bytes
 from ledeframe.llm.toxicity import held_out, score_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,9 +117,9 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::BIGINT A
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id and digests of the byte-level BPE round trip of each text."""
-    ranks = load(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return decode(ids, ranks).select(
+    vocabulary = load(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN).select("doc_id", "ids")
+    return decode(ids, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
@@ -139,3 +141,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels outside the held-out third."""
     scored = score_documents(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document when windows of 20 words that start earlier elsewhere go."""
+    found = remove_repeats(documents(spark, sf_dir), size=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document when strings of 200 bytes that occur twice go."""
+    found = remove_repeated_bytes(documents(spark, sf_dir), size=200)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
