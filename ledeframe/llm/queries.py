@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledeframe.llm.bpe import decode, encode, load
+from ledeframe.llm.chat import END, START, format_chats
 from ledeframe.llm.common import documents, table
 from ledeframe.llm.mixing import mix
 from ledeframe.llm.quality import quality_verdicts
@@ -155,3 +156,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every document when strings of 200 bytes that occur twice go."""
     found = remove_repeated_bytes(documents(spark, sf_dir), size=200)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation that is no snapshot of a longer one, rendered."""
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op1_chat_formatting"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, role, text, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM t
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(0) || text))),
+p AS (SELECT conv_id, n, m, string_agg(md5(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY n) AS prefix FROM n),
+whole AS (SELECT prefix, min(conv_id) AS conv_id FROM p WHERE n = m GROUP BY prefix),
+kept AS (SELECT conv_id FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE n < m))
+SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg('{START}' || role || chr(10) || text || '{END}' || chr(10), '' ORDER BY n) AS chat
+FROM n WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id"""
