@@ -12,6 +12,7 @@ from ledeframe.llm.bpe import decode, encode, load
 from ledeframe.llm.chat import END, START, format_chats
 from ledeframe.llm.common import documents, table
 from ledeframe.llm.mixing import mix
+from ledeframe.llm.multiindex import near_vectors
 from ledeframe.llm.quality import quality_verdicts
 from ledeframe.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, KINDS, THRESHOLDS, WINDOW, find_secrets, render
 from ledeframe.llm.simhash import simhash_groups
@@ -173,3 +174,9 @@ whole AS (SELECT prefix, min(conv_id) AS conv_id FROM p WHERE n = m GROUP BY pre
 kept AS (SELECT conv_id FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE n < m))
 SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg('{START}' || role || chr(10) || text || '{END}' || chr(10), '' ORDER BY n) AS chat
 FROM n WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id"""
+
+
+@query
+def op3_embedding_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-duplicate embeddings of one label, cosine 0.93 and more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
