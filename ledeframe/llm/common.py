@@ -20,6 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -71,4 +79,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-__all__ = ["BLANK", "WORD", "connected_components", "cut_lineage", "documents", "hex64", "ship_code", "table", "word_count", "words_of"]
+__all__ = ["BLANK", "WORD", "connected_components", "cut_lineage", "documents", "hex64", "ship_code", "table", "unused", "word_count", "words_of"]

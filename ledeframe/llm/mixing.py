@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledeframe.llm.common import cut_lineage, word_count
+from ledeframe.llm.common import cut_lineage, unused, word_count
 from ledeframe.operators.order import running_aggregate, with_row_index
 
 MOST_COPIES = 3
@@ -91,9 +91,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, all columns unchanged
     (rows repeated with the same id and text are written from one of them)."""
+    id_, other, digest, times, copy = (unused(docs, c) for c in ("mix_id", "mix_other", "mix_digest", "mix_copies", "mix_copy"))
     plan = mix(docs, id_col, text_col, source_col, seed).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.sum("copies").cast("int").alias("_copies"))
-    rows = docs.withColumn("_text", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    hit = rows.join(plan, rows[id_col].eqNullSafe(plan["_id"]) & (rows["_text"] == plan["_digest"]))
-    hit = hit.dropDuplicates([id_col, "_text"])
-    return hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = plan.groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(other)).agg(F.sum("copies").cast("int").alias(times))
+    rows = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    hit = rows.join(plan, rows[id_col].eqNullSafe(plan[id_]) & (rows[digest] == plan[other])).dropDuplicates([id_col, digest])
+    return hit.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[hit[c] for c in docs.columns])

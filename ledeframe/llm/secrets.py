@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledeframe.llm.common import unused
+
 # The base patterns and the least length of what they must catch.
 ASSIGN = (
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -162,23 +164,22 @@ def render(spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every maximal stretch of overlapping or touching spans replaced by ``mask``."""
-    found = find_secrets(docs, text_col, "_secrets")
+    """``docs`` with every maximal stretch of overlapping or touching spans replaced by ``mask``;
+    other rows and columns, nulls among them, stay as they are."""
+    spans = unused(docs, "secrets")
+    found = find_secrets(docs, text_col, spans)
     long0 = F.lit(0).cast("long")
 
     def step(a, s):
-        fresh = s["start"] > a["at"]
+        # A stretch begins with this span unless it begins in or right behind the last one.
+        fresh = (s["start"] > a["at"]) | (F.size(a["out"]) == 0)
         cut = F.concat(F.col(text_col).substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mask))
-        first = (a["at"] == 0) & (F.size(a["out"]) == 0)
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(fresh | first, F.concat(a["out"], F.array(cut))).otherwise(a["out"]).alias("out"),
-        )
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(cut))).otherwise(a["out"]).alias("out"))
 
     masked = F.aggregate(
-        F.col("_secrets"),
+        spans,
         F.struct(long0.alias("at"), F.array().cast("array<string>").alias("out")),
         step,
         lambda a: F.concat(F.array_join(a["out"], ""), F.col(text_col).substr(a["at"] + 1, F.length(text_col).cast("long"))),
     )
-    return found.withColumn(text_col, F.when(F.size("_secrets") > 0, masked).otherwise(F.col(text_col))).drop("_secrets")
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(F.col(text_col))).drop(spans)

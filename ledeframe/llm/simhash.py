@@ -124,7 +124,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each group left, all columns unchanged: the one of the
-    smallest id (rows that repeat this id: one of them; groups of null ids only: all)."""
+    smallest id (rows that repeat this id: one of them). Rows without an id stay, as nothing names them."""
     keys = simhash_groups(docs, id_col, text_col, shingle, max_bits).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
     known = docs.where(F.col(id_col).isNotNull()).join(keys, id_col, "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.where(F.col(id_col).isNull()))
