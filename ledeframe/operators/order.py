@@ -13,8 +13,7 @@ replacements:
   shared folder first: the local ids are read twice and must come from the
   same run.
 
-``running_aggregate`` applies the same range-partition idea to per-group
-prefix scans.
+``PrefixScans`` applies the same range-partition idea to per-group prefix scans.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeframe.functions.rand import seeded_bits
-from ledeframe.session import broadcast_if_small, cut_lineage
+from ledeframe.session import cut_lineage
 
 
 def with_row_index(df: DataFrame, order: list, name: str = "row_index", num_partitions: int | None = None) -> DataFrame:
@@ -68,7 +67,6 @@ def hash_order_index(df: DataFrame, seed: int, id_col: str, name: str, group_col
     offsets = hist.withColumn("_off", F.coalesce(F.sum("_cnt").over(upto), F.lit(0))).drop("_cnt")
     in_bucket = Window.partitionBy(*gkeys, "_b").orderBy("_h", id_col)
     ranked = keyed.withColumn("_r", F.row_number().over(in_bucket))
-    offsets = broadcast_if_small(offsets)
     return (
         ranked.join(offsets, gkeys + ["_b"])
         .withColumn(name, (F.col("_off") + F.col("_r") - 1).cast("long"))
@@ -97,50 +95,58 @@ def batch_assign(df: DataFrame, order: list, batch_size: int, name: str = "batch
     return indexed.withColumn(name, F.floor(F.col(position) / F.lit(batch_size)).cast("long"))
 
 
-def running_aggregate(df: DataFrame, group_col: str, order: list, specs: list, num_partitions: int | None = None) -> DataFrame:
-    """Running min / max / sum per group, safe when one group holds most rows.
-
-    ``specs``: ``(out, value_col, fn, inclusive)`` with fn in min|max|sum and
-    ``inclusive=False`` meaning "rows strictly before this one".
+class PrefixScans:
+    """Running values per group over one partitioning, safe when one group holds most rows.
 
-    Rows are range-partitioned on (group, order), so a huge group is spread
-    over many partitions.  Each (partition, group) piece is scanned locally; the
-    pieces' totals (one row per piece: at most partitions + groups rows) are
-    scanned per group to give each piece its carry-in, which is then combined
-    with the local value.  No window ever holds more than one partition's rows.
+    Rows are range-partitioned on (group, order) and checkpointed once, so a huge
+    group is spread over many partitions, and any number of scans can follow.  Each
+    (partition, group) piece is scanned locally; the pieces' totals (one row per
+    piece: at most partitions + groups rows) are scanned per group to give each
+    piece its carry-in.  No window ever holds more than one partition's rows.
     """
-    keys = [F.col(group_col)] + list(order)
-    # AQE may merge adjacent range partitions at run time; order is preserved.
-    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    tagged = cut_lineage(ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
-    fns = {"min": F.min, "max": F.max, "sum": F.sum}
-    piece = Window.partitionBy("_pid", group_col).orderBy(*order)
-    local_cols = []
-    for out, val, fn, incl in specs:
-        frame = piece.rowsBetween(Window.unboundedPreceding, 0 if incl else -1)
-        local_cols.append(fns[fn](val).over(frame).alias(f"_l_{out}"))
-    local = tagged.select("*", *local_cols)
-    seg = tagged.groupBy("_pid", group_col).agg(*[fns[fn](val).alias(f"_s_{out}") for out, val, fn, _ in specs])
-    before = Window.partitionBy(group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = seg.select(
-        F.col("_pid").alias("_cpid"),
-        F.col(group_col).alias("_cgrp"),
-        *[fns[fn](f"_s_{out}").over(before).alias(f"_c_{out}") for out, _, fn, _ in specs],
-    )
-    joined = local.join(
-        carry, (local["_pid"] == carry["_cpid"]) & local[group_col].eqNullSafe(carry["_cgrp"]), "inner"
-    )
-    for out, _, fn, _ in specs:
-        c, lo = F.col(f"_c_{out}"), F.col(f"_l_{out}")
-        if fn == "min":
-            v = F.least(c, lo)
-        elif fn == "max":
-            v = F.greatest(c, lo)
-        else:
-            v = F.when(c.isNull() & lo.isNull(), F.lit(None)).otherwise(F.coalesce(c, F.lit(0)) + F.coalesce(lo, F.lit(0)))
-        joined = joined.withColumn(out, v)
-    drop = ["_pid", "_cpid", "_cgrp"] + [f"_{p}_{s[0]}" for s in specs for p in ("l", "c")]
-    return joined.drop(*drop)
+
+    _FNS = {"min": F.min, "max": F.max, "sum": F.sum}
+
+    def __init__(self, df: DataFrame, group_col: str, order: list, num_partitions: int | None = None):
+        self.group_col, self.order = group_col, list(order)
+        keys = [F.col(group_col), *self.order]
+        # AQE may merge adjacent range partitions at run time; order is preserved.
+        ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+        self.table = cut_lineage(ranged.sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id()))
+
+    def scan(self, rows: DataFrame, specs: list) -> DataFrame:
+        """``rows`` (``table`` or what was derived from it, ``_pid`` kept) with a column per spec
+        ``(out, value_col, fn, inclusive)``: fn is min|max|sum and ``inclusive=False`` means
+        "rows strictly before this one"."""
+        piece = Window.partitionBy("_pid", self.group_col).orderBy(*self.order)
+        local = rows
+        for out, val, fn, incl in specs:
+            frame = piece.rowsBetween(Window.unboundedPreceding, 0 if incl else -1)
+            local = local.withColumn(f"_l_{out}", self._FNS[fn](val).over(frame))
+        seg = rows.groupBy("_pid", self.group_col).agg(*[self._FNS[fn](val).alias(f"_s_{out}") for out, val, fn, _ in specs])
+        before = Window.partitionBy(self.group_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        carry = seg.select(
+            F.col("_pid").alias("_cpid"),
+            F.col(self.group_col).alias("_cgrp"),
+            *[self._FNS[fn](f"_s_{out}").over(before).alias(f"_c_{out}") for out, _, fn, _ in specs],
+        )
+        joined = local.join(carry, (local["_pid"] == carry["_cpid"]) & local[self.group_col].eqNullSafe(carry["_cgrp"]), "inner")
+        for out, _, fn, _ in specs:
+            c, lo = F.col(f"_c_{out}"), F.col(f"_l_{out}")
+            if fn == "min":
+                v = F.least(c, lo)
+            elif fn == "max":
+                v = F.greatest(c, lo)
+            else:
+                v = F.when(c.isNull() & lo.isNull(), F.lit(None)).otherwise(F.coalesce(c, F.lit(0)) + F.coalesce(lo, F.lit(0)))
+            joined = joined.withColumn(out, v)
+        return joined.drop("_cpid", "_cgrp", *[f"_{x}_{spec[0]}" for spec in specs for x in ("l", "c")])
+
+
+def running_aggregate(df: DataFrame, group_col: str, order: list, specs: list, num_partitions: int | None = None) -> DataFrame:
+    """One scan of ``PrefixScans``: ``df`` with running min / max / sum columns per group."""
+    scans = PrefixScans(df, group_col, order, num_partitions)
+    return scans.scan(scans.table, specs).drop("_pid")
 
 
 def shuffled_batches(df: DataFrame, id_col: str, batch_size: int, epoch: int = 1, seed: int = 42, name: str = "batch_id") -> DataFrame:

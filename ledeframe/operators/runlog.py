@@ -1,10 +1,12 @@
 """Run-log analytics as ordered per-run computations.
 
-A run log is ``(run_id, epoch, metric...)``.  Running values use
-``running_aggregate`` (range-partitioned prefix scan), so a run with very many
-rows is not one task; per-run decisions are partial aggregations, and the
-one-row-per-run summaries joined back go through the size-checked broadcast,
-so a hot run never lands in a single join task.
+A run log is ``(run_id, epoch, metric...)``.  Epoch numbers may have gaps and metrics may
+be missing: a null value is no evaluation (it neither improves nor counts), a NaN is
+an evaluation that does not improve.  Patience counts evaluations, not epoch numbers.
+
+Running values use ``PrefixScans`` (one range shuffle and one checkpoint for all scans
+of an operator), so a run with very many rows is not one task; per-run decisions are
+partial aggregations.
 """
 
 from __future__ import annotations
@@ -12,8 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledeframe.operators.order import running_aggregate
-from ledeframe.session import broadcast_if_small
+from ledeframe.operators.order import PrefixScans, running_aggregate
+from ledeframe.session import cut_lineage
+
+
+def _valid(value: Column) -> Column:
+    """The value if it can improve on another: not null, not NaN."""
+    return F.when(value.isNotNull() & ~F.isnan(value.cast("double")), value)
+
+
+def _signed(value_col: str, mode: str) -> Column:
+    """The value as something to minimise."""
+    v = _valid(F.col(value_col))
+    return v if mode == "min" else -v
 
 
 def epoch_axis(df: DataFrame, run_col: str, order: list, name: str = "epoch") -> DataFrame:
@@ -24,39 +37,25 @@ def epoch_axis(df: DataFrame, run_col: str, order: list, name: str = "epoch") ->
 
 
 def running_best(df: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min") -> DataFrame:
-    """Best value before each epoch and whether the epoch strictly improves on it."""
+    """Best value before each epoch and whether the epoch strictly improves on it.
+    Missing values and NaN are never best and never improve."""
     fn = "min" if mode == "min" else "max"
-    out = running_aggregate(df, run_col, [F.col(epoch_col)], [("best_before", value_col, fn, False)])
-    v, b = F.col(value_col), F.col("best_before")
-    better = (v < b) if mode == "min" else (v > b)
-    improved = b.isNull() | better
-    best = F.least(b, v) if mode == "min" else F.greatest(b, v)
-    return out.withColumn("improved", improved).withColumn("best_so_far", best)
-
-
-# Runs with at most this many new-extreme epochs pick their improvements with a
-# JVM-side fold; beyond it, the exact distributed pointer-doubling path is used.
-FOLD_ROW_LIMIT = 100_000
-
-
-def _improvements_by_fold(records: DataFrame, run_col: str, min_delta: float) -> DataFrame:
-    """Greedy picks per run: (run, _ie).  ``records``: (run, e, v) with v strictly
-    decreasing in e; a record is picked when v < (last pick) - min_delta."""
-    per_run = records.groupBy(run_col).agg(F.sort_array(F.collect_list(F.struct("e", "v"))).alias("_xs"))
-    init = F.struct(F.lit(float("inf")).alias("best"), F.array().cast("array<int>").alias("imp"))
+    keyed = df.withColumn("_v", _valid(F.col(value_col)))
+    out = running_aggregate(keyed, run_col, [F.col(epoch_col)], [("best_before", "_v", fn, False)])
+    return _with_improved(out, mode).drop("_v")
 
-    def pick(st: Column, x: Column) -> Column:
-        better = x["v"] < st["best"] - F.lit(float(min_delta))
-        return F.struct(
-            F.when(better, x["v"]).otherwise(st["best"]).alias("best"),
-            F.when(better, F.concat(st["imp"], F.array(x["e"].cast("int")))).otherwise(st["imp"]).alias("imp"),
-        )
 
-    return per_run.select(F.col(run_col).alias("_ir"), F.explode(F.aggregate("_xs", init, pick)["imp"]).alias("_ie"))
+def _with_improved(rows: DataFrame, mode: str) -> DataFrame:
+    v, b = F.col("_v"), F.col("best_before")
+    better = (v < b) if mode == "min" else (v > b)
+    improved = v.isNotNull() & (b.isNull() | F.coalesce(better, F.lit(False)))
+    best = F.least(b, v) if mode == "min" else F.greatest(b, v)
+    return rows.withColumn("improved", improved).withColumn("best_so_far", best)
 
 
-def _improvements_by_jumps(records: DataFrame, run_col: str, min_delta: float) -> DataFrame:
-    """The same picks without gathering a run.
+def _improvements(records: DataFrame, run_col: str, min_delta: float) -> DataFrame:
+    """Greedy picks per run: (run, _ie), without gathering a run.  ``records``: (run, e, v) with v
+    strictly decreasing in e; a record is picked when v < (last pick) - min_delta.
 
     next(i) = the first later record with v < v_i - min_delta.  Because record
     values fall strictly with the epoch, it is the smallest epoch among records
@@ -65,8 +64,6 @@ def _improvements_by_jumps(records: DataFrame, run_col: str, min_delta: float) -
     each run's first record along ``next``; pointer doubling expands it in
     O(log n) rounds of joins on unique (run, epoch) keys.
     """
-    from ledeframe.session import cut_lineage
-
     recs = records.select(F.col(run_col).alias("_r"), F.col("e").cast("int").alias("e"), F.col("v").cast("double").alias("v"))
     events = recs.select("_r", F.col("v").alias("_val"), F.lit(1).alias("_kind"), "e").unionByName(
         recs.select("_r", (F.col("v") - F.lit(float(min_delta))).alias("_val"), F.lit(0).alias("_kind"), "e")
@@ -85,103 +82,126 @@ def _improvements_by_jumps(records: DataFrame, run_col: str, min_delta: float) -
     return path.select(F.col("_r").alias("_ir"), F.col("e").alias("_ie"))
 
 
-def improvement_flags(
-    df: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
-) -> DataFrame:
-    """Mark epochs that improve on the monitored best (callback semantics).
+def _flagged(
+    df: DataFrame, run_col: str, epoch_col: str, value_col: str, mode: str, min_delta: float
+) -> tuple[PrefixScans, DataFrame]:
+    """The scans of a log, and its rows with ``improved`` and ``_n``, the evaluations up to the row.
 
     Improvement means ``v < best - min_delta`` (mode min) or ``v > best + min_delta``
-    (mode max); ``best`` moves only on an improvement.  With ``min_delta = 0``
-    this is a strict running best, a pure prefix scan.  With ``min_delta > 0``
-    ``best`` stays within ``min_delta`` of the running extreme, so only epochs
-    that set a new running extreme can improve.  Those records are folded per
-    run while every run has at most ``FOLD_ROW_LIMIT`` of them (checked), and
-    otherwise resolved by distributed pointer doubling.
+    (mode max); ``best`` moves only on an improvement.  With ``min_delta = 0`` this is a
+    strict running best.  Otherwise ``best`` stays within ``min_delta`` of the running
+    extreme, so only rows that set a new extreme can improve; which of them do is
+    resolved by pointer doubling over those records.
     """
-    rb = running_best(df, run_col, epoch_col, value_col, mode)
-    if not min_delta:
-        return rb
-    sign = 1.0 if mode == "min" else -1.0
-    records = rb.filter(F.col("improved")).select(
-        run_col, F.col(epoch_col).alias("e"), (F.col(value_col) * F.lit(sign)).alias("v")
-    )
-    per_run_max = records.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if per_run_max <= FOLD_ROW_LIMIT:
-        imps = _improvements_by_fold(records, run_col, min_delta)
-    else:
-        imps = _improvements_by_jumps(records, run_col, min_delta)
-    imps = imps.withColumn("_hit", F.lit(True))
-    out = rb.join(imps, (F.col(run_col) == F.col("_ir")) & (F.col(epoch_col) == F.col("_ie")), "left").drop("_ir", "_ie")
-    return out.withColumn("improved", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit")
+    keyed = df.withColumn("_v", _valid(F.col(value_col))).withColumn("_one", F.col(value_col).isNotNull().cast("int"))
+    scans = PrefixScans(keyed, run_col, [F.col(epoch_col)])
+    fn = "min" if mode == "min" else "max"
+    rows = scans.scan(scans.table, [("best_before", "_v", fn, False), ("_n", "_one", "sum", True)])
+    rows = _with_improved(rows, mode).drop("_one")
+    if min_delta:
+        sign = 1.0 if mode == "min" else -1.0
+        records = rows.filter("improved").select(run_col, F.col(epoch_col).alias("e"), (F.col("_v") * F.lit(sign)).alias("v"))
+        hits = _improvements(cut_lineage(records), run_col, min_delta).withColumn("_hit", F.lit(True))
+        rows = rows.join(hits, F.col(run_col).eqNullSafe(F.col("_ir")) & (F.col(epoch_col) == F.col("_ie")), "left")
+        rows = rows.withColumn("improved", F.coalesce("_hit", F.lit(False))).drop("_hit", "_ir", "_ie")
+    return scans, rows.drop("_v", "best_before", "best_so_far")
+
+
+def improvement_flags(
+    df: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
+) -> DataFrame:
+    """Mark epochs that improve on the monitored best by more than ``min_delta`` (callback semantics)."""
+    return _flagged(df, run_col, epoch_col, value_col, mode, min_delta)[1].drop("_pid", "_n")
 
 
 def early_stop_trace(
     df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
 ) -> DataFrame:
-    """W2 per epoch: epochs since the last improvement and the stop flag.
+    """W2 per epoch: evaluations since the last improvement (since the start if there was none) and the stop flag."""
+    scans, rows = _flagged(df, run_col, epoch_col, value_col, mode, min_delta)
+    rows = scans.scan(rows.withColumn("_at", F.when(F.col("improved"), F.col("_n"))), [("_last", "_at", "max", True)])
+    since = (F.coalesce(F.col("_n"), F.lit(0)) - F.coalesce(F.col("_last"), F.lit(0))).cast("int")
+    return rows.withColumn("since_improved", since).withColumn("stop_here", F.col("since_improved") >= F.lit(patience)).drop("_pid", "_n", "_at", "_last")
 
-    With ``min_delta = 0`` the last improving epoch up to t is the first epoch
-    reaching the running extreme, i.e. the running minimum of
-    struct(value, epoch): one prefix scan.
-    """
-    if not min_delta:
-        v = F.col(value_col) if mode == "min" else -F.col(value_col)
-        keyed = df.withColumn("_key", F.struct(v.alias("k"), F.col(epoch_col).alias("e")))
-        tr = running_aggregate(keyed, run_col, [F.col(epoch_col)], [("_run_best", "_key", "min", True)])
-        return (
-            tr.withColumn("since_improved", (F.col(epoch_col) - F.col("_run_best.e")).cast("int"))
-            .withColumn("improved", F.col("since_improved") == 0)
-            .withColumn("stop_here", F.col("since_improved") >= F.lit(patience))
-            .drop("_key", "_run_best")
-        )
-    rb = improvement_flags(df, run_col, epoch_col, value_col, mode, min_delta)
-    rb = rb.withColumn("_imp_epoch", F.when(F.col("improved"), F.col(epoch_col)))
-    tr = running_aggregate(rb, run_col, [F.col(epoch_col)], [("_last_imp", "_imp_epoch", "max", True)])
-    return (
-        tr.withColumn("since_improved", (F.col(epoch_col) - F.col("_last_imp")).cast("int"))
-        .withColumn("stop_here", F.col("since_improved") >= F.lit(patience))
-        .drop("_imp_epoch", "_last_imp")
+
+def _stops(trace: DataFrame, run_col: str, epoch_col: str) -> DataFrame:
+    """Per run: n_epochs, stop_epoch (null if never) and last_epoch, the last one that ran."""
+    per_run = trace.groupBy(run_col).agg(
+        F.count(F.lit(1)).alias("n_epochs"),
+        F.min(F.when(F.col("stop_here"), F.col(epoch_col))).alias("stop_epoch"),
+        F.max(epoch_col).alias("_max"),
     )
+    return per_run.withColumn("last_epoch", F.coalesce("stop_epoch", "_max")).drop("_max")
+
+
+def _run_part(
+    df: DataFrame, patience: int, run_col: str, epoch_col: str, value_col: str, mode: str, min_delta: float = 0.0
+) -> tuple[DataFrame, DataFrame]:
+    """(rows up to each run's stop, with n_epochs, stop_epoch and last_epoch; per-run stops)."""
+    trace = early_stop_trace(df, patience, run_col, epoch_col, value_col, mode, min_delta)
+    stops = _stops(trace, run_col, epoch_col)
+    other = stops.withColumnRenamed(run_col, "_run")
+    rows = trace.join(other, trace[run_col].eqNullSafe(other["_run"])).drop("_run")
+    return rows.filter(F.col(epoch_col) <= F.col("last_epoch")), stops
 
 
 def early_stop(
     df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min", min_delta: float = 0.0
 ) -> DataFrame:
-    """Per run the first epoch whose counter reaches ``patience`` (null if
-    never) and the number of epochs actually run.  Improvement is strict; with
+    """Per run the first epoch with ``patience`` evaluations since the last improvement (null if
+    never), the last epoch that ran, and how many epochs ran.  Improvement is strict; with
     ``min_delta`` it must beat the best by more than that (callback semantics)."""
-    tr = early_stop_trace(df, patience, run_col, epoch_col, value_col, mode, min_delta)
-    return tr.groupBy(run_col).agg(
-        F.count(F.lit(1)).alias("n_epochs"),
-        F.min(F.when(F.col("stop_here"), F.col(epoch_col))).alias("stop_epoch"),
-    ).select(
-        run_col,
-        F.col("n_epochs").cast("long").alias("n_epochs"),
-        F.col("stop_epoch").cast("int").alias("stop_epoch"),
-        F.coalesce(F.col("stop_epoch"), F.col("n_epochs")).cast("long").alias("epochs_run"),
+    rows, _ = _run_part(df, patience, run_col, epoch_col, value_col, mode, min_delta)
+    return rows.groupBy(run_col).agg(
+        F.first("n_epochs").cast("long").alias("n_epochs"),
+        F.first("stop_epoch").cast("int").alias("stop_epoch"),
+        F.count(F.lit(1)).alias("epochs_run"),
+        F.first("last_epoch").cast("int").alias("last_epoch"),
     )
 
 
+def _best(epoch_col: str, out: str, signed: Column) -> Column:
+    """``out`` of the row with the least ``signed``, the earliest on ties; null without any."""
+    return F.min_by(F.col(out), F.when(signed.isNotNull(), F.struct(signed.alias("v"), F.col(epoch_col).alias("e"))))
+
+
 def best_epoch(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min") -> DataFrame:
     """The epoch whose state is kept: best value (earliest on ties) among epochs run."""
-    stops = broadcast_if_small(early_stop(df, patience, run_col, epoch_col, value_col, mode))
-    joined = df.join(stops, run_col).filter(F.col(epoch_col) <= F.col("epochs_run"))
-    key = F.col(value_col) if mode == "min" else -F.col(value_col)
-    return joined.groupBy(run_col, "epochs_run", "stop_epoch").agg(
-        F.min_by(F.col(epoch_col), F.struct(key, F.col(epoch_col))).cast("int").alias("best_epoch"),
-        F.min_by(F.col(value_col), F.struct(key, F.col(epoch_col))).alias("best_value"),
+    rows, _ = _run_part(df, patience, run_col, epoch_col, value_col, mode)
+    key = _signed(value_col, mode)
+    return rows.groupBy(run_col).agg(
+        F.count(F.lit(1)).alias("epochs_run"),
+        F.first("stop_epoch").cast("int").alias("stop_epoch"),
+        _best(epoch_col, epoch_col, key).cast("int").alias("best_epoch"),
+        _best(epoch_col, value_col, key).alias("best_value"),
     )
 
 
 def dual_criterion(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", loss_col: str = "val_loss", score_col: str = "f1") -> DataFrame:
     """Stop on loss, keep the checkpoint of the best score (strictly greater) up to the stop."""
-    stops = broadcast_if_small(early_stop(df, patience, run_col, epoch_col, loss_col, "min"))
-    joined = df.join(stops, run_col).filter(F.col(epoch_col) <= F.col("epochs_run"))
-    return joined.groupBy(run_col, "epochs_run", "stop_epoch").agg(
-        F.min_by(F.col(epoch_col), F.struct(-F.col(score_col), F.col(epoch_col))).cast("int").alias("score_epoch"),
-        F.max(score_col).alias("best_score"),
-        F.min_by(F.col(epoch_col), F.struct(F.col(loss_col), F.col(epoch_col))).cast("int").alias("loss_epoch"),
+    rows, _ = _run_part(df, patience, run_col, epoch_col, loss_col, "min")
+    return rows.groupBy(run_col).agg(
+        F.count(F.lit(1)).alias("epochs_run"),
+        F.first("stop_epoch").cast("int").alias("stop_epoch"),
+        _best(epoch_col, epoch_col, _signed(score_col, "max")).cast("int").alias("score_epoch"),
+        F.max(_valid(F.col(score_col))).alias("best_score"),
+        _best(epoch_col, epoch_col, _signed(loss_col, "min")).cast("int").alias("loss_epoch"),
+    )
+
+
+def compare_runs(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", loss_col: str = "val_loss", score_col: str = "f1") -> DataFrame:
+    """One row per run, its best epoch and loss, its best score up to the stop, and its place by loss."""
+    from ledeframe.operators.order import with_row_index
+
+    rows, _ = _run_part(df, patience, run_col, epoch_col, loss_col, "min")
+    best = rows.groupBy(run_col).agg(
+        F.count(F.lit(1)).alias("epochs_run"),
+        _best(epoch_col, epoch_col, _signed(loss_col, "min")).cast("int").alias("best_epoch"),
+        F.min(_valid(F.col(loss_col))).alias("best_loss"),
+        F.max(_valid(F.col(score_col))).alias("best_f1"),
     )
+    ranked = with_row_index(best, [F.col("best_loss").asc_nulls_last(), F.col(run_col)], "_at")
+    return ranked.withColumn("place", F.col("_at") + 1).drop("_at")
 
 
 def plateau_lr(
@@ -198,25 +218,20 @@ def plateau_lr(
     """Learning rate after each epoch under reduce-on-plateau.
 
     Semantics: improvement means ``v < best - min_delta`` (then best = v,
-    wait = 0); otherwise ``wait`` grows, and when it reaches ``patience`` while
-    the rate is above ``min_lr`` the rate becomes ``max(lr * factor, min_lr)``
-    and ``wait`` restarts.  Epochs are numbered 1..n per run.
-
-    Plan (exact, no run gathered whole): ``best`` always stays within
-    ``min_delta`` of the running minimum, so only epochs that set a new running
-    minimum can improve.  Those records (about ln n of n noisy values) are folded
-    per run to pick the improvements; the rest is prefix scans: last
-    improvement, cut opportunities every ``patience`` epochs after it, their
-    running count ``c``, and ``lr = max(base * factor^c, min_lr)``.
+    wait = 0); otherwise ``wait`` grows with each evaluation, and when it reaches
+    ``patience`` while the rate is above ``min_lr`` the rate becomes
+    ``max(lr * factor, min_lr)`` and ``wait`` restarts.
+
+    All scans run over one partitioned log: evaluations and improvements, then the
+    evaluations since the last improvement, whose multiples of ``patience`` are the
+    cut opportunities, then their running count ``c``; ``lr = max(base * factor^c, min_lr)``.
     """
-    e = F.col(epoch_col)
-    flagged = improvement_flags(df, run_col, epoch_col, value_col, "min", min_delta).withColumnRenamed("improved", "_imp")
-    flagged = flagged.drop("best_before", "best_so_far")
-    flagged = flagged.withColumn("_ie", F.when(F.col("_imp"), e))
-    li = running_aggregate(flagged, run_col, [e], [("_last", "_ie", "max", True)])
-    opp = (~F.col("_imp")) & (((e - F.col("_last")) % F.lit(patience)) == 0)
-    li = li.withColumn("_opp", opp.cast("int"))
-    cnt = running_aggregate(li, run_col, [e], [("_c", "_opp", "sum", True)])
+    scans, rows = _flagged(df, run_col, epoch_col, value_col, "min", min_delta)
+    rows = rows.withColumn("_at", F.when(F.col("improved"), F.col("_n"))).withColumn("_ok", F.col(value_col).isNotNull())
+    rows = scans.scan(rows.select(run_col, epoch_col, "_pid", "_n", "_at", "_ok"), [("_last", "_at", "max", True)])
+    wait = F.col("_n") - F.coalesce(F.col("_last"), F.lit(0))
+    opp = F.col("_ok") & (wait > 0) & ((wait % F.lit(patience)) == 0)
+    cnt = scans.scan(rows.withColumn("_opp", F.coalesce(opp, F.lit(False)).cast("int")), [("_c", "_opp", "sum", True)])
     base, fl = F.lit(float(base_lr)), F.lit(float(min_lr))
     c = F.col("_c").cast("double")
     if base_lr > min_lr:
@@ -225,7 +240,7 @@ def plateau_lr(
         cut = (F.col("_opp") == 1) & (before > fl)
     else:
         lr, cut = base, F.lit(False)
-    return cnt.select(run_col, e.cast("int").alias("epoch"), lr.alias("lr"), cut.alias("cut"))
+    return cnt.select(run_col, F.col(epoch_col).cast("int").alias("epoch"), lr.alias("lr"), cut.alias("cut"))
 
 
 def warmup_schedule(steps_df: DataFrame, base_lr: float, warmup_share: float = 0.1, total_col: str = "total_steps") -> DataFrame:
@@ -235,7 +250,11 @@ def warmup_schedule(steps_df: DataFrame, base_lr: float, warmup_share: float = 0
     """
     t = F.col(total_col)
     w = (F.lit(float(warmup_share)) * t.cast("double")).cast("long")
-    s = steps_df.withColumn("warmup_steps", w).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), t.cast("long"))))
+    # In blocks: no row ever holds more than a block of steps or the list of blocks.
+    block = F.lit(4096).cast("long")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), t.cast("long"), block))
+    s = steps_df.withColumn("warmup_steps", w).withColumn("_block", first).repartition("_block")
+    s = s.withColumn("step", F.explode(F.sequence("_block", F.least(F.col("_block") + block - 1, t.cast("long"))))).drop("_block")
     st, ww = F.col("step").cast("double"), F.col("warmup_steps")
     factor = F.when(
         F.col("step") < ww, st / F.greatest(F.lit(1.0), ww.cast("double"))
@@ -244,11 +263,15 @@ def warmup_schedule(steps_df: DataFrame, base_lr: float, warmup_share: float = 0
 
 
 def checkpoint_retention(df: DataFrame, keep: int, patience: int | None = None, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss") -> DataFrame:
-    """Checkpoints kept: the newest ``keep`` epochs of each run plus its best epoch."""
-    last = df.groupBy(run_col).agg(F.max(epoch_col).alias("_last"), F.min_by(F.col(epoch_col), F.struct(F.col(value_col), F.col(epoch_col))).alias("_best"))
-    j = df.join(broadcast_if_small(last), run_col)
-    keep_it = (F.col(epoch_col) > F.col("_last") - F.lit(keep)) | (F.col(epoch_col) == F.col("_best"))
-    return j.filter(keep_it).withColumn("is_best", F.col(epoch_col) == F.col("_best")).drop("_last", "_best")
+    """Checkpoints kept: the newest ``keep`` epochs of each run (by rank) plus its best epoch."""
+    ranked = running_aggregate(df.withColumn("_one", F.lit(1)), run_col, [F.col(epoch_col)], [("_pos", "_one", "sum", True)])
+    last = ranked.groupBy(F.col(run_col).alias("_run")).agg(
+        F.max("_pos").alias("_last"), _best(epoch_col, epoch_col, _signed(value_col, "min")).alias("_best")
+    )
+    j = ranked.join(last, F.col(run_col).eqNullSafe(F.col("_run")))
+    best = F.coalesce(F.col(epoch_col) == F.col("_best"), F.lit(False))
+    kept = j.filter((F.col("_pos") > F.col("_last") - F.lit(keep)) | best)
+    return kept.withColumn("is_best", best).drop("_run", "_last", "_best", "_pos", "_one")
 
 
 def log_has_key(df: DataFrame, key: str, without: str | None = None, log_col: str = "log") -> DataFrame:
@@ -267,7 +290,7 @@ def log_series(df: DataFrame, key: str, without: str | None = None, run_col: str
 
 def trim_series(train: DataFrame, evals: DataFrame, run_col: str = "run_id", point_col: str = "point") -> DataFrame:
     """Cut each run's train series to the number of eval points of that run."""
-    n_eval = broadcast_if_small(evals.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n_eval")))
+    n_eval = evals.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n_eval"))
     return train.join(n_eval, run_col).filter(F.col(point_col) <= F.col("_n_eval")).drop("_n_eval")
 
 

@@ -15,14 +15,18 @@ LOG = f"_log AS ({EPOCH_LOG_SQL})"
 
 
 def sql_stop(value: str, patience: int, mode: str = "min") -> str:
-    """CTEs over ``_log``: ``_li`` (per epoch) and ``_stop(run_id, n_epochs, stop_epoch, epochs_run)``."""
+    """CTEs over ``_log``: ``_li`` (per epoch) and ``_stop(run_id, n_epochs, stop_epoch, epochs_run, last_epoch)``.
+    Null values are no evaluations."""
     agg, cmp = ("min", "<") if mode == "min" else ("max", ">")
     return f"""
-_rb AS (SELECT *, {agg}({value}) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb FROM _log),
-_im AS (SELECT *, (bb IS NULL OR {value} {cmp} bb) AS improved FROM _rb),
-_li AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM _im),
-_stop AS (SELECT run_id, count(*) AS n_epochs, min(CASE WHEN epoch - li >= {patience} THEN epoch END) AS stop_epoch,
-                 coalesce(min(CASE WHEN epoch - li >= {patience} THEN epoch END), count(*)) AS epochs_run FROM _li GROUP BY run_id)
+_rb AS (SELECT *, {agg}({value}) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb,
+               count({value}) OVER (PARTITION BY run_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS n FROM _log),
+_im AS (SELECT *, ({value} IS NOT NULL AND (bb IS NULL OR {value} {cmp} bb)) AS improved FROM _rb),
+_li AS (SELECT *, coalesce(max(CASE WHEN improved THEN n END) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS li FROM _im),
+_st AS (SELECT run_id, count(*) AS n_epochs, min(CASE WHEN n - li >= {patience} THEN epoch END) AS stop_epoch,
+               coalesce(min(CASE WHEN n - li >= {patience} THEN epoch END), max(epoch)) AS last_epoch FROM _li GROUP BY run_id),
+_stop AS (SELECT _st.run_id, any_value(n_epochs) AS n_epochs, any_value(stop_epoch) AS stop_epoch, any_value(last_epoch) AS last_epoch, count(*) AS epochs_run
+          FROM _st JOIN _log ON _st.run_id = _log.run_id WHERE _log.epoch <= _st.last_epoch GROUP BY _st.run_id)
 """
 
 
@@ -62,7 +66,7 @@ def q_early_stop_monitor(spark, sf_dir):
     f"""WITH {LOG}, {sql_stop('val_loss', 3)},
     _c AS (SELECT l.run_id, l.epoch, l.val_loss, s.epochs_run, s.stop_epoch,
                   row_number() OVER (PARTITION BY l.run_id ORDER BY l.val_loss, l.epoch) AS rk
-           FROM _log l JOIN _stop s ON l.run_id = s.run_id WHERE l.epoch <= s.epochs_run)
+           FROM _log l JOIN _stop s ON l.run_id = s.run_id WHERE l.epoch <= s.last_epoch)
     SELECT run_id, CAST(epochs_run AS BIGINT) AS epochs_run, CAST(stop_epoch AS BIGINT) AS stop_epoch,
            CAST(epoch AS BIGINT) AS best_epoch, round(val_loss, 6) AS best_value FROM _c WHERE rk = 1""",
 )
@@ -77,7 +81,7 @@ def q_best_epoch(spark, sf_dir):
     _c AS (SELECT l.*, s.epochs_run, s.stop_epoch,
                   row_number() OVER (PARTITION BY l.run_id ORDER BY l.f1 DESC, l.epoch) AS rs,
                   row_number() OVER (PARTITION BY l.run_id ORDER BY l.val_loss, l.epoch) AS rl
-           FROM _log l JOIN _stop s ON l.run_id = s.run_id WHERE l.epoch <= s.epochs_run)
+           FROM _log l JOIN _stop s ON l.run_id = s.run_id WHERE l.epoch <= s.last_epoch)
     SELECT run_id, CAST(max(epochs_run) AS BIGINT) AS epochs_run, CAST(max(stop_epoch) AS BIGINT) AS stop_epoch,
            CAST(max(CASE WHEN rs = 1 THEN epoch END) AS BIGINT) AS score_epoch, round(max(f1), 6) AS best_score,
            CAST(max(CASE WHEN rl = 1 THEN epoch END) AS BIGINT) AS loss_epoch
@@ -187,6 +191,66 @@ def q_trim_series(spark, sf_dir):
     return t.select("run_id", i64("point").alias("point"), r6("value").alias("value"))
 
 
+# Logs as the trainer writes them: eval_loss only where an evaluation took place, every second
+# record, and none on every seventh of those.
+_GAPPED_SQL = f"""_all AS ({EPOCH_LOG_SQL}),
+_log AS (SELECT run_id, epoch * 2 AS epoch, CASE WHEN epoch % 7 = 0 THEN NULL ELSE val_loss END AS val_loss, f1 FROM _all)"""
+
+
+def gapped_log(spark, sf_dir):
+    """Evaluations with gaps in the epoch numbers and missing losses."""
+    log = X.epoch_log(spark, sf_dir)
+    loss = F.when(F.col("epoch") % 7 != 0, F.col("val_loss"))
+    return log.select("run_id", (F.col("epoch") * 2).alias("epoch"), loss.alias("val_loss"), "f1")
+
+
+@register("early_stop_gapped", f"WITH {_GAPPED_SQL}, {sql_stop('val_loss', 3)} {STOP_SELECT}")
+def q_early_stop_gapped(spark, sf_dir):
+    return _stop_cols(R.early_stop(gapped_log(spark, sf_dir), patience=3))
+
+
+@register(
+    "best_epoch_gapped",
+    f"""WITH {_GAPPED_SQL}, {sql_stop('val_loss', 3)},
+    _c AS (SELECT l.run_id, s.epochs_run, arg_min(l.epoch, struct_pack(v := l.val_loss, e := l.epoch)) FILTER (l.val_loss IS NOT NULL) AS best_epoch, min(l.val_loss) AS best_value
+           FROM _log l JOIN _stop s ON l.run_id = s.run_id WHERE l.epoch <= s.last_epoch GROUP BY ALL)
+    SELECT run_id, CAST(epochs_run AS BIGINT) AS epochs_run, CAST(best_epoch AS BIGINT) AS best_epoch, round(best_value, 6) AS best_value FROM _c""",
+)
+def q_best_epoch_gapped(spark, sf_dir):
+    b = R.best_epoch(gapped_log(spark, sf_dir), patience=3)
+    return b.select("run_id", i64("epochs_run").alias("epochs_run"), i64("best_epoch").alias("best_epoch"), r6("best_value").alias("best_value"))
+
+
+@register(
+    "checkpoint_retention_gapped",
+    f"""WITH {_GAPPED_SQL},
+    _p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) AS back FROM _log),
+    _k AS (SELECT run_id, arg_min(epoch, struct_pack(v := val_loss, e := epoch)) FILTER (val_loss IS NOT NULL) AS best FROM _log GROUP BY run_id)
+    SELECT p.run_id, CAST(p.epoch AS BIGINT) AS epoch, coalesce(p.epoch = k.best, false) AS is_best
+    FROM _p p JOIN _k k ON p.run_id = k.run_id WHERE p.back <= 2 OR p.epoch = k.best""",
+)
+def q_checkpoint_retention_gapped(spark, sf_dir):
+    kept = R.checkpoint_retention(gapped_log(spark, sf_dir), keep=2)
+    return kept.select("run_id", i64("epoch").alias("epoch"), "is_best")
+
+
+@register(
+    "run_comparison",
+    f"""WITH {LOG}, {sql_stop('val_loss', 3)},
+    _b AS (SELECT l.run_id, any_value(s.epochs_run) AS epochs_run, arg_min(l.epoch, struct_pack(v := l.val_loss, e := l.epoch)) AS best_epoch,
+                  min(l.val_loss) AS best_loss, max(l.f1) AS best_f1 FROM _log l JOIN _stop s ON l.run_id = s.run_id WHERE l.epoch <= s.last_epoch GROUP BY l.run_id)
+    SELECT run_id, CAST(epochs_run AS BIGINT) AS epochs_run, CAST(best_epoch AS BIGINT) AS best_epoch, round(best_loss, 6) AS best_loss, round(best_f1, 6) AS best_f1,
+           CAST(row_number() OVER (ORDER BY best_loss, run_id) AS BIGINT) AS place FROM _b""",
+)
+def q_run_comparison(spark, sf_dir):
+    """Every run's best evaluation up to its stop, and its place among the runs."""
+    c = R.compare_runs(X.epoch_log(spark, sf_dir), patience=3)
+    return c.select(
+        "run_id", i64("epochs_run").alias("epochs_run"), i64("best_epoch").alias("best_epoch"),
+        r6("best_loss").alias("best_loss"), r6("best_f1").alias("best_f1"), i64("place").alias("place"),
+    )
+
+
 @register(
     "curve_data",
     f"""WITH {LOG}

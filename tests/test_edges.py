@@ -348,7 +348,7 @@ def test_sweep_classifier(spark):
 
     rows = [(i, float(i % 2), [float(i % 2) + 0.1 * (i % 7), 0.5 - 0.05 * (i % 5)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, y double, x array<double>")
-    model = sweep_classifier(df, reg_params=(0.0, 0.5))
+    model = sweep_classifier(df, 2, reg_params=(0.0, 0.5))
     assert len(model.validationMetrics) == 2
 
 
@@ -384,8 +384,8 @@ def test_csv_scan_single_line_mode(spark, tmp_dir):
     assert rows[1].title == "a, b" and rows[2].title is None
 
 
-def test_min_delta_pointer_doubling_matches_fold(spark, monkeypatch):
-    """Force the distributed path (no run gathered) and compare with the state machines."""
+def test_min_delta_pointer_doubling(spark):
+    """No run is gathered; compare with the state machines."""
     import random
 
     rng = random.Random(23)
@@ -401,7 +401,6 @@ def test_min_delta_pointer_doubling_matches_fold(spark, monkeypatch):
         runs[f"r{r}"] = vals
     rows = [(k, i + 1, float(v)) for k, vs in runs.items() for i, v in enumerate(vs)]
     log = spark.createDataFrame(rows, "run_id string, epoch int, val_loss double")
-    monkeypatch.setattr(R, "FOLD_ROW_LIMIT", 0)
     got = {r.run_id: r.stop_epoch for r in R.early_stop(log, patience=3, min_delta=1e-4).collect()}
     assert got == {k: _simulate_early_stop(vs, 3, 1e-4) for k, vs in runs.items()}
     lr = {(r.run_id, r.epoch): (r.lr, r.cut) for r in R.plateau_lr(log, patience=2, base_lr=1.0).collect()}
