@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledeframe.session import broadcast_if_small, cut_lineage
-
 # The two-class headline mapping.
 HEADLINE_LABELS = {"non-political": 0, "political": 1}
 
 
-# Up to this many classes the class table is ranked by a plain window (one task);
-# beyond it the distributed row index is used.
-WINDOW_ROW_LIMIT = 100_000
-
-
 def label_classes(df: DataFrame, col: str) -> DataFrame:
-    """Distinct non-null classes sorted ascending -> 0..k-1 (one row per class).
-
-    The class table is materialised and counted; a large one is ranked with the
-    distributed row index instead of a single-task window."""
+    """Distinct non-null classes sorted ascending -> 0..k-1 (one row per class), by the distributed row index."""
     from ledeframe.operators.order import with_row_index
 
-    classes = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
-    if classes.count() > WINDOW_ROW_LIMIT:
-        return with_row_index(classes, [F.col(col)], "_ix").select(col, F.col("_ix").cast("int").alias("label"))
-    w = Window.orderBy(F.col(col).asc())  # over at most WINDOW_ROW_LIMIT class rows
-    return classes.withColumn("label", (F.row_number().over(w) - 1).cast("int"))
+    classes = df.select(col).where(F.col(col).isNotNull()).distinct()
+    return with_row_index(classes, [F.col(col)], "_ix").select(col, F.col("_ix").cast("int").alias("label"))
 
 
 def label_encode(df: DataFrame, col: str, out: str = "label") -> DataFrame:
     """Attach the sorted-class index (a LabelEncoder fit on this column).
 
-    The class table has one row per class.
+    The class table has one row per class; the planner broadcasts it when its bytes
+    allow, and otherwise splits a hot class at run time.
     """
-    classes = broadcast_if_small(label_classes(df, col).withColumnRenamed("label", out))
-    return df.join(classes, col, "inner")
+    return df.join(label_classes(df, col).withColumnRenamed("label", out), col, "inner")
 
 
 def label_map(df: DataFrame, col: str, mapping: dict | None = None, out: str = "label", on_unknown: str = "null") -> DataFrame:
@@ -54,12 +41,6 @@ def label_decode(df: DataFrame, col: str, names: dict | None = None, out: str =
     return df.withColumn(out, F.try_element_at(m, F.col(col)))
 
 
-def label_decode_table(df: DataFrame, col: str, classes: DataFrame, name_col: str, out: str = "label_name") -> DataFrame:
-    """J3 with a fitted class table (from ``label_classes``) instead of a literal map."""
-    cl = classes.select(F.col("label").alias(col), F.col(name_col).alias(out))
-    return df.join(cl, col, "left")
-
-
 def class_cardinality(df: DataFrame, col: str) -> DataFrame:
     """A1: number of distinct (non-null) labels."""
     return df.agg(F.countDistinct(col).alias("n_classes"))

@@ -14,38 +14,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeframe.functions.rand import seeded_bits
-from ledeframe.session import broadcast_if_small, cut_lineage
+from ledeframe.session import cut_lineage
 
 
 def class_quotas(counts: DataFrame, label_col: str, val_share: float) -> DataFrame:
     """Per-class train/val sizes: n_val = ceil(share * n); train allocated first by
     largest remainder (ties by label ascending), the remainder of each class is val.
 
-    ``counts`` has one row per class (``label_col``, ``c``); it is materialised
-    and counted.  A small class table is handled with windows over it; a large
-    one with scalar-subquery totals and the distributed row index.
+    ``counts`` has one row per class (``label_col``, ``c``), however many there are: totals are
+    scalar subqueries and the remainders are ranked with the distributed row index.
     """
-    from ledeframe.operators.labels import WINDOW_ROW_LIMIT
     from ledeframe.operators.order import with_row_index
 
     counts = cut_lineage(counts)
-    large = counts.count() > WINDOW_ROW_LIMIT
-    if large:
-        q = counts.withColumn("_n", counts.agg(F.sum("c").alias("n")).scalar())
-    else:
-        q = counts.withColumn("_n", F.sum("c").over(Window.partitionBy()))  # class table only
+    q = counts.withColumn("_n", counts.agg(F.sum("c").alias("n")).scalar())
     q = q.withColumn("_nval", F.ceil(F.lit(float(val_share)) * F.col("_n").cast("double")))
     q = q.withColumn("_ntrain", F.col("_n") - F.col("_nval"))
     q = q.withColumn("_cont", F.col("c").cast("double") / F.col("_n").cast("double") * F.col("_ntrain").cast("double"))
     q = q.withColumn("_fl", F.floor("_cont")).withColumn("_rem", F.col("_cont") - F.col("_fl"))
     order = [F.col("_rem").desc(), F.col(label_col).asc_nulls_first()]
-    if large:
-        q = cut_lineage(q)
-        need = q.agg((F.first("_ntrain") - F.sum("_fl")).alias("need")).scalar()
-        q = with_row_index(q, order, "_rk0").withColumn("_rk", F.col("_rk0") + 1)
-    else:
-        need = F.col("_ntrain") - F.sum("_fl").over(Window.partitionBy())
-        q = q.withColumn("_rk", F.row_number().over(Window.orderBy(*order)))
+    q = cut_lineage(q)
+    need = q.agg((F.first("_ntrain") - F.sum("_fl")).alias("need")).scalar()
+    q = with_row_index(q, order, "_rk0").withColumn("_rk", F.col("_rk0") + 1)
     q = q.withColumn("train_n", (F.col("_fl") + F.when(F.col("_rk") <= need, 1).otherwise(0)).cast("long"))
     q = q.withColumn("val_n", (F.col("c") - F.col("train_n")).cast("long"))
     return q.select(label_col, F.col("c").cast("long").alias("class_n"), "train_n", "val_n")
@@ -80,9 +70,8 @@ def _quota_split(
         .filter((F.col("_before") < F.col("_q")) & (F.col("_q") <= F.col("_incl")))
         .select(hist["_lab"], "_q", F.col("_b").alias("_bb"), F.col("_before").alias("_bbefore"))
     )
-    # One row per class: materialised, counted, broadcast when small (shuffle join beyond),
-    # so a class holding most rows is never funnelled into one join task.
-    bound = broadcast_if_small(bound)
+    # One row per class: broadcast by the planner when its bytes allow, else a shuffle join whose
+    # hot classes are split at run time.
     joined = keyed.join(bound, keyed[label_col].eqNullSafe(bound["_lab"]), "left").drop("_lab")
     on_edge = F.col("_bb").isNotNull() & (F.col("_b") == F.col("_bb"))
     away = joined.filter(~on_edge).withColumn(

@@ -64,9 +64,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
-        # Only reached outside a cluster (tests, bench): no shared folder is named.
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        # One machine (tests, bench): any folder is shared.
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledeframe-ckpt-"))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return sc.getCheckpointDir()
 
 
@@ -94,27 +96,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when its scan has fewer partitions than the
-    cluster has cores (e.g. one large row group), so per-row text work runs in
-    parallel.  On a large input this is a no-op.  Spark drops a later
-    repartition on the same key, so document-keyed plans pay nothing extra."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    return df.repartition(par, F.col(key))
-
-
-# Row limit for broadcasting a side whose size is data-dependent (class tables,
-# per-class boundaries).  Such sides are materialised and counted first.
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, limit_rows: int | None = None) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, count it, and mark it for
-    broadcast only when it has at most ``limit_rows`` rows (default
-    ``BROADCAST_ROW_LIMIT``); otherwise return it unmarked so the planner uses a
-    shuffle join."""
-    limit = BROADCAST_ROW_LIMIT if limit_rows is None else limit_rows
-    small = cut_lineage(df)
-    return F.broadcast(small) if small.count() <= limit else small
+    """Hash-partition ``df`` by ``key``, so per-row text work runs in parallel whatever the
+    file layout.  Spark drops a later repartition on the same key, so document-keyed
+    plans pay nothing extra."""
+    return df.repartition(F.col(key))

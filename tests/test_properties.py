@@ -147,29 +147,16 @@ def test_train_epochs_stop_and_best_agree_with_run_log_operators(spark):
     assert [round(r["lr"], 12) for r in res.log] == [round(8.0 * f, 12) for f in T.lr_factors(12, 0.1)][: len(res.log)]
 
 
-def test_large_class_table_paths_match(spark, monkeypatch):
+def test_class_quotas_add_up(spark):
     from ledeframe.operators import labels as L
 
     df = _classes(spark, [1, 2, 7, 5, 3])
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-    small = {r.label: (r.train_n, r.val_n) for r in SP.class_quotas(counts, "label", 0.2).collect()}
-    enc_small = {r.id: r.enc for r in L.label_encode(df.withColumn("name", F.concat(F.lit("c"), F.col("label").cast("string"))), "name", out="enc").collect()}
-    monkeypatch.setattr(L, "WINDOW_ROW_LIMIT", 0)
-    large = {r.label: (r.train_n, r.val_n) for r in SP.class_quotas(counts, "label", 0.2).collect()}
-    enc_large = {r.id: r.enc for r in L.label_encode(df.withColumn("name", F.concat(F.lit("c"), F.col("label").cast("string"))), "name", out="enc").collect()}
-    assert small == large
-    assert sum(v for _, v in small.values()) == 4  # ceil(0.2 * 18)
-    assert enc_small == enc_large
-
-
-def test_split_without_broadcast_matches(spark, monkeypatch):
-    import ledeframe.session as S
-
-    h = X.headlines(spark, SF)
-    base = {r.doc_id: r.split for r in SP.stratified_split(h, "label", "doc_id").collect()}
-    monkeypatch.setattr(S, "BROADCAST_ROW_LIMIT", 0)
-    sp = SP.stratified_split(h, "label", "doc_id")
-    assert {r.doc_id: r.split for r in sp.collect()} == base
+    quotas = {r.label: (r.train_n, r.val_n) for r in SP.class_quotas(counts, "label", 0.2).collect()}
+    assert sum(v for _, v in quotas.values()) == 4  # ceil(0.2 * 18)
+    named = df.withColumn("name", F.concat(F.lit("c"), F.col("label").cast("string")))
+    codes = {(r.name, r.enc) for r in L.label_encode(named, "name", out="enc").collect()}
+    assert [e for _, e in sorted(codes)] == list(range(5))
 
 
 def test_user_functions_run_where_the_package_is_not_importable():
