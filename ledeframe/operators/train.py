@@ -1,9 +1,8 @@
 """Training and scoring re-aimed as Spark jobs.
 
-T1 keeps only the model on the driver (d + 1 numbers).  Each epoch aggregates
-the checkpointed feature table: the gradient as one row per dimension
-(exploded features grouped by position, partial aggregation), and the train
-loss and validation loss/confusion counts in a second small aggregation.
+T1 keeps only the model on the driver (d + 1 numbers).  Each epoch is one scan of the
+materialised feature table: sums per (split, label), with the weighted feature
+sums from Spark ML's vector summarizer, give the gradient, losses and counts.
 """
 
 from __future__ import annotations
@@ -62,7 +61,8 @@ def score_expr(x: Column, w: list[float], b: float) -> Column:
 def bce_expr(p: Column, y: Column, eps: float = 1e-7) -> Column:
     pc = F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))
     yd = y.cast("double")
-    return -(yd * F.log(pc + F.lit(eps)) + (F.lit(1.0) - yd) * F.log(F.lit(1.0) - pc + F.lit(eps)))
+    loss = -(yd * F.log(pc + F.lit(eps)) + (F.lit(1.0) - yd) * F.log(F.lit(1.0) - pc + F.lit(eps)))
+    return F.when(F.isnan(p), p).otherwise(loss)  # clipping would hide a NaN
 
 
 def l2_penalty(w: list[float], l2: float) -> float:
@@ -70,37 +70,44 @@ def l2_penalty(w: list[float], l2: float) -> float:
     return 0.5 * l2 * sum(v * v for v in w)
 
 
+def materialise(features: DataFrame) -> DataFrame:
+    """The feature table, computed once: every epoch, listener and scoring pass reads it."""
+    return cut_lineage(features)
+
+
 def epoch_pass(features: DataFrame, w: list[float], b: float, dim: int, x_col: str = "x", y_col: str = "y", split_col: str = "split") -> dict:
-    """Scans at (w, b): the train gradient as one row per dimension (the feature
-    array is exploded and grouped by position: a small hash aggregation with
-    map-side combine, kept inside whole-stage codegen however many dimensions
-    there are), plus train loss, validation loss, accuracy and confusion counts."""
-    p = score_expr(F.col(x_col), w, b)
-    staged = features.select(split_col, x_col, F.col(y_col).cast("double").alias("_y"), p.alias("_p"))
-    is_tr, is_va = F.col(split_col) == "train", F.col(split_col) == "val"
-    err = F.col("_p") - F.col("_y")
-    grad_rows = (
-        staged.where(is_tr)
-        .select(err.alias("_e"), F.posexplode(x_col).alias("_j", "_v"))
-        .groupBy("_j")
-        .agg(F.avg(F.col("_e") * F.col("_v")).alias("_g"))
-        .collect()
+    """One scan at (w, b): train gradient, train and validation loss, accuracy and confusion counts.
+
+    For 0/1 labels the residual p - y has one sign per label, so the gradient is the sum of x
+    weighted by |p - y| over the positives taken from that over the negatives: a weighted vector
+    sum per (split, label), aggregated before its shuffle of a handful of rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    staged = features.select(
+        split_col, F.col(y_col).cast("double").alias("_y"), array_to_vector(x_col).alias("_v"), score_expr(F.col(x_col), w, b).alias("_p")
     )
-    pred = (F.col("_p") > 0.5).cast("double")
-    loss = bce_expr(F.col("_p"), F.col("_y"))
-    row = staged.agg(
-        F.avg(F.when(is_tr, err)).alias("gb"),
-        F.avg(F.when(is_tr, loss)).alias("train_loss"),
-        F.avg(F.when(is_va, loss)).alias("val_loss"),
-        F.avg(F.when(is_va, (F.col("_y") == pred).cast("double"))).alias("val_accuracy"),
-        F.count(F.when(is_va & (F.col("_y") == 1) & (pred == 1), 1)).alias("tp"),
-        F.count(F.when(is_va & (F.col("_y") == 0) & (pred == 1), 1)).alias("fp"),
-        F.count(F.when(is_va & (F.col("_y") == 1) & (pred == 0), 1)).alias("fn"),
-    ).first().asDict()
-    grads = {r["_j"]: r["_g"] for r in grad_rows}  # dim rows: the model's size, not the data's
+    # Weights have to be numbers, and not all zero; a NaN is in the bias gradient as well and stands for all.
+    residual = F.greatest(F.nanvl(F.abs(F.col("_p") - F.col("_y")), F.lit(0.0)), F.lit(1e-300))
+    groups = staged.groupBy(split_col, "_y").agg(
+        F.count(F.lit(1)).alias("n"),
+        vector_to_array(Summarizer.sum(F.col("_v"), residual)).alias("gx"),
+        F.sum(F.col("_p") - F.col("_y")).alias("gb"),
+        F.sum(bce_expr(F.col("_p"), F.col("_y"))).alias("loss"),
+        F.count_if(F.col("_p") > 0.5).alias("positive"),
+    ).collect()
+    side = {k: [g for g in groups if g[split_col] == k] for k in ("train", "val")}
+    total = {k: sum(g["n"] for g in v) for k, v in side.items()}
+    mean = lambda k, f: sum(f(g) for g in side[k]) / total[k] if total[k] else None
+    row = {"train_loss": mean("train", lambda g: g["loss"]), "val_loss": mean("val", lambda g: g["loss"]), "gb": mean("train", lambda g: g["gb"])}
     for j in range(dim):
-        row[f"g{j}"] = grads.get(j)
-    tp, fp, fn = row["tp"], row["fp"], row["fn"]
+        slope = mean("train", lambda g, j=j: (-1.0 if g["_y"] == 1 else 1.0) * g["gx"][j])
+        row[f"g{j}"] = row["gb"] if row["gb"] is not None and math.isnan(row["gb"]) else slope
+    right = lambda g: g["positive"] if g["_y"] == 1 else g["n"] - g["positive"]
+    tp = sum(g["positive"] for g in side["val"] if g["_y"] == 1)
+    fp = sum(g["positive"] for g in side["val"] if g["_y"] == 0)
+    fn = sum(g["n"] - g["positive"] for g in side["val"] if g["_y"] == 1)
+    row |= {"val_accuracy": mean("val", right), "tp": tp, "fp": fp, "fn": fn}
     row["val_f1"] = (2 * tp / (2 * tp + fp + fn)) if (2 * tp + fp + fn) else 0.0
     return row
 
@@ -121,9 +128,10 @@ def train_epochs(
     (W6); the next scan gives validation loss/F1 at the new weights *and* the
     gradient for epoch t+1.  Stop when validation loss has not strictly
     improved for ``patience`` epochs (W2); remember the best epoch (W3).
-    ``on_epoch_end(epoch, w, b, metrics)`` is the U5 hook.
+    ``on_epoch_end(epoch, w, b, metrics)`` is the U5 hook.  ``features`` is read once per
+    epoch: hand in a materialised table (``materialise``).
     """
-    feats = cut_lineage(features.select(split_col, x_col, y_col))
+    feats = features.select(split_col, x_col, y_col)
     w, b = [0.0] * dim, 0.0
     factors = lr_factors(cfg.max_epochs, cfg.warmup_share)
     res = TrainResult()
@@ -210,24 +218,22 @@ def classifier_estimator(dim: int, x_col: str = "x", y_col: str = "y", kind: str
     if kind == "mlp":
         clf = MultilayerPerceptronClassifier(layers=[dim, hidden, 2], maxIter=max_iter, seed=seed, labelCol="label_d")
     else:
-        clf = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol="label_d")
+        clf = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol="label_d", standardization=False)
     return Pipeline(stages=[unpack, assemble, clf])
 
 
-def fit_classifier(train: DataFrame, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
+def fit_classifier(train: DataFrame, dim: int, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
     """Fit the classifier pipeline; returns the ``PipelineModel``."""
-    dim = len(train.select(x_col).first()[0])
     return classifier_estimator(dim, x_col, y_col, kind, hidden, max_iter, reg, seed).fit(train)
 
 
-def sweep_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1), x_col: str = "x", y_col: str = "y", train_ratio: float = 0.8, parallelism: int = 2, seed: int = 42):
+def sweep_classifier(train: DataFrame, dim: int, reg_params=(0.0, 0.01, 0.1), x_col: str = "x", y_col: str = "y", train_ratio: float = 0.8, parallelism: int = 2, seed: int = 42):
     """T10 (model side): a grid over the regularisation strength, chosen on a
     held-out share with Spark ML ``TrainValidationSplit``; returns the fitted
     selection model (``validationMetrics`` in grid order)."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 
-    dim = len(train.select(x_col).first()[0])
     pipe = classifier_estimator(dim, x_col, y_col)
     clf = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(clf.regParam, list(reg_params)).build()
@@ -236,10 +242,15 @@ def sweep_classifier(train: DataFrame, reg_params=(0.0, 0.01, 0.1), x_col: str =
     return tvs.fit(train)
 
 
-def fit_word_vectors(df: DataFrame, tokens_col: str, dim: int = 16, min_count: int = 5, max_iter: int = 1, seed: int = 42, partitions: int = 8) -> DataFrame:
-    """Word vectors learned from the corpus (Spark ML Word2Vec) as (word, vec array<float>)."""
+def fit_word_vectors(df: DataFrame, tokens_col: str, dim: int = 16, min_count: int = 5, max_iter: int = 1, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """Word vectors learned from the corpus (Spark ML Word2Vec) as (word, vec array<float>).
+
+    Trained over as many partitions as the input has.  The library keeps the model,
+    vocabulary x dim numbers, on the driver: a limit of T7."""
     from pyspark.ml.feature import Word2Vec
 
+    partitions = partitions or df.rdd.getNumPartitions()
+
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=max_iter, seed=seed, inputCol=tokens_col, numPartitions=partitions)
     model = w2v.fit(df.select(tokens_col))
     from pyspark.ml.functions import vector_to_array

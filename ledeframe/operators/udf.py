@@ -63,9 +63,3 @@ def collate(df: DataFrame, batch_col: str, ids_col: str = "ids", out: str = "bat
     longest = df.groupBy(batch_col).agg(F.max(F.size(ids_col)).alias("batch_len"))
     j = df.join(longest, batch_col)
     return j.withColumn(out, pad_sequence(ids_col, "batch_len"))
-
-
-def window_collate(df: DataFrame, batch_col: str, ids_col: str = "ids", out: str = "batch_ids") -> DataFrame:
-    """U6 variant for small batches: the batch maximum as a window (batches are bounded by batch size)."""
-    w = Window.partitionBy(batch_col)
-    return df.withColumn("batch_len", F.max(F.size(ids_col)).over(w)).withColumn(out, pad_sequence(ids_col, "batch_len"))

@@ -94,7 +94,7 @@ def sequence_flow(
     vocab = V.vocab_top_n(rows, max_words, "clean", "doc_id")  # fit on all rows, as the reference does
     rows = SP.stratified_split(rows, "label", "doc_id", val_share, seed)
     feats = _features(rows, vocab, vectors, max_words, max_len, dim, "clean", attention_w)
-    model = T.fit_classifier(feats.filter(F.col("split") == "train").select(F.col("label").alias("y"), "x"), kind="mlp", hidden=16, max_iter=50)
+    model = T.fit_classifier(feats.filter(F.col("split") == "train").select(F.col("label").alias("y"), "x"), dim, kind="mlp", hidden=16, max_iter=50)
     val = feats.filter(F.col("split") == "val").select(F.col("label").alias("y"), "x")
     from pyspark.ml.functions import vector_to_array
 
@@ -128,7 +128,7 @@ def trainer_flow(
     vocab = V.vocab_top_n(rows.filter(F.col("split") == "train"), max_words, "title", "doc_id")
     feats = _features(rows, vocab, vectors, max_words, max_len, dim, "title")
     model_in = H.prune_columns(feats.withColumnRenamed("label", "y"), ["y", "x", "split"])
-    model = T.fit_classifier(model_in.filter(F.col("split") == "train"), kind="logistic", max_iter=50)
+    model = T.fit_classifier(model_in.filter(F.col("split") == "train"), dim, kind="logistic", max_iter=50)
     scored = model.transform(model_in.filter(F.col("split") == "val"))
     metrics = M.metric_callback(scored.select(F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")))
     return {"model": model, "metrics": metrics, "sizes": SP.split_sizes(rows, "label")}

@@ -18,8 +18,11 @@ def error_sink_csv(df: DataFrame, path: str, text_col: str = "text") -> str:
 
 
 def metrics_sink_csv(df: DataFrame, path: str, cols=("epoch", "train_loss", "val_loss", "f1_score"), partition_by: str | None = "run_id") -> str:
-    """K2: epoch metrics as CSV with a header, one folder per run."""
-    keep = ([partition_by] if partition_by else []) + [c for c in cols if c in df.columns]
+    """K2: epoch metrics as CSV with a header, one folder per run.  A column that is absent is an error."""
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"metrics without the columns {missing}")
+    keep = ([partition_by] if partition_by else []) + list(cols)
     w = df.select(*keep).write.mode("overwrite").options(header=True)
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -40,3 +43,30 @@ def model_sink(model, path: str, spark: SparkSession, manifest: dict) -> DataFra
     man = spark.createDataFrame([row])
     man.write.mode("overwrite").parquet(path + "/manifest")
     return spark.read.parquet(path + "/manifest")
+
+
+class BestWeightsSink:
+    """K3, best only: an epoch-end listener that saves the weights whenever the validation loss strictly
+    improves, and keeps a manifest of (run_id, epoch, val_loss, f1, path)."""
+
+    def __init__(self, spark: SparkSession, path: str, run_id: str):
+        self.spark, self.path, self.run_id = spark, path, run_id
+        self.best, self.saved = float("inf"), []
+
+    def __call__(self, epoch: int, w: list, b: float, metrics: dict) -> None:
+        loss = metrics["val_loss"]
+        if loss is None or not loss < self.best:
+            return
+        self.best = loss
+        to = f"{self.path}/epoch={epoch}"
+        self.spark.createDataFrame([(w, b)], "w array<double>, b double").write.mode("overwrite").parquet(to)
+        self.saved.append((self.run_id, epoch, loss, metrics["val_f1"], to))
+
+    def manifest(self) -> DataFrame:
+        rows = self.spark.createDataFrame(self.saved, "run_id string, epoch int, val_loss double, f1 double, path string")
+        rows.write.mode("overwrite").parquet(f"{self.path}/manifest")
+        return self.spark.read.parquet(f"{self.path}/manifest")
+
+    def load_best(self) -> tuple[list, float]:
+        row = self.spark.read.parquet(self.saved[-1][-1]).first()
+        return list(row["w"]), row["b"]
