@@ -56,12 +56,14 @@ def confusion_matrix(df: DataFrame, y_col: str = "y", pred_col: str = "pred") ->
 
 def per_class(df: DataFrame, y_col: str = "y", pred_col: str = "pred") -> DataFrame:
     """Per-class precision, recall, F1 and support; 0 where undefined."""
-    cells = confusion_cells(df, y_col, pred_col)
-    by_true = cells.groupBy(F.col("y").alias("label")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n"))).alias("tp")
+    # From the counts that occur: each (y, pred) count adds to the support of y and the predictions of pred.
+    counts = df.groupBy(F.col(y_col).alias("y"), F.col(pred_col).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    hit, none = F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0), F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("y").alias("label"), F.col("n").alias("support"), none.alias("predicted"), hit.cast("long").alias("tp")),
+        F.struct(F.col("pred").alias("label"), none.alias("support"), F.col("n").alias("predicted"), none.alias("tp")),
     )
-    by_pred = cells.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    j = by_true.join(by_pred, "label")
+    j = counts.select(F.inline(sides)).groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     tp, sup, prd = F.col("tp").cast("double"), F.col("support").cast("double"), F.col("predicted").cast("double")
     return j.select(
         "label",

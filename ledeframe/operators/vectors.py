@@ -122,7 +122,7 @@ def with_attention_pool(
     """T4: e = tanh(x_pos . w + b_pos); a = softmax over positions; pooled = sum_pos a_pos x_pos.
 
     Pad positions take part by default, as in the reference layer; with
-    ``mask_pad`` the positions whose id is 0 get weight 0.
+    ``mask_pad`` the positions whose id is 0 get weight 0 (nothing but padding: all zeros).
     """
     wl = F.array(*[F.lit(float(x)) for x in w])
     bl = F.array(*[F.lit(float(x)) for x in b]) if b else None
@@ -137,9 +137,10 @@ def with_attention_pool(
         masked = F.zip_with("_sc", F.col(ids_col), lambda sc, i: F.when(i == 0, F.lit(float("-inf"))).otherwise(sc))
         staged = staged.withColumn("_sc", masked)
     staged = staged.withColumn("_mx", F.array_max("_sc"))
-    staged = staged.withColumn("_ex", F.transform("_sc", lambda x: F.exp(x - F.col("_mx"))))
+    exp = lambda x: F.when(F.col("_mx") > float("-inf"), F.exp(x - F.col("_mx"))).otherwise(F.lit(0.0))
+    staged = staged.withColumn("_ex", F.transform("_sc", exp))
     staged = staged.withColumn("_tot", F.aggregate("_ex", F.lit(0.0), lambda a, x: a + x))
-    staged = staged.withColumn(weights_out, F.transform("_ex", lambda x: x / F.col("_tot")))
+    staged = staged.withColumn(weights_out, F.transform("_ex", lambda x: F.when(F.col("_tot") > 0, x / F.col("_tot")).otherwise(F.lit(0.0))))
     staged = staged.withColumn(out, _dim_sum(F.col(vecs_col), F.col(weights_out), dim))
     return staged.drop("_sc", "_mx", "_ex", "_tot")
 

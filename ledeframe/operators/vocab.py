@@ -81,12 +81,6 @@ def vocab_top_n(df: DataFrame, max_words: int, text_col: str = "text", id_col: s
     return cut_lineage(fitted) if freeze else fitted
 
 
-def vocab_size(df: DataFrame, text_col: str = "text", tokens=tokenizer_words) -> DataFrame:
-    """Number of distinct words (the full vocabulary's size) as one row."""
-    words = df.select(F.explode(_tokens(df, text_col, tokens)).alias("word"))
-    return words.agg(F.countDistinct("word").alias("vocab_size"))
-
-
 def token_to_id(
     df: DataFrame,
     vocab: DataFrame,
@@ -96,27 +90,33 @@ def token_to_id(
     out: str = "ids",
     tokens=tokenizer_words,
     num_partitions: int | None = None,
+    max_len: int | None = None,
 ) -> DataFrame:
-    """Word -> id; unknown words and ids >= ``max_words`` -> 1.
-
-    Plan: the documents are hash-partitioned by ``id_col`` once; tokens are
-    exploded inside each partition and looked up with a broadcast hash join
-    against the cut vocabulary (at most ``max_words - 2`` rows by construction,
-    so the broadcast is bounded by a parameter, not by the data).  The ids are
-    regrouped by document in position order; because the exploded rows keep
-    the documents' partitioning, the regroup and the join back to the document
-    rows need no further exchange.
+    """Word -> id; unknown words and ids >= ``max_words`` -> 1; only the first ``max_len``
+    tokens if it is given (cut before anything is exploded).
+
+    Plan: tokens are exploded inside each partition of the documents and looked up with
+    a broadcast hash join against the cut vocabulary (at most ``max_words - 2`` rows by
+    construction, so the broadcast is bounded by a parameter, not by the data).  The
+    ids are regrouped in position order by (id, tokens' hash), so rows that repeat an
+    id keep their own sequences.
     """
     cut = vocab.filter(F.col("id") < max_words).select("word", F.col("id").alias("_id"))
-    keyed = by_document(df, id_col, num_partitions)
-    exploded = keyed.select(F.col(id_col), F.posexplode(_tokens(keyed, text_col, tokens)).alias("_pos", "word"))
+    words = _tokens(df, text_col, tokens)
+    rows = df.withColumn("_tokens", F.slice(words, 1, max_len) if max_len is not None else words)
+    rows = rows.withColumn("_text", F.xxhash64("_tokens"))
+    keys = [F.col(id_col), F.col("_text")]
+    keyed = rows.repartition(num_partitions, *keys) if num_partitions else rows.repartition(*keys)
+    exploded = keyed.select(*keys, F.posexplode("_tokens").alias("_pos", "word"))
     looked = exploded.join(F.broadcast(cut), "word", "left").select(
-        F.col(id_col), F.struct("_pos", F.coalesce("_id", F.lit(OOV_ID)).alias("id")).alias("_p")
+        *keys, F.struct("_pos", F.coalesce("_id", F.lit(OOV_ID)).alias("id")).alias("_p")
     )
-    seqs = looked.groupBy(id_col).agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
-    seqs = seqs.select(F.col(id_col), F.col("_ps.id").alias(out))
+    # A set: a row repeated in full adds nothing.
+    seqs = looked.groupBy(*keys).agg(F.sort_array(F.collect_set("_p")).alias("_ps"))
+    seqs = seqs.select(*keys, F.col("_ps.id").alias(out))
     # Documents without a single token still get an empty sequence.
-    return keyed.join(seqs, id_col, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    joined = keyed.drop("_tokens").join(seqs, [id_col, "_text"], "left").drop("_text")
+    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
 
 def longest_sequence(df: DataFrame, ids_col: str = "ids", cap: int = 128, group_cols=()) -> DataFrame:
@@ -131,11 +131,10 @@ def pad_to_longest(df: DataFrame, ids_col: str = "ids", cap: int = 128, group_co
     The per-group lengths are one row per group, joined back through the
     size-checked broadcast."""
     from ledeframe.functions.sequence import pad_sequence
-    from ledeframe.session import broadcast_if_small
 
     lens = longest_sequence(df, ids_col, cap, group_cols)
     if group_cols:
-        j = df.join(broadcast_if_small(lens), list(group_cols))
+        j = df.join(lens, list(group_cols))
     else:
         j = df.withColumn("pad_len", lens.scalar())
     return j.withColumn(out or ids_col, pad_sequence(ids_col, "pad_len"))

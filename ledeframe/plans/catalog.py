@@ -87,7 +87,8 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 
 PREDICTIONS_SQL = "SELECT doc_id, quality AS y, toxic AS pred FROM labels"
 
-LOGITS_SQL = "SELECT vec_id, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS z, label FROM embeddings"
+LOGITS_SQL = """SELECT vec_id, list_transform(range(10), lambda j: list_reduce(list_transform(list_filter(embedding, lambda v, i: (i - 1) % 10 = j),
+                                                                               lambda v: v::DOUBLE), lambda a, b: a + b, 0.0::DOUBLE)) AS z, label FROM embeddings"""
 
 PROBABILITIES_SQL = """
 SELECT vec_id, 1.0 / (1.0 + exp(-list_reduce(list_transform(embedding, lambda v: v::DOUBLE), lambda a, b: a + b, 0.0::DOUBLE))) AS p, label

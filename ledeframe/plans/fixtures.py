@@ -48,9 +48,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten-class logits: the first ten embedding elements, truth = label."""
-    emb = table(spark, sf_dir, "embeddings")
-    return emb.select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("z"), "label")
+    """Ten-class logits: class j gets the sum of the embedding's elements j, j + 10, ...; truth = label."""
+    emb = table(spark, sf_dir, "embeddings").withColumn("_e", F.col("embedding").cast("array<double>"))
+    own = lambda j: F.filter("_e", lambda _, i: i % 10 == j)
+    z = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.aggregate(own(j), F.lit(0.0), lambda a, v: a + v))
+    return emb.select("vec_id", z.alias("z"), "label")
 
 
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:

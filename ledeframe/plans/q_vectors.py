@@ -81,7 +81,7 @@ seqs AS (SELECT doc_id, list(id ORDER BY pos) AS pos_ids, list(vec ORDER BY pos)
 def _headline_parts(spark, sf_dir):
     h = X.headlines(spark, sf_dir).withColumn("clean", clean_alnum("title"))
     vocab = V.vocab_top_n(h, MAX_WORDS, "clean", "doc_id")
-    enc = V.token_to_id(h, vocab, MAX_WORDS, "clean", "doc_id").select("doc_id", pad_sequence("ids", MAX_LEN).alias("ids"))
+    enc = V.token_to_id(h, vocab, MAX_WORDS, "clean", "doc_id", max_len=MAX_LEN).select("doc_id", pad_sequence("ids", MAX_LEN).alias("ids"))
     return h, vocab, enc
 
 
