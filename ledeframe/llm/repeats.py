@@ -27,7 +27,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, did, tid, text: the id, the identity and the text of every row; a null text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     did = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    return docs.select(F.col(id_col).alias("doc_id"), did.alias("did"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), did.alias("did"), F.hash(text).alias("tid"), text.alias("text"))
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -41,7 +41,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, first_stays: bool) -> DataFrame:
     """Blocks of ``rows`` (did, tid, text), those without a twin in their chunk of texts.
 
-    Columns: did, tid, lo, hi, anchor (in symbols of the text), gram, content. Of blocks
+    Columns: did, tid, lo, hi (first and last window start, in symbols of the text), gram, content. Of blocks
     that are equal within a chunk one is kept, the first by did and place; the others'
     windows are known to be repeated and come merged as rows with a null gram, lo to
     hi then being a range to remove. Unless ``first_stays`` the kept one's is among them.
@@ -60,8 +60,7 @@ def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, fi
         keep, gone = order[fresh], order[shared if not first_stays else ~fresh]
         t, a, b = B.merge(text[gone], lo[gone], hi[gone] + size)
         base, base2 = bounds[text[keep]], bounds[t]
-        blank = np.zeros(len(t), np.int64)
-        column = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
+        column = lambda x, y: pa.array(np.concatenate([x, y]))
         hashes = lambda x: pa.concat_arrays([_signed(x), pa.nulls(len(t), pa.int64())])
         return pa.record_batch(
             {
@@ -69,7 +68,6 @@ def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, fi
                 "tid": column(tid[text[keep]], tid[t]),
                 "lo": column(lo[keep] - base, a - base2),
                 "hi": column(hi[keep] - base, b - base2),
-                "anchor": column(found["anchor"][keep] - base, blank),
                 "gram": hashes(found["gram"][keep]),
                 "content": hashes(found["content"][keep]),
             }
@@ -87,17 +85,17 @@ def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, fi
             for i, j in B.chunks(texts):
                 yield part(did[i:j], tid[i:j], texts[i:j])
 
-    return rows.select("did", "tid", "text").mapInArrow(blocks_of, "did long, tid long, lo long, hi long, anchor long, gram long, content long")
+    return rows.select("did", "tid", "text").mapInArrow(blocks_of, "did long, tid int, lo long, hi long, gram long, content long")
 
 
 def contents(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, classes): the blocks whose gram occurs in two blocks or more; and one row per distinct
-    content of them: gram, content, first (least did, tid, lo, hi, anchor), copied (it has another place), and
+    content of them: gram, content, first (least did, tid, lo, hi), copied (it has another place), and
     kinds, the number of contents of its gram."""
     own = blocks.where(F.col("gram").isNotNull())
     common = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     members = cut_lineage(own.join(common, "gram"))
-    place = F.struct("did", "tid", "lo", "hi", "anchor")
+    place = F.struct("did", "tid", "lo", "hi")
     classes = members.groupBy("gram", "content").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("copied"))
     kinds = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     return members, cut_lineage(classes.join(kinds, "gram"))
@@ -110,12 +108,17 @@ def with_places(rows: DataFrame, places: DataFrame, name: str, how: str = "inner
     return rows.join(lists, DOC, how)
 
 
+def first_windows(windows: DataFrame) -> DataFrame:
+    """Rows (w1, w2, did, tid, at) with ``first``, the least (did, tid, at) of their 128-bit hash, where it occurs again."""
+    first = F.min(F.struct("did", "tid", "at")).alias("first")
+    common = windows.groupBy("w1", "w2").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return windows.join(common, ["w1", "w2"])
+
+
 def shared_windows(windows: DataFrame) -> DataFrame:
-    """Of rows (w1, w2, did, tid, at): those whose 128-bit hash occurs at another place too, with ``first``,
-    the least (did, tid, at) of it."""
-    place = F.struct("did", "tid", "at")
-    common = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    common = common.where("first < last").select("w1", "w2", "first")
+    """Of rows (w1, w2, did, tid, at): those whose 128-bit hash occurs at another place too."""
+    place = F.xxhash64("did", "tid", "at")
+    common = windows.groupBy("w1", "w2").agg((F.min(place) < F.max(place)).alias("shared")).where("shared").drop("shared")
     return windows.join(common, ["w1", "w2"])
 
 
@@ -147,7 +150,7 @@ def window_rows(symbols: Symbols, size: int) -> Callable:
     return rows_of
 
 
-WINDOW_SCHEMA = "w1 long, w2 long, did long, tid long, at long"
+WINDOW_SCHEMA = "w1 long, w2 long, did long, tid int, at long"
 
 
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:

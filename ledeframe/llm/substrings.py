@@ -39,7 +39,7 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = later.select("did", "tid", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
     open_ = classes.where("kinds > 1").select("first.did", "first.tid", F.struct("first.lo", "first.hi").alias("place"))
     windows = R.with_places(rows.drop("doc_id"), open_, "places").mapInArrow(R.window_rows(B.word_symbols, size), R.WINDOW_SCHEMA)
-    repeated = R.shared_windows(windows).where(F.struct("did", "tid", "at") > F.col("first"))
+    repeated = R.first_windows(windows).where(F.struct("did", "tid", "at") > F.col("first"))
     return local.unionByName(later).unionByName(repeated.select("did", "tid", F.col("at").alias("start"), (F.col("at") + size).alias("end")))
 
 

@@ -105,7 +105,7 @@ def occurrences(size: int):
 
     def of(rows: list[list[dict]]) -> pa.RecordBatch:
         members = [m for row in rows for m in row]
-        did, tid, lo = (np.array([m[k] for m in members], np.int64) for k in ("did", "tid", "lo"))
+        did, tid, lo = (np.array([m[k] for m in members], t) for k, t in (("did", np.int64), ("tid", np.int32), ("lo", np.int64)))
         found = list(maximal_repeats([m["string"] for m in members], size))
         counts = [len(s) for _, s, _ in found]
         string = np.concatenate([s for _, s, _ in found]) if found else np.zeros(0, np.int64)
@@ -150,9 +150,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = classes.where("kinds > 1").select("gram", "kinds", "first.*")
 
     few = own.where(F.col("kinds") <= BUCKET).select("did", "tid", F.struct("gram", "lo", "hi").alias("place"))
-    strings = R.with_places(rows, few, "places").mapInArrow(block_strings(size), "gram long, did long, tid long, lo long, string binary")
+    strings = R.with_places(rows, few, "places").mapInArrow(block_strings(size), "gram long, did long, tid int, lo long, string binary")
     buckets = strings.groupBy("gram").agg(F.collect_set(F.struct("did", "tid", "lo", "string")).alias("bucket"))
-    repeats = buckets.select("bucket").mapInArrow(occurrences(size), "repeat long, did long, tid long, start long, end long")
+    repeats = buckets.select("bucket").mapInArrow(occurrences(size), "repeat long, did long, tid int, start long, end long")
 
     many = own.where(F.col("kinds") > BUCKET).select("did", "tid", F.struct("lo", "hi").alias("place"))
     windows = R.with_places(rows, many, "places").mapInArrow(R.window_rows(B.byte_symbols, size), R.WINDOW_SCHEMA)
