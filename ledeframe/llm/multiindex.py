@@ -163,8 +163,7 @@ def near_vectors(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(2)
-            x = unit(x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() :].reshape(batch.num_rows, -1))
+            x = unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
             half = one.shape[1]
             d1, d2 = _nearest(x[:, :half], one), _nearest(x[:, half:], two)
             cells = [[i * codes + j for i, j in visits(a, b, most)] for a, b in zip(d1, d2)]
