@@ -120,7 +120,7 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::BIGINT A
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """doc_id and digests of the byte-level BPE round trip of each text."""
     vocabulary = load(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN).select("doc_id", "ids")
+    ids = encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, spaced=True).select("doc_id", "ids")
     return decode(ids, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -152,6 +152,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+
+ORACLE["op6_substring_dedup"] = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d)),
+firsts AS (SELECT k, min(struct_pack(d := doc_id, i := i)) AS f FROM win GROUP BY k),
+later AS (SELECT win.doc_id, win.i FROM win JOIN firsts USING (k) WHERE f.d <> win.doc_id OR f.i <> win.i),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = words.doc_id AND g.p = words.p)
+         GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left of every document when strings of 200 bytes that occur twice go."""
