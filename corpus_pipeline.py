@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids, their number and digest, and the digest of the bytes they decode to."""
     vocabulary = load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = encode(docs.select("doc_id", "source", "text"), vocabulary, public_tokenizers.PATTERN, "text", "ids").drop("text")
+    ids = encode(docs.select("doc_id", "source", "text"), vocabulary, public_tokenizers.PATTERN, "text", "ids", spaced=True).drop("text")
     return decode(ids, vocabulary, "ids", "decoded").select(
         "doc_id",
         "source",
