@@ -120,29 +120,37 @@ def _landmarks(toxic: list[bytes], clean: list[bytes]) -> list[bytes]:
     """Strings found by 4 to 6 of their letters and word edges, best first, by the toxic documents that hold them; a document
     counts half as much for each landmark it already has, and landmarks share no three letters."""
 
-    def strings(text: bytes) -> set[bytes]:
-        inner = np.concatenate(([0], np.cumsum(_classes()[np.frombuffer(text, np.uint8)] == EDGE)))
-        found: set[bytes] = set()
-        for n in (6, 5, 4):
-            # No edge but in the first and the last place.
-            ok = inner[n - 1 :][: max(0, len(text) - n + 1)] - inner[1:][: max(0, len(text) - n + 1)] == 0
-            found.update(text[i : i + n] for i in np.flatnonzero(ok).tolist())
-        return found
-
     toxic, clean = [_plain(t) for t in toxic], [_plain(t) for t in clean]
-    holders: dict[bytes, list[int]] = {}
-    for i, t in enumerate(toxic):
-        for s in strings(t):
-            holders.setdefault(s, []).append(i)
+    edge = _classes() == EDGE
+
+    def strings(text: bytes, n: int) -> np.ndarray:
+        """The distinct strings of ``n`` bytes, as numbers, without an edge but in the first and the last place."""
+        raw = np.frombuffer(text, np.uint8)
+        many = max(0, len(raw) - n + 1)
+        inner = np.concatenate(([0], np.cumsum(edge[raw])))
+        code = np.zeros(many, np.int64)
+        for k in range(n):
+            code = code << 8 | raw[k : k + many]
+        return np.unique(code[inner[n - 1 :][:many] == inner[1:][:many]])
+
     least = max(3, len(toxic) // 400)
-    holders = {s: h for s, h in holders.items() if len(h) >= least}
-    wrong = dict.fromkeys(holders, 0)
-    for t in clean:
-        for s in strings(t):
-            if s in wrong:
-                wrong[s] += 1
+    holders: dict[bytes, np.ndarray] = {}
+    wrong: dict[bytes, int] = {}
+    for n in (6, 5, 4):  # one length at a time, as arrays of numbers: a few tens of MB for the whole sample
+        own = [strings(t, n) for t in toxic]
+        listed, many = np.unique(np.concatenate(own), return_counts=True)
+        listed = listed[many >= least]
+        where = [np.flatnonzero(np.isin(listed, o, assume_unique=True)) for o in own]
+        failed = np.zeros(len(listed), np.int64)
+        for t in clean:
+            failed[np.isin(listed, strings(t, n), assume_unique=True)] += 1
+        doc = np.repeat(np.arange(len(own)), [len(w) for w in where])
+        which = np.concatenate(where)
+        order = np.argsort(which, kind="stable")
+        for code, docs, bad in zip(listed.tolist(), np.split(doc[order], np.cumsum(np.bincount(which, minlength=len(listed)))[:-1]), failed.tolist()):
+            holders[code.to_bytes(n, "big")], wrong[code.to_bytes(n, "big")] = docs, bad
     odds = (len(toxic) + 1) / (len(clean) + 1)
-    left = {s: np.array(h) for s, h in holders.items() if wrong[s] * odds * 20 <= len(h)}
+    left = {s: h for s, h in holders.items() if wrong[s] * odds * 20 <= len(h)}
     chosen: list[bytes] = []
     open_, taken = np.ones(len(toxic)), set()
     while left and len(chosen) < LANDMARKS:
@@ -190,7 +198,7 @@ def _windows(texts: list[bytes], profiles: np.ndarray, listed: np.ndarray, most:
     """For each text, the landmark kernels (rows) of its ``most`` windows most like some landmark."""
     own = (profiles**2).sum(axis=0)
     out = []
-    for part in _chunks(texts):
+    for part in _chunks(texts, 1 << 16):  # a row of kernels per listed sequence met
         symbols, starts = _join(part)
         places, rows = [], []
         for code, weight in _codes(symbols):
