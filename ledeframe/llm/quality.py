@@ -122,7 +122,8 @@ def fit_rates(votes: DataFrame, rounds: int = 15) -> tuple[dict[str, tuple[float
     """
     names = list(RULES)
     params, prior = {n: (0.999, 0.2) for n in names}, 0.9
-    patterns = cut_lineage(votes.groupBy(*[f"vote_{n}" for n in names]).agg(F.count(F.lit(1)).alias("n")))
+    # At most 3^rules rows: one partition, so that a round is one small task.
+    patterns = cut_lineage(votes.groupBy(*[f"vote_{n}" for n in names]).agg(F.count(F.lit(1)).alias("n")).repartition(1))
     for _ in range(rounds):
         good = 1 / (1 + F.exp(-log_odds(params, prior)))
         p = patterns.withColumn("_good", F.col("n") * good).withColumn("_bad", F.col("n") - F.col("_good"))
