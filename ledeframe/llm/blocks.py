@@ -64,6 +64,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - span : width - span + n])
 
 
+def anchors(sums: Sums, n: int, size: int, gram: int) -> np.ndarray:
+    """The anchor's place for every window start of ``n`` symbols."""
+    at = np.arange(n - gram + 1)
+    key = (sums.of(at, at + gram) & ~_PLACE) | at.astype(np.uint64)
+    return (sliding_least(key, size - gram + 1) & _PLACE).astype(np.int64)
+
+
 def split_blocks(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> dict[str, np.ndarray]:
     """Blocks of the texts that end at ``bounds`` (first 0): text number, anchor, first and last
     window start (positions in all symbols), gram hash and content hash."""
@@ -72,9 +79,7 @@ def split_blocks(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int)
     if n < size:
         return none
     sums = Sums(symbols, BASES[0])
-    at = np.arange(n - gram + 1)
-    key = (sums.of(at, at + gram) & ~_PLACE) | at.astype(np.uint64)
-    anchor = (sliding_least(key, size - gram + 1) & _PLACE).astype(np.int64)
+    anchor = anchors(sums, n, size, gram)
     ends = np.repeat(bounds[1:], np.diff(bounds))[: n - size + 1]
     whole = np.flatnonzero(np.arange(size, n + 1) <= ends)
     if not len(whole):

@@ -1,7 +1,8 @@
 """The Spark side of repeated passages: candidate blocks, distinct contents, the texts they need, and cutting.
 
-A document is known by its id and a hash of its text; rows that repeat both are the
-same document, written once but returned for each row. Null ids count as the least.
+A document is known by its id and 32 hashed bits of its text, which tell texts apart that
+share an id; rows that repeat both are the same document, returned for each row. Null
+ids count as the least.
 Nothing here gathers a group: frequent grams and contents are counted with partial
 aggregation and joined back by shuffle, where Spark splits a skewed key.
 """
@@ -115,13 +116,6 @@ def first_windows(windows: DataFrame) -> DataFrame:
     return windows.join(common, ["w1", "w2"])
 
 
-def shared_windows(windows: DataFrame) -> DataFrame:
-    """Of rows (w1, w2, did, tid, at): those whose 128-bit hash occurs at another place too."""
-    place = F.xxhash64("did", "tid", "at")
-    common = windows.groupBy("w1", "w2").agg((F.min(place) < F.max(place)).alias("shared")).where("shared").drop("shared")
-    return windows.join(common, ["w1", "w2"])
-
-
 def window_rows(symbols: Symbols, size: int) -> Callable:
     """For mapInArrow over (did, tid, text, places of struct lo, hi): w1, w2, did, tid, at of each window there."""
 
@@ -151,6 +145,72 @@ def window_rows(symbols: Symbols, size: int) -> Callable:
 
 
 WINDOW_SCHEMA = "w1 long, w2 long, did long, tid int, at long"
+STRETCH = 16
+
+
+def stretch_rows(symbols: Symbols, size: int, gram: int) -> Callable:
+    """For mapInArrow over (did, tid, text, places of struct lo, hi): the windows of each place in stretches of
+    up to ``STRETCH``, cut at places that count from the anchor, so that equal windows fall into like stretches:
+    s1, s2 (hash of all symbols), did, tid, at (of the first window) and ws, the windows' (w1, w2)."""
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            did, tid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            texts, places = texts_of(batch.column(2)), batch.column(3)
+            cuts = places.offsets.to_numpy()
+            lo, hi = (places.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j in B.chunks(texts):
+                values, bounds = symbols(texts[i:j])
+                part = slice(cuts[i], cuts[j])
+                text = np.repeat(np.arange(j - i), np.diff(cuts[i : j + 1]))
+                a, b = lo[part], hi[part]
+                sums = [B.Sums(values, base) for base in B.BASES]
+                c = B.anchors(sums[0], len(values), size, gram)[bounds[text] + a] - bounds[text]
+                # Stretch k of a place holds the windows whose distance from the anchor is in [16 k, 16 k + 16).
+                first, last = (c - b) // STRETCH, (c - a) // STRETCH
+                many = last - first + 1
+                which = np.repeat(np.arange(len(a)), many)
+                k = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                start = np.maximum(a[which], c[which] - STRETCH * k - STRETCH + 1)
+                end = np.minimum(b[which], c[which] - STRETCH * k)
+                owner = text[which]
+                at, to = bounds[owner] + start, bounds[owner] + end
+                whole = [B.mixed(s.of(at, to + size) ^ B.mixed((end - start).astype(np.uint64))) for s in sums]
+                count = end - start + 1
+                offsets = np.concatenate(([0], np.cumsum(count)))
+                window = np.repeat(at - offsets[:-1], count) + np.arange(offsets[-1])
+                hashes = pa.StructArray.from_arrays([_signed(s.of(window, window + size)) for s in sums], ["w1", "w2"])
+                yield pa.record_batch(
+                    {
+                        "s1": _signed(whole[0]),
+                        "s2": _signed(whole[1]),
+                        "did": pa.array(did[i:j][owner]),
+                        "tid": pa.array(tid[i:j][owner]),
+                        "at": pa.array(start),
+                        "ws": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), hashes),
+                    }
+                )
+
+    return rows_of
+
+
+STRETCH_SCHEMA = "s1 long, s2 long, did long, tid int, at long, ws array<struct<w1:bigint,w2:bigint>>"
+
+
+def shared_ranges(stretches: DataFrame, size: int) -> DataFrame:
+    """Ranges (did, tid, start, end) of the windows of ``stretches`` that occur at another place too.
+
+    Equal stretches are settled as a whole; of each distinct one the windows are counted once."""
+    place = F.xxhash64("did", "tid", "at")
+    kinds = stretches.groupBy("s1", "s2").agg((F.min(place) < F.max(place)).alias("whole"), F.min(F.struct("did", "tid", "at", "ws")).alias("first"))
+    kinds = cut_lineage(kinds)
+    whole = stretches.join(kinds.where("whole").select("s1", "s2"), ["s1", "s2"])
+    whole = whole.select("did", "tid", F.col("at").alias("start"), (F.col("at") + F.size("ws") - 1 + size).alias("end"))
+    windows = kinds.select("first.did", "first.tid", "first.at", "whole", F.posexplode("first.ws").alias("k", "w"))
+    windows = windows.select("w.w1", "w.w2", "did", "tid", (F.col("at") + F.col("k")).alias("at"), "whole")
+    common = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    parts = windows.where("not whole").join(common, ["w1", "w2"])
+    return whole.unionByName(parts.select("did", "tid", F.col("at").alias("start"), (F.col("at") + size).alias("end")))
 
 
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:

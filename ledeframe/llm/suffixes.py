@@ -11,8 +11,9 @@ start of a block counts as diverse). These are the maximal repeats, each with al
 occurrences; every repeated string of ``size`` bytes lies in one of them.
 
 A gram with very many distinct contents (a passage in very many surroundings) would make
-an unbounded bucket. Beyond ``BUCKET`` contents its windows are told apart by their
-128-bit hashes instead, counted in Spark: the same strings, found the other way.
+an unbounded bucket. Beyond ``BUCKET`` contents its windows are told apart by 128-bit
+hashes instead, first in stretches, then one by one, counted in Spark: the same strings,
+found the other way.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ def maximal_repeats(strings: list[bytes], size: int) -> Iterator[tuple[int, np.n
     start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     rows = np.lib.stride_tricks.sliding_window_view(table, width, axis=1)[string, start]
     rest = lengths[string] - start
-    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    # Suffixes in order; behind its end a suffix is filled with zeros, so of equal rows the shorter comes first.
+    order = np.argsort(rest, kind="stable")
+    order = order[np.argsort(rows[order].view(f"S{width}").ravel(), kind="stable")]
     rows, string, start, rest = rows[order], string[order], start[order], rest[order]
     differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
@@ -141,7 +144,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Ranges of bytes (did, tid, start, end), overlapping, of strings of ``size`` bytes or more that occur twice."""
     ship_code()
     rows = R.keyed(docs, id_col, text_col)
-    blocks = R.candidate_blocks(rows, B.byte_symbols, size, max(1, size // 2), first_stays=False)
+    gram = max(1, size // 2)
+    blocks = R.candidate_blocks(rows, B.byte_symbols, size, gram, first_stays=False)
     range_ = lambda end: ["did", "tid", F.col("lo").alias("start"), end.alias("end")]
     local = blocks.where("gram is null").select(*range_(F.col("hi")))
     members, classes = R.contents(blocks)
@@ -155,8 +159,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeats = buckets.select("bucket").mapInArrow(occurrences(size), "repeat long, did long, tid int, start long, end long")
 
     many = own.where(F.col("kinds") > BUCKET).select("did", "tid", F.struct("lo", "hi").alias("place"))
-    windows = R.with_places(rows, many, "places").mapInArrow(R.window_rows(B.byte_symbols, size), R.WINDOW_SCHEMA)
-    hashed = R.shared_windows(windows).select("did", "tid", F.col("at").alias("start"), (F.col("at") + size).alias("end"))
+    stretches = R.with_places(rows, many, "places").mapInArrow(R.stretch_rows(B.byte_symbols, size, gram), R.STRETCH_SCHEMA)
+    hashed = R.shared_ranges(stretches, size)
     return local.unionByName(copied).unionByName(repeats.select("did", "tid", "start", "end")).unionByName(hashed)
 
 
