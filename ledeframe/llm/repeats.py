@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledeframe.llm import blocks as B
-from ledeframe.llm.common import cut_lineage, ship_code
+from ledeframe.llm.common import ship_code, written
 
 LEAST = -(1 << 63)
 DOC = ["did", "tid"]
@@ -95,11 +95,11 @@ def contents(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds, the number of contents of its gram."""
     own = blocks.where(F.col("gram").isNotNull())
     common = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    members = cut_lineage(own.join(common, "gram"))
+    members = written(own.join(common, "gram"))
     place = F.struct("did", "tid", "lo", "hi")
     classes = members.groupBy("gram", "content").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("copied"))
     kinds = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    return members, cut_lineage(classes.join(kinds, "gram"))
+    return members, written(classes.join(kinds, "gram"))
 
 
 def with_places(rows: DataFrame, places: DataFrame, name: str, how: str = "inner") -> DataFrame:
@@ -203,7 +203,7 @@ def shared_ranges(stretches: DataFrame, size: int) -> DataFrame:
     Equal stretches are settled as a whole; of each distinct one the windows are counted once."""
     place = F.xxhash64("did", "tid", "at")
     kinds = stretches.groupBy("s1", "s2").agg((F.min(place) < F.max(place)).alias("whole"), F.min(F.struct("did", "tid", "at", "ws")).alias("first"))
-    kinds = cut_lineage(kinds)
+    kinds = written(kinds)
     whole = stretches.join(kinds.where("whole").select("s1", "s2"), ["s1", "s2"])
     whole = whole.select("did", "tid", F.col("at").alias("start"), (F.col("at") + F.size("ws") - 1 + size).alias("end"))
     windows = kinds.select("first.did", "first.tid", "first.at", "whole", F.posexplode("first.ws").alias("k", "w"))
