@@ -1,8 +1,8 @@
 """The Spark side of repeated passages: candidate blocks, distinct contents, the texts they need, and cutting.
 
-A document is known by its id and 32 hashed bits of its text, which tell texts apart that
-share an id; rows that repeat both are the same document, returned for each row. Null
-ids count as the least.
+A document is known by its id and 128 hashed bits of its text (``tid`` and ``uid``), which
+alone tell texts apart that share an id or have none; rows that repeat both are the same
+document, returned for each row. Null ids count as the least.
 Nothing here gathers a group: frequent grams and contents are counted with partial
 aggregation and joined back by shuffle, where Spark splits a skewed key.
 """
@@ -20,15 +20,28 @@ from ledeframe.llm import blocks as B
 from ledeframe.llm.common import ship_code, written
 
 LEAST = -(1 << 63)
-DOC = ["did", "tid"]
+DOC = ["did", "tid", "uid"]
+DOC_SCHEMA = "did long, tid long, uid long"
 Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, did, tid, text: the id, the identity and the text of every row; a null text is empty."""
+    """doc_id, did, tid, uid, text: the id, the identity and the text of every row; a null text is empty.
+
+    The upper half of ``tid`` is the 32-bit hash that orders the texts of an id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     did = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    return docs.select(F.col(id_col).alias("doc_id"), did.alias("did"), F.hash(text).alias("tid"), text.alias("text"))
+    tid = F.shiftleft(F.hash(text).cast("long"), 32).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return docs.select(F.col(id_col).alias("doc_id"), did.alias("did"), tid.alias("tid"), F.xxhash64(F.lit(1), text).alias("uid"), text.alias("text"))
+
+
+def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The first three columns, did, tid and uid, as rows of an array."""
+    return np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]).astype(np.int64, copy=False)
+
+
+def key_columns(keys: np.ndarray) -> dict[str, pa.Array]:
+    return {name: pa.array(np.ascontiguousarray(keys[:, k])) for k, name in enumerate(DOC)}
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -40,20 +53,20 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, first_stays: bool) -> DataFrame:
-    """Blocks of ``rows`` (did, tid, text), those without a twin in their chunk of texts.
+    """Blocks of ``rows`` (did, tid, uid, text), those without a twin in their chunk of texts.
 
-    Columns: did, tid, lo, hi (first and last window start, in symbols of the text), gram, content. Of blocks
+    Columns: did, tid, uid, lo, hi (first and last window start, in symbols of the text), gram, content. Of blocks
     that are equal within a chunk one is kept, the first by did and place; the others'
     windows are known to be repeated and come merged as rows with a null gram, lo to
     hi then being a range to remove. Unless ``first_stays`` the kept one's is among them.
     """
     ship_code()
 
-    def part(did: np.ndarray, tid: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    def part(keys: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
         values, bounds = symbols(texts)
         found = B.split_blocks(values, bounds, size, gram)
         text, lo, hi = found["text"], found["lo"], found["hi"]
-        order = np.lexsort((lo, tid[text], did[text], found["content"], found["gram"]))
+        order = np.lexsort((lo, *keys[text].T[::-1], found["content"], found["gram"]))
         g, c = found["gram"][order], found["content"][order]
         fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])))[: len(g)]
         group = np.cumsum(fresh) - 1
@@ -64,9 +77,8 @@ def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, fi
         column = lambda x, y: pa.array(np.concatenate([x, y]))
         hashes = lambda x: pa.concat_arrays([_signed(x), pa.nulls(len(t), pa.int64())])
         return pa.record_batch(
-            {
-                "did": column(did[text[keep]], did[t]),
-                "tid": column(tid[text[keep]], tid[t]),
+            key_columns(keys[np.concatenate([text[keep], t])])
+            | {
                 "lo": column(lo[keep] - base, a - base2),
                 "hi": column(hi[keep] - base, b - base2),
                 "gram": hashes(found["gram"][keep]),
@@ -76,53 +88,50 @@ def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, fi
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, tid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts = texts_of(batch.column(2))
-            seen = dict.fromkeys(zip(did.tolist(), tid.tolist()))
-            if len(seen) < len(texts):  # rows of one document
-                once = {key: k for k, key in reversed(list(enumerate(zip(did.tolist(), tid.tolist()))))}
+            keys, texts = keys_of(batch), texts_of(batch.column(3))
+            once = {key: k for k, key in reversed(list(enumerate(map(tuple, keys.tolist()))))}
+            if len(once) < len(texts):  # rows of one document
                 rows_ = sorted(once.values())
-                did, tid, texts = did[rows_], tid[rows_], [texts[k] for k in rows_]
+                keys, texts = keys[rows_], [texts[k] for k in rows_]
             for i, j in B.chunks(texts):
-                yield part(did[i:j], tid[i:j], texts[i:j])
+                yield part(keys[i:j], texts[i:j])
 
-    return rows.select("did", "tid", "text").mapInArrow(blocks_of, "did long, tid int, lo long, hi long, gram long, content long")
+    return rows.select(*DOC, "text").mapInArrow(blocks_of, f"{DOC_SCHEMA}, lo long, hi long, gram long, content long")
 
 
 def contents(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, classes): the blocks whose gram occurs in two blocks or more; and one row per distinct
-    content of them: gram, content, first (least did, tid, lo, hi), copied (it has another place), and
+    content of them: gram, content, first (least did, tid, uid, lo, hi), copied (it has another place), and
     kinds, the number of contents of its gram."""
     own = blocks.where(F.col("gram").isNotNull())
     common = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     members = written(own.join(common, "gram"))
-    place = F.struct("did", "tid", "lo", "hi")
+    place = F.struct(*DOC, "lo", "hi")
     classes = members.groupBy("gram", "content").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("copied"))
     kinds = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     return members, written(classes.join(kinds, "gram"))
 
 
 def with_places(rows: DataFrame, places: DataFrame, name: str, how: str = "inner") -> DataFrame:
-    """``rows`` (did, tid, text) with the array ``name`` of all structs that ``places`` (did, tid, place) has
+    """``rows`` (did, tid, uid, text) with the array ``name`` of all structs that ``places`` (did, tid, uid, place) has
     for the document: as many as the text has places, however frequent their contents are."""
     lists = places.groupBy(*DOC).agg(F.collect_list("place").alias(name))
     return rows.join(lists, DOC, how)
 
 
 def first_windows(windows: DataFrame) -> DataFrame:
-    """Rows (w1, w2, did, tid, at) with ``first``, the least (did, tid, at) of their 128-bit hash, where it occurs again."""
-    first = F.min(F.struct("did", "tid", "at")).alias("first")
+    """Rows (w1, w2, did, tid, uid, at) with ``first``, the least (did, tid, uid, at) of their 128-bit hash, where it occurs again."""
+    first = F.min(F.struct(*DOC, "at")).alias("first")
     common = windows.groupBy("w1", "w2").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return windows.join(common, ["w1", "w2"])
 
 
 def window_rows(symbols: Symbols, size: int) -> Callable:
-    """For mapInArrow over (did, tid, text, places of struct lo, hi): w1, w2, did, tid, at of each window there."""
+    """For mapInArrow over (did, tid, uid, text, places of struct lo, hi): w1, w2, did, tid, uid, at of each window there."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, tid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts, places = texts_of(batch.column(2)), batch.column(3)
+            keys, texts, places = keys_of(batch), texts_of(batch.column(3)), batch.column(4)
             cuts = places.offsets.to_numpy()
             lo, hi = (places.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in B.chunks(texts):
@@ -137,26 +146,23 @@ def window_rows(symbols: Symbols, size: int) -> Callable:
                 w1, w2 = (B.Sums(values, base).of(start, start + size) for base in B.BASES)
                 for k in range(0, max(len(at), 1), 100_000):
                     s = slice(k, k + 100_000)
-                    yield pa.record_batch(
-                        {"w1": _signed(w1[s]), "w2": _signed(w2[s]), "did": pa.array(did[i:j][which[s]]), "tid": pa.array(tid[i:j][which[s]]), "at": pa.array(at[s])}
-                    )
+                    yield pa.record_batch({"w1": _signed(w1[s]), "w2": _signed(w2[s])} | key_columns(keys[i:j][which[s]]) | {"at": pa.array(at[s])})
 
     return rows_of
 
 
-WINDOW_SCHEMA = "w1 long, w2 long, did long, tid int, at long"
+WINDOW_SCHEMA = f"w1 long, w2 long, {DOC_SCHEMA}, at long"
 STRETCH = 16
 
 
 def stretch_rows(symbols: Symbols, size: int, gram: int) -> Callable:
-    """For mapInArrow over (did, tid, text, places of struct lo, hi): the windows of each place in stretches of
+    """For mapInArrow over (did, tid, uid, text, places of struct lo, hi): the windows of each place in stretches of
     up to ``STRETCH``, cut at places that count from the anchor, so that equal windows fall into like stretches:
-    s1, s2 (hash of all symbols), did, tid, at (of the first window) and ws, the windows' (w1, w2)."""
+    s1, s2 (hash of all symbols), did, tid, uid, at (of the first window) and ws, the windows' (w1, w2)."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, tid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts, places = texts_of(batch.column(2)), batch.column(3)
+            keys, texts, places = keys_of(batch), texts_of(batch.column(3)), batch.column(4)
             cuts = places.offsets.to_numpy()
             lo, hi = (places.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in B.chunks(texts):
@@ -181,11 +187,9 @@ def stretch_rows(symbols: Symbols, size: int, gram: int) -> Callable:
                 window = np.repeat(at - offsets[:-1], count) + np.arange(offsets[-1])
                 hashes = pa.StructArray.from_arrays([_signed(s.of(window, window + size)) for s in sums], ["w1", "w2"])
                 yield pa.record_batch(
-                    {
-                        "s1": _signed(whole[0]),
-                        "s2": _signed(whole[1]),
-                        "did": pa.array(did[i:j][owner]),
-                        "tid": pa.array(tid[i:j][owner]),
+                    {"s1": _signed(whole[0]), "s2": _signed(whole[1])}
+                    | key_columns(keys[i:j][owner])
+                    | {
                         "at": pa.array(start),
                         "ws": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), hashes),
                     }
@@ -194,28 +198,28 @@ def stretch_rows(symbols: Symbols, size: int, gram: int) -> Callable:
     return rows_of
 
 
-STRETCH_SCHEMA = "s1 long, s2 long, did long, tid int, at long, ws array<struct<w1:bigint,w2:bigint>>"
+STRETCH_SCHEMA = f"s1 long, s2 long, {DOC_SCHEMA}, at long, ws array<struct<w1:bigint,w2:bigint>>"
 
 
 def shared_ranges(stretches: DataFrame, size: int) -> DataFrame:
-    """Ranges (did, tid, start, end) of the windows of ``stretches`` that occur at another place too.
+    """Ranges (did, tid, uid, start, end) of the windows of ``stretches`` that occur at another place too.
 
     Equal stretches are settled as a whole; of each distinct one the windows are counted once."""
-    place = F.xxhash64("did", "tid", "at")
-    kinds = stretches.groupBy("s1", "s2").agg((F.min(place) < F.max(place)).alias("whole"), F.min(F.struct("did", "tid", "at", "ws")).alias("first"))
+    place = F.struct(*DOC, "at")
+    kinds = stretches.groupBy("s1", "s2").agg((F.min(place) < F.max(place)).alias("whole"), F.min(F.struct(*DOC, "at", "ws")).alias("first"))
     kinds = written(kinds)
     whole = stretches.join(kinds.where("whole").select("s1", "s2"), ["s1", "s2"])
-    whole = whole.select("did", "tid", F.col("at").alias("start"), (F.col("at") + F.size("ws") - 1 + size).alias("end"))
-    windows = kinds.select("first.did", "first.tid", "first.at", "whole", F.posexplode("first.ws").alias("k", "w"))
-    windows = windows.select("w.w1", "w.w2", "did", "tid", (F.col("at") + F.col("k")).alias("at"), "whole")
+    whole = whole.select(*DOC, F.col("at").alias("start"), (F.col("at") + F.size("ws") - 1 + size).alias("end"))
+    windows = kinds.select(*[f"first.{k}" for k in DOC], "first.at", "whole", F.posexplode("first.ws").alias("k", "w"))
+    windows = windows.select("w.w1", "w.w2", *DOC, (F.col("at") + F.col("k")).alias("at"), "whole")
     common = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
     parts = windows.where("not whole").join(common, ["w1", "w2"])
-    return whole.unionByName(parts.select("did", "tid", F.col("at").alias("start"), (F.col("at") + size).alias("end")))
+    return whole.unionByName(parts.select(*DOC, F.col("at").alias("start"), (F.col("at") + size).alias("end")))
 
 
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``rows`` (did, tid, text) with ``ranges``, all ranges (struct start, end) that ``ranges``
-    (did, tid, start, end) has for the document; an empty array without any."""
+    """``rows`` (did, tid, uid, text) with ``ranges``, all ranges (struct start, end) that ``ranges``
+    (did, tid, uid, start, end) has for the document; an empty array without any."""
     place = ranges.select(*DOC, F.struct("start", "end").alias("place"))
     listed = with_places(rows, place, "ranges", "left")
     return listed.withColumn("ranges", F.coalesce(F.col("ranges"), F.array().cast("array<struct<start:bigint,end:bigint>>")))

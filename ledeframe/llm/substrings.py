@@ -28,19 +28,20 @@ GRAM = 6
 
 
 def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
-    """Ranges of words (did, tid, start, end), overlapping, of windows whose words also start earlier."""
+    """Ranges of words (did, tid, uid, start, end), overlapping, of windows whose words also start earlier."""
     rows = R.keyed(docs, id_col, text_col)
     gram = min(GRAM, size)
     blocks = R.candidate_blocks(rows, B.word_symbols, size, gram, first_stays=True)
-    local = blocks.where("gram is null").select("did", "tid", F.col("lo").alias("start"), F.col("hi").alias("end"))
+    local = blocks.where("gram is null").select(*R.DOC, F.col("lo").alias("start"), F.col("hi").alias("end"))
     members, classes = R.contents(blocks)
+    first = [f"first.{k}" for k in R.DOC]
     copied = classes.where("copied").select("gram", "content", "first")
-    later = members.join(copied, ["gram", "content"]).where(F.struct("did", "tid", "lo") > F.struct("first.did", "first.tid", "first.lo"))
-    later = later.select("did", "tid", F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
-    open_ = classes.where("kinds > 1").select("first.did", "first.tid", F.struct("first.lo", "first.hi").alias("place"))
+    later = members.join(copied, ["gram", "content"]).where(F.struct(*R.DOC, "lo") > F.struct(*first, "first.lo"))
+    later = later.select(*R.DOC, F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
+    open_ = classes.where("kinds > 1").select(*first, F.struct("first.lo", "first.hi").alias("place"))
     windows = R.with_places(rows.drop("doc_id"), open_, "places").mapInArrow(R.window_rows(B.word_symbols, size), R.WINDOW_SCHEMA)
-    repeated = R.first_windows(windows).where(F.struct("did", "tid", "at") > F.col("first"))
-    return local.unionByName(later).unionByName(repeated.select("did", "tid", F.col("at").alias("start"), (F.col("at") + size).alias("end")))
+    repeated = R.first_windows(windows).where(F.struct(*R.DOC, "at") > F.col("first"))
+    return local.unionByName(later).unionByName(repeated.select(*R.DOC, F.col("at").alias("start"), (F.col("at") + size).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:

@@ -82,33 +82,32 @@ def maximal_repeats(strings: list[bytes], size: int) -> Iterator[tuple[int, np.n
 
 
 def block_strings(size: int):
-    """For mapInArrow over (did, tid, text, places of struct gram, lo, hi): gram, did, tid, lo, string of each."""
+    """For mapInArrow over (did, tid, uid, text, places of struct gram, lo, hi): gram, did, tid, uid, lo, string of each."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, tid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            cuts, places = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            keys = R.keys_of(batch)
+            cuts, places = batch.column(4).offsets.to_numpy(), batch.column(4).values
             gram, lo, hi = (places.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            owner = np.repeat(np.arange(len(did)), np.diff(cuts))
-            texts = R.texts_of(batch.column(2))
+            owner = np.repeat(np.arange(len(keys)), np.diff(cuts))
+            texts = R.texts_of(batch.column(3))
             gram, lo, hi = (x[cuts[0] : cuts[-1]] for x in (gram, lo, hi))
             for i in range(0, len(owner), 20_000):
                 s = slice(i, i + 20_000)
                 strings = [texts[t][a : b + size] for t, a, b in zip(owner[s].tolist(), lo[s].tolist(), hi[s].tolist())]
-                yield pa.record_batch(
-                    {"gram": pa.array(gram[s]), "did": pa.array(did[owner[s]]), "tid": pa.array(tid[owner[s]]), "lo": pa.array(lo[s]), "string": pa.array(strings, pa.binary())}
-                )
+                yield pa.record_batch({"gram": pa.array(gram[s])} | R.key_columns(keys[owner[s]]) | {"lo": pa.array(lo[s]), "string": pa.array(strings, pa.binary())})
 
     return rows_of
 
 
 def occurrences(size: int):
-    """For mapInArrow over (bucket of struct did, tid, lo, string): repeat, did, tid, start, end, one row per
+    """For mapInArrow over (bucket of struct did, tid, uid, lo, string): repeat, did, tid, uid, start, end, one row per
     occurrence of a maximal repeat; ``repeat`` numbers the repeats within their batch."""
 
     def of(rows: list[list[dict]]) -> pa.RecordBatch:
         members = [m for row in rows for m in row]
-        did, tid, lo = (np.array([m[k] for m in members], t) for k, t in (("did", np.int64), ("tid", np.int32), ("lo", np.int64)))
+        keys = np.array([[m[k] for k in R.DOC] for m in members], np.int64).reshape(-1, len(R.DOC))
+        lo = np.array([m["lo"] for m in members], np.int64)
         found = list(maximal_repeats([m["string"] for m in members], size))
         counts = [len(s) for _, s, _ in found]
         string = np.concatenate([s for _, s, _ in found]) if found else np.zeros(0, np.int64)
@@ -116,13 +115,9 @@ def occurrences(size: int):
         length = np.repeat([n for n, _, _ in found], counts).astype(np.int64)
         at = lo[string] + start if len(members) else start
         return pa.record_batch(
-            {
-                "repeat": pa.array(np.repeat(np.arange(len(found)), counts).astype(np.int64)),
-                "did": pa.array(did[string]),
-                "tid": pa.array(tid[string]),
-                "start": pa.array(at),
-                "end": pa.array(at + length),
-            }
+            {"repeat": pa.array(np.repeat(np.arange(len(found)), counts).astype(np.int64))}
+            | R.key_columns(keys[string])
+            | {"start": pa.array(at), "end": pa.array(at + length)}
         )
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,27 +136,27 @@ def occurrences(size: int):
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200) -> DataFrame:
-    """Ranges of bytes (did, tid, start, end), overlapping, of strings of ``size`` bytes or more that occur twice."""
+    """Ranges of bytes (did, tid, uid, start, end), overlapping, of strings of ``size`` bytes or more that occur twice."""
     ship_code()
     rows = R.keyed(docs, id_col, text_col)
     gram = max(1, size // 2)
     blocks = R.candidate_blocks(rows, B.byte_symbols, size, gram, first_stays=False)
-    range_ = lambda end: ["did", "tid", F.col("lo").alias("start"), end.alias("end")]
+    range_ = lambda end: [*R.DOC, F.col("lo").alias("start"), end.alias("end")]
     local = blocks.where("gram is null").select(*range_(F.col("hi")))
     members, classes = R.contents(blocks)
     copied = members.join(classes.where("copied").select("gram", "content"), ["gram", "content"]).select(*range_(F.col("hi") + size))
     rows = rows.drop("doc_id")
     own = classes.where("kinds > 1").select("gram", "kinds", "first.*")
 
-    few = own.where(F.col("kinds") <= BUCKET).select("did", "tid", F.struct("gram", "lo", "hi").alias("place"))
-    strings = R.with_places(rows, few, "places").mapInArrow(block_strings(size), "gram long, did long, tid int, lo long, string binary")
-    buckets = strings.groupBy("gram").agg(F.collect_set(F.struct("did", "tid", "lo", "string")).alias("bucket"))
-    repeats = buckets.select("bucket").mapInArrow(occurrences(size), "repeat long, did long, tid int, start long, end long")
+    few = own.where(F.col("kinds") <= BUCKET).select(*R.DOC, F.struct("gram", "lo", "hi").alias("place"))
+    strings = R.with_places(rows, few, "places").mapInArrow(block_strings(size), f"gram long, {R.DOC_SCHEMA}, lo long, string binary")
+    buckets = strings.groupBy("gram").agg(F.collect_set(F.struct(*R.DOC, "lo", "string")).alias("bucket"))
+    repeats = buckets.select("bucket").mapInArrow(occurrences(size), f"repeat long, {R.DOC_SCHEMA}, start long, end long")
 
-    many = own.where(F.col("kinds") > BUCKET).select("did", "tid", F.struct("lo", "hi").alias("place"))
+    many = own.where(F.col("kinds") > BUCKET).select(*R.DOC, F.struct("lo", "hi").alias("place"))
     stretches = R.with_places(rows, many, "places").mapInArrow(R.stretch_rows(B.byte_symbols, size, gram), R.STRETCH_SCHEMA)
     hashed = R.shared_ranges(stretches, size)
-    return local.unionByName(copied).unionByName(repeats.select("did", "tid", "start", "end")).unionByName(hashed)
+    return local.unionByName(copied).unionByName(repeats.select(*R.DOC, "start", "end")).unionByName(hashed)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200) -> DataFrame:

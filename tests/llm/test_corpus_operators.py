@@ -350,6 +350,26 @@ def test_suffix_dedup(request, monkeypatch, which, size, bucket):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == kept_bytes(rows_of(df), size)
 
 
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Texts of equal 32-bit hash without an id or of one id, each with a passage of its own that another row repeats."""
+    rnd = random.Random(13)
+    one, two = (" ".join(str(rnd.randrange(10**6)) for _ in range(25)) for _ in range(2))
+    made = spark.range(300_000).select(F.concat(F.when(F.col("id") % 2 == 0, one).otherwise(two), F.lit(" "), F.hex("id")).alias("text"))
+    made = made.withColumn("h", F.hash("text"))
+    pairs = made.groupBy("h").agg(F.sort_array(F.collect_list("text")).alias("t")).where("size(t) = 2 and left(t[0], 20) <> left(t[1], 20)")
+    a, b = pairs.orderBy("h").first()["t"]
+    rows = [(i, t) for i in (None, 3) for t in (a, b)] + [(9, one + " end"), (10, two + " and more words")]
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+def test_repeats_tell_texts_of_equal_hash_apart(alike):
+    got = substrings.remove_repeats(alike, size=20).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == kept_words(rows_of(alike), 20, hashes(alike))
+    got = suffixes.remove_repeated_bytes(alike, size=60).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == kept_bytes(rows_of(alike), 60)
+
+
 def test_no_documents(none):
     assert substrings.remove_repeats(none).count() == 0
     assert suffixes.remove_repeated_bytes(none).count() == 0
