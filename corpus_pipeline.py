@@ -14,7 +14,7 @@ from ledeframe.llm.bpe import decode, encode, load
 from ledeframe.llm.common import documents, table, unused
 from ledeframe.llm.mixing import take_mix
 from ledeframe.llm.secrets import mask_secrets
-from ledeframe.llm.simhash import drop_near_duplicates
+from ledeframe.llm.simhash import one_of_each_group
 from ledeframe.llm.toxicity import fit, labelled_sample, toxicity
 from ledeframe.session import scratch_path
 
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose 3-word-shingle SimHashes hang together at 2 bits or less."""
-    return drop_near_duplicates(docs, "doc_id", "text", shingle=3, max_bits=2)
+    return one_of_each_group(docs, "doc_id", "text", shingle=3, max_bits=2)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

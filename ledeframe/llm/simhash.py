@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ledeframe.llm.common import connected_components, cut_lineage, hex64, ship_code
+from ledeframe.llm.common import connected_components, cut_lineage, hex64, ship_code, unused
 
 BITS = 64
 
@@ -128,3 +128,29 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys = simhash_groups(docs, id_col, text_col, shingle, max_bits).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
     known = docs.where(F.col(id_col).isNotNull()).join(keys, id_col, "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates left, all columns unchanged, whether ids
+    are null, repeated or shared by different texts.
+
+    The row is the one of the least id (nulls last), then of the least fingerprint and least
+    SHA-256 of its text; of rows that repeat all of these one stays.
+    """
+    key = F.struct(
+        F.col(id_col).cast("long").isNull().alias("none"),
+        F.col(id_col).cast("long").alias("id"),
+        F.col("fp").alias("fp"),
+        F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("text"),
+    )
+    base = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    rows = cut_lineage(simhash(base, text_col, shingle, "fp").select("fp", key.alias("key")))
+    first = rows.groupBy("fp").agg(F.min("key").alias("key"))
+    comp = connected_components(near_links(first, "fp", max_bits), "a", "b")
+    rooted = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = rooted.groupBy("root").agg(F.min("key").alias("key")).select("key.id", "key.text")
+    known = unused(docs, "digest")
+    text = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    marked = docs.withColumn(known, text)
+    same = marked[id_col].cast("long").eqNullSafe(chosen["id"]) & (marked[known] == chosen["text"])
+    return marked.join(chosen, same, "left_semi").dropDuplicates([id_col, known]).drop(known)

@@ -169,6 +169,16 @@ def test_simhash_links_random_near_prints(spark):
     assert {n: got.get(n, n) for n in nodes} == want
 
 
+def test_pipeline_leaves_one_row_of_each_group(spark):
+    rnd = random.Random(17)
+    a, b, c = (" ".join(str(rnd.randrange(10**6)) for _ in range(30)) for _ in range(3))
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, c), (None, c), (None, b + " "), (None, "alone"), (None, "alone"), (5, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(4)
+    got = corpus_pipeline.drop_near_copies(spark, df, SF)
+    assert got.columns == df.columns
+    assert Counter((i, t or "") for i, t in rows_of(got)) == Counter([(0, a), (1, b), (2, c), (None, "alone"), (5, "")])
+
+
 # ---- 3 embeddings -------------------------------------------------------------------------------
 
 
