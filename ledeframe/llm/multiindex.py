@@ -8,8 +8,9 @@ when the codebooks are fitted: as many as find the target share of partners plac
 exactly the least cosine in random directions. Whatever is found is verified in double
 precision.
 
-Equal vectors of a label are one before the search. A shard holds the cells of one label
-and one first code: residents come once, a visitor once with its list of second codes.
+Vectors of each length have codebooks of their own and link only among themselves. Equal
+vectors of a label are one before the search. A shard holds the cells of one label, one
+length and one first code: residents come once, a visitor once with its list of second codes.
 Shards are compared in square tiles, so one that holds a third of the vectors is spread
 over many tasks; a tile returns, for each of its vectors, how many partners it found and
 one link to the least vector it hangs together with there, never the pairs.
@@ -133,10 +134,10 @@ def near_vectors(
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    n_links counts the other rows linked directly: the same label and a cosine of at
-    least ``least``. component_id is the least id reachable by links, itself included;
+    n_links counts the other rows linked directly: the same label and length and a cosine of
+    at least ``least``. component_id is the least id reachable by links, itself included;
     kept is vec_id = component_id. Rows with a null label, or whose vector is null, empty,
-    zero, of another length than most or holds null or non-finite components link with
+    zero or holds null or non-finite components link with
     nothing. Rows that repeat an id are rows like others; a null id is passed over for
     component_id unless there is no other. No rows give no rows.
     """
@@ -146,37 +147,41 @@ def near_vectors(
     base = base.withColumn("vector", F.when(finite & F.exists("vector", lambda x: x != 0), F.col("vector")))
     base = cut_lineage(base.withColumn("row", F.monotonically_increasing_id()))
     good = base.where(F.col("label").isNotNull() & F.col("vector").isNotNull())
-    length = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    copies = good.where(F.size("vector") == (length["d"] if length else 0)).groupBy("label", "vector")
-    reps = cut_lineage(copies.agg(F.min("vec_id").alias("first"), F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")))
-    total = reps.count()
-    if not total:
+    copies = good.groupBy("label", "vector")
+    reps = cut_lineage(copies.agg(F.min("vec_id").alias("first"), F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("d", F.size("vector")))
+    totals = {r["d"]: r["count"] for r in reps.groupBy("d").count().collect()}
+    if not totals:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = reps.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
-    index = fit_index(np.array([r["vector"] for r in sample]), total, least, recall)
-    shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most 2 x MOST_CODES half vectors
-    codes = len(index[0])
+    index = {}
+    for d, total in totals.items():
+        if total > 1:  # a vector alone has copies only
+            sample = reps.where(F.col("d") == d).select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+            index[d] = fit_index(np.array([r["vector"] for r in sample]), total, least, recall)
+    shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most 2 x MOST_CODES half vectors for each length
     label_type = dict(reps.dtypes)["label"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, most = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            half = one.shape[1]
-            d1, d2 = _nearest(x[:, :half], one), _nearest(x[:, half:], two)
-            cells = [[i * codes + j for i, j in visits(a, b, most)] for a, b in zip(d1, d2)]
-            yield pa.record_batch([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["rep", "label", "vector", "n", "cells"])
+        for whole in batches:
+            for d in pc.unique(whole.column(4)).to_pylist():
+                batch = whole.filter(pc.equal(whole.column(4), d))
+                one, two, most = shared.value.get(d, (None,) * 3)
+                if one is None:
+                    continue
+                x = unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d))
+                half, codes = one.shape[1], len(one)
+                d1, d2 = _nearest(x[:, :half], one), _nearest(x[:, half:], two)
+                cells = [[i * codes + j for i, j in visits(a, b, most)] for a, b in zip(d1, d2)]
+                added = [pa.array([codes] * batch.num_rows, pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
+                yield pa.record_batch([*batch.columns, *added], names=["rep", "label", "vector", "n", "d", "codes", "cells"])
 
     kind = dict(reps.dtypes)["vector"]
-    placed = reps.select("rep", "label", "vector", "n").mapInArrow(place, f"rep long, label {label_type}, vector {kind}, n long, cells array<int>")
+    placed = reps.select("rep", "label", "vector", "n", "d").mapInArrow(place, f"rep long, label {label_type}, vector {kind}, n long, d int, codes int, cells array<int>")
     placed = cut_lineage(placed.withColumn("home", F.get("cells", F.lit(0))))
-    code = lambda c: F.floor(c / codes).cast("int")
+    code = lambda c: F.floor(c / F.col("codes")).cast("int")
     residents = placed.withColumn("first", code(F.col("home")))
     firsts = F.array_distinct(F.transform("cells", code))
     visitors = placed.withColumn("first", F.explode(firsts)).withColumn("cells", F.filter("cells", lambda c: code(c) == F.col("first")))
-    shard = ["label", "first"]
+    shard = ["label", "d", "first"]
     blocks = lambda name: F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name)
     sizes = residents.groupBy(*shard).agg(blocks("rb")).join(visitors.groupBy(*shard).agg(blocks("vb")), shard)
     side = lambda df, own, other, kind_: (
@@ -188,6 +193,8 @@ def near_vectors(
     tiles = side(residents, "rb", "vb", 0).unionByName(side(visitors, "vb", "rb", 1))
 
     def compare(tile: pa.Table) -> pa.Table:
+        codes = tile["codes"][0].as_py()
+
         def part(kind_: int) -> dict:
             t = tile.filter(pc.equal(tile["kind"], kind_)).combine_chunks()
             vector, cells = (t[c].combine_chunks() if t.num_rows else None for c in ("vector", "cells"))
@@ -207,7 +214,7 @@ def near_vectors(
             out = _tile(residents_, visitors_, codes, least)
         return pa.table(dict(zip(("rep", "links", "root"), map(pa.array, out))))
 
-    found = tiles.groupBy("label", "first", "rb", "vb").applyInArrow(compare, "rep long, links long, root long")
+    found = tiles.groupBy(*shard, "rb", "vb").applyInArrow(compare, "rep long, links long, root long")
     found = cut_lineage(found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")

@@ -209,6 +209,22 @@ def test_multiindex_finds_links(spark):
     assert multiindex.near_vectors(df.limit(0)).count() == 0
 
 
+def test_multiindex_links_vectors_of_each_length(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for d, n in ((16, 120), (9, 60), (1, 4)):
+        base = rng.standard_normal((8, d))
+        rows += [(len(rows) + k, [float(x) for x in base[k % 8] + 0.05 * rng.standard_normal(d)], k % 2) for k in range(n)]
+    rows += [(len(rows) + k, rows[130][1], rows[130][2]) for k in range(3)] + [(500 + k, [1.0, 2.0, 3.0], 0) for k in range(2)]
+    linked = lambda a, b: len(rows[a][1]) == len(rows[b][1]) and rows[a][2] == rows[b][2] and float(multiindex.unit(np.array([rows[a][1]]))[0] @ multiindex.unit(np.array([rows[b][1]]))[0]) >= 0.93
+    n = [sum(linked(a, b) for b in range(len(rows)) if a != b) for a in range(len(rows))]
+    roots = components(list(range(len(rows))), linked)
+    want = {rows[k][0]: (n[k], rows[roots[k]][0]) for k in range(len(rows))}
+    assert n[130] >= 3 and n[-1] == 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in multiindex.near_vectors(df, recall=1.0).collect()} == want
+
+
 def test_visits_come_in_order_of_distance():
     rng = np.random.default_rng(0)
     a, b = rng.random(12), rng.random(9)
