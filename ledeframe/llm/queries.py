@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledeframe.llm.bpe import decode, encode, load
 from ledeframe.llm.chat import END, START, format_chats
+from ledeframe.llm.collocations import collocations
 from ledeframe.llm.common import documents, table
 from ledeframe.llm.mixing import mix
 from ledeframe.llm.multiindex import near_vectors
@@ -194,3 +195,29 @@ FROM n WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id"""
 def op3_embedding_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of near-duplicate embeddings of one label, cosine 0.93 and more."""
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of 2 to 5 words of every language, of those that occur 100 times and more."""
+    return collocations(documents(spark, sf_dir), least=100, longest=5, top=2000)
+
+
+ORACLE["op13_collocations"] = """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+pos AS (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w),
+f AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k, count(*)::BIGINT AS f
+      FROM pos, (SELECT unnest(generate_series(1, 5)) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a FROM f WHERE k > 1 AND f >= 100),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = c.lang AND q.k > c.k AND 100 * q.a >= 100 * c.a
+         AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+cut AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y
+        FROM (SELECT lang, phrase, a, string_split(phrase, ' ') AS ws, unnest(generate_series(1, k - 1)) AS j FROM kept)),
+s AS (SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cut JOIN n USING (lang) JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM best
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000"""
