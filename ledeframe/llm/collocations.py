@@ -23,12 +23,14 @@ reach the least count share a hash.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledeframe.llm.common import ship_code, written
@@ -136,16 +138,16 @@ def _grams(h: np.ndarray, real: np.ndarray, reached: np.ndarray, step: int, shar
         at, key, since = at[known], key[known], since[known]
 
 
-def _scan(blocks: DataFrame, reached: np.ndarray, step: int, shards: int, longest: int) -> DataFrame:
+def _scan(blocks: DataFrame, table: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
     """(length, id, head, last, first, n): occurrences, per block, of the phrases whose cycle includes ``step``."""
-    table = blocks.sparkSession.sparkContext.broadcast(reached)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = np.frombuffer(zlib.decompress(table.value), np.uint8)
         for batch in batches:
             for hashes, tokens in zip(batch["hashes"], batch["tokens"]):
                 tokens = np.frombuffer(tokens.as_py(), np.int32)
                 known = np.append(hashes.values.to_numpy(zero_copy_only=False).view(np.uint64), np.uint64(0))
-                for length, key, left, last, first in _grams(known[tokens], tokens >= 0, table.value, step, shards, longest):
+                for length, key, left, last, first in _grams(known[tokens], tokens >= 0, reached, step, shards, longest):
                     _, where, n = np.unique(key, return_index=True, return_counts=True)
                     for i in range(0, len(where), 1 << 16):
                         part = where[i : i + (1 << 16)]
@@ -202,10 +204,12 @@ def count_phrases(
             words = written((words.unionByName(fresh) if words else fresh).groupBy("lang", "word", "id").agg(F.sum("n").alias("n")))
         often = [words.where(F.col("n") >= least)] if step < shards else []
         if step:
-            fresh = _scan(blocks, reached, step, shards, longest)
+            table = spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
+            fresh = _scan(blocks, table, step, shards, longest)
             live = counted.where(F.col("first") + shards > step) if counted else None
             both = live.unionByName(fresh) if live else fresh
             counted = written(both.groupBy("length", "id", "head", "last", "first").agg(F.sum("n").alias("n")))
+            table.destroy()
             often.append(counted.where(F.col("n") >= least))
             found.append(counted.where((F.col("n") >= least) & (F.col("first") + shards - 1 == step)))
         if _mark(reached, step, *often):

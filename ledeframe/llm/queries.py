@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledeframe.llm import triebpe
 from ledeframe.llm.bpe import decode, encode, load
 from ledeframe.llm.chat import END, START, format_chats
 from ledeframe.llm.collocations import collocations
@@ -15,6 +16,7 @@ from ledeframe.llm.common import documents, table
 from ledeframe.llm.mixing import mix
 from ledeframe.llm.multiindex import near_vectors
 from ledeframe.llm.quality import quality_verdicts
+from ledeframe.llm.repair import damage, digests, repair_conversations
 from ledeframe.llm.secrets import ACCESS, ALLOW, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, KINDS, THRESHOLDS, WINDOW, find_secrets, render
 from ledeframe.llm.simhash import simhash_groups
 from ledeframe.llm.substrings import remove_repeats
@@ -221,3 +223,73 @@ s AS (SELECT cut.lang, cut.phrase, a, j, l.f AS l, r.f AS r, n, ((1000::HUGEINT
 best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM best
 WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000"""
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table, damaged by a fixed rule: its faults, the cheapest repair and a digest of what it gives."""
+    turns = table(spark, sf_dir, "conversations")
+    report, rows = repair_conversations(damage(turns))
+    line = rows.withColumn("line", F.concat("role", F.lit(":"), "text"))
+    found = report.join(digests(line, "conv_id", ["stretch", "place"], "line").withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    found = found.withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    return every.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
+ORACLE["op11_conversation_repair"] = """
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY c) AS t
+        FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS c)),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)),
+             lambda h, b: xor(h >> 8, t[xor(h & 255, b) + 1])), 4294967295) % 20 AS kind FROM raw, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0)),
+n AS (SELECT *, row_number() OVER w AS j, lead(role) OVER w AS next,
+             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare
+      FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text))),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, left(role, 1) AS initial FROM n),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                 count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (next IS NOT NULL AND initial || left(next, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS m
+          FROM f GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES ('', '', 0, '', []), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []),
+        ('', 'u', 5, 'I', ['user:']), ('', 'a', 10, 'II', ['user:', 'assistant:']), ('s', 'u', 5, 'I', ['user:']), ('s', 'a', 10, 'II', ['user:', 'assistant:']),
+        ('u', 'a', 5, 'I', ['assistant:']), ('a', 'u', 5, 'I', ['user:']), ('u', 'u', 10, 'II', ['assistant:', 'user:']), ('a', 'a', 10, 'II', ['user:', 'assistant:'])) v(s0, s1, ic, ie, ir)),
+step AS (SELECT * FROM (VALUES ('D', '', ''), ('D', 's', 's'), ('D', 'u', 'u'), ('D', 'a', 'a'), ('K', '', 's'), ('K', '', 'u'), ('K', 's', 'u'), ('K', 'u', 'a'), ('K', 'a', 'u'),
+        ('R', '', 'u'), ('R', 's', 'u'), ('R', 'u', 'a'), ('R', 'a', 'u')) v(e, s1, s2)),
+walk AS (SELECT conv_id, 0::BIGINT AS j, '' AS s, 0 AS cost, '' AS audit, []::VARCHAR[] AS rows FROM facts
+  UNION ALL
+  SELECT conv_id, j, s, b.cost, b.audit, b.rows FROM (
+    SELECT w.conv_id, w.j + 1 AS j, step.s2 AS s, min(struct_pack(
+        cost := w.cost + ic + CASE e WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 't' THEN 5 ELSE 0 END, audit := w.audit || ie || e,
+        rows := list_concat(list_concat(w.rows, ir), CASE e WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE step.s2 WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text] END))) AS b
+    FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.j = w.j + 1 JOIN ins ON ins.s0 = w.s JOIN step ON step.s1 = ins.s1
+    WHERE e = 'D' OR (fault NOT IN ('b', 'd') AND (e = 'R' OR f.initial = step.s2))
+    GROUP BY w.conv_id, w.j, step.s2)),
+done AS (SELECT w.conv_id, min(struct_pack(cost := w.cost + ic, audit := w.audit || ie, rows := list_concat(w.rows, ir))) AS b
+         FROM walk w JOIN facts ON facts.conv_id IS NOT DISTINCT FROM w.conv_id AND w.j = facts.m JOIN ins ON ins.s0 = w.s WHERE ins.s1 = 'a' OR (w.s = '' AND ins.s1 = '') GROUP BY w.conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.rows, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
+@query
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE of every document by a trie of its words: number of ids, digest of the ids, digest of the text they decode to."""
+    vocabulary = triebpe.load(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    ids = triebpe.encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, spaced=True).select("doc_id", "ids")
+    return triebpe.decode(ids, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
