@@ -18,14 +18,15 @@ def error_sink_csv(df: DataFrame, path: str, text_col: str = "text") -> str:
 
 
 def metrics_sink_csv(df: DataFrame, path: str, cols=("epoch", "train_loss", "val_loss", "f1_score"), partition_by: str | None = "run_id") -> str:
-    """K2: epoch metrics as CSV with a header, one folder per run.  A column that is absent is an error."""
+    """K2: epoch metrics as CSV with a header, one folder per run.  Writing a run again replaces that run and leaves
+    the others.  A column that is absent is an error."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"metrics without the columns {missing}")
     keep = ([partition_by] if partition_by else []) + list(cols)
     w = df.select(*keep).write.mode("overwrite").options(header=True)
     if partition_by:
-        w = w.partitionBy(partition_by)
+        w = w.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     w.csv(path)
     return path
 

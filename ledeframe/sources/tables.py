@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledeframe.sources.csv_records import LINEWISE, csv_records
+
 # The field texts pandas reads as missing by default.
 PANDAS_NA_VALUES = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -37,21 +39,21 @@ def csv_scan(
     schema: T.StructType | str = HEADLINE_SCHEMA,
     encoding: str = "UTF-8",
     na_values: bool = True,
-    multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with a header, RFC-4180 quoting (doubled quotes, embedded newlines).
+    """CSV with a header, RFC-4180 quoting (doubled quotes, embedded line breaks, kept as they are).
 
-    An explicit schema (no inference pass).  With ``na_values`` the texts pandas
-    treats as missing become null, since Spark keeps them as strings.  A file
-    read with ``multi_line`` cannot be split across tasks; for large files known
-    to have no newline inside a field pass ``multi_line=False`` so each file is
-    split and read in parallel.
+    Files are read in splits, so a large one is read by many tasks (``csv_records``); an
+    encoding whose lines cannot be found byte by byte (UTF-16 and such) takes one task per file. An explicit
+    schema, by position (no inference pass).  With ``na_values`` the texts pandas treats as
+    missing become null, since Spark keeps them as strings.
     """
-    df = (
-        spark.read.schema(schema)
-        .options(header=True, multiLine=multi_line, quote='"', escape='"', encoding=encoding, mode="FAILFAST")
-        .csv(path)
-    )
+    options = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+    if not encoding.lower().startswith(LINEWISE):
+        df = spark.read.schema(schema).options(header=True, multiLine=True, encoding=encoding, **options).csv(path)
+    else:
+        ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        fields = csv_records(spark, path, encoding).where("not first").select(F.from_csv("record", ddl, options).alias("r"))
+        df = fields.select("r.*")
     return _na_to_null(df) if na_values else df
 
 
@@ -61,11 +63,15 @@ def csv_scan_encoding(spark: SparkSession, path: str, schema: T.StructType | str
 
 
 def scan_first_file(spark: SparkSession, paths, fmt: str = "parquet", **options) -> DataFrame:
-    """S3: read only the first of the supplied files (order as given)."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if not paths:
-        raise ValueError("no input files")
-    return spark.read.format(fmt).options(**options).load(paths[0])
+    """S3: read only the first of the supplied files: paths in the order given, the files of a folder or pattern by name.
+
+    The files are listed, not read, to find it. No file at all is an error.
+    """
+    for path in [paths] if isinstance(paths, str) else paths:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
+        if listed:
+            return spark.read.format(fmt).options(**options).load(min(listed))
+    raise ValueError("no input files")
 
 
 def word_vector_scan(spark: SparkSession, path: str) -> DataFrame:

@@ -377,10 +377,10 @@ def test_foreign_model_scoring_matches_native(spark):
     assert all(abs(foreign[k] - native[k]) < 1e-12 for k in native)
 
 
-def test_csv_scan_single_line_mode(spark, tmp_dir):
+def test_csv_scan_of_plain_lines(spark, tmp_dir):
     p = os.path.join(tmp_dir, "plain.csv")
     _write(p, 'doc_id,title,category\n1,"a, b",political\n2,NA,non-political\n')
-    rows = {r.doc_id: r for r in S.csv_scan(spark, p, multi_line=False).collect()}
+    rows = {r.doc_id: r for r in S.csv_scan(spark, p).collect()}
     assert rows[1].title == "a, b" and rows[2].title is None
 
 
