@@ -11,10 +11,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledeframe.session import cut_lineage
+from ledeframe.operators.blocks import Heads, HiddenLayer, block_pass, clipped, head_row
+from ledeframe.session import cut_lineage, scratch_path
 
 
 @dataclass
@@ -112,6 +114,69 @@ def epoch_pass(features: DataFrame, w: list[float], b: float, dim: int, x_col: s
     return row
 
 
+class Run:
+    """A T1 run between two scans: weights, rate schedule, best and patience. ``state`` and ``restore`` carry it
+    over a restart."""
+
+    def __init__(self, dim: int, cfg: TrainConfig):
+        self.cfg, self.w, self.b, self.epoch = cfg, [0.0] * dim, 0.0, 0
+        self.factors = lr_factors(cfg.max_epochs, cfg.warmup_share)
+        self.best, self.since, self.res = math.inf, 0, TrainResult()
+
+    @property
+    def done(self) -> bool:
+        return self.res.stop_epoch is not None or self.epoch >= self.cfg.max_epochs
+
+    def step(self, row: dict) -> None:
+        """New weights from the gradient at the current ones: L2 (A15), global clip (F16), rate."""
+        cfg, w = self.cfg, self.w
+        g = [(row[f"g{j}"] or 0.0) + cfg.l2 * w[j] for j in range(len(w))]
+        gb = row["gb"] or 0.0
+        if cfg.clip:
+            norm = math.sqrt(sum(v * v for v in g) + gb * gb)
+            coef = min(1.0, cfg.clip / (norm + 1e-6))
+            g, gb = [v * coef for v in g], gb * coef
+        self.rate = cfg.lr * self.factors[self.epoch]
+        self.w = [wj - self.rate * gj for wj, gj in zip(w, g)]
+        self.b -= self.rate * gb
+        self.epoch += 1
+
+    def observe(self, train_loss: float | None, row: dict) -> dict:
+        """The epoch's metrics at the new weights. A missing loss is no evaluation: it neither improves nor counts."""
+        res, loss = self.res, row["val_loss"]
+        res.weights.append((list(self.w), self.b))
+        metrics = {
+            "run_id": self.cfg.run_id,
+            "epoch": self.epoch,
+            "train_loss": train_loss,
+            "val_loss": loss,
+            "val_f1": row["val_f1"],
+            "val_accuracy": row["val_accuracy"],
+            "lr": self.rate,
+            "l2_penalty": l2_penalty(self.w, self.cfg.l2),
+        }
+        res.log.append(metrics)
+        if loss is not None and loss < self.best:
+            self.best, self.since, res.best_epoch = loss, 0, self.epoch
+        elif loss is not None:
+            self.since += 1
+            if self.since >= self.cfg.patience:
+                res.stop_epoch = self.epoch
+        return metrics
+
+    def state(self) -> dict:
+        return {
+            "epoch": self.epoch, "best": self.best, "since": self.since, "best_epoch": self.res.best_epoch, "stop_epoch": self.res.stop_epoch,
+            "weights": [{"w": w, "b": b} for w, b in self.res.weights], "log": self.res.log,
+        }
+
+    def restore(self, state: dict) -> None:
+        self.epoch, self.best, self.since = state["epoch"], state["best"], state["since"]
+        weights = [(list(p["w"]), p["b"]) for p in state["weights"]]
+        self.res = TrainResult([dict(r) for r in state["log"]], weights, state["stop_epoch"], state["best_epoch"])
+        self.w, self.b = list(weights[-1][0]), weights[-1][1]
+
+
 def train_epochs(
     features: DataFrame,
     dim: int,
@@ -120,6 +185,7 @@ def train_epochs(
     y_col: str = "y",
     split_col: str = "split",
     on_epoch_end: Callable[[int, list, float, dict], None] | None = None,
+    checkpoints=None,
 ) -> TrainResult:
     """Logistic head trained by full-batch gradient steps, one scan per epoch.
 
@@ -127,53 +193,183 @@ def train_epochs(
     scan), add L2 (A15), clip globally (F16), step with the warm-up/decay rate
     (W6); the next scan gives validation loss/F1 at the new weights *and* the
     gradient for epoch t+1.  Stop when validation loss has not strictly
-    improved for ``patience`` epochs (W2); remember the best epoch (W3).
-    ``on_epoch_end(epoch, w, b, metrics)`` is the U5 hook.  ``features`` is read once per
+    improved for ``patience`` evaluations (W2; without validation rows there are none);
+    remember the best epoch (W3). ``on_epoch_end(epoch, w, b, metrics)`` is the U5 hook.
+    With ``checkpoints`` (``sinks.Checkpoints``) the run goes on from the newest whole
+    checkpoint and commits one after each epoch.  ``features`` is read once per
     epoch: hand in a materialised table (``materialise``).
     """
     feats = features.select(split_col, x_col, y_col)
-    w, b = [0.0] * dim, 0.0
-    factors = lr_factors(cfg.max_epochs, cfg.warmup_share)
-    res = TrainResult()
-    best, since = math.inf, 0
-    row = epoch_pass(feats, w, b, dim, x_col, y_col, split_col)
-    for epoch in range(1, cfg.max_epochs + 1):
+    run = Run(dim, cfg)
+    found = checkpoints.newest() if checkpoints else None
+    if found:
+        run.restore(found)
+    if run.done:
+        return run.res
+    row = epoch_pass(feats, run.w, run.b, dim, x_col, y_col, split_col)
+    while not run.done:
         train_loss = row["train_loss"]
-        g = [(row[f"g{j}"] or 0.0) + cfg.l2 * w[j] for j in range(dim)]
-        gb = row["gb"] or 0.0
-        if cfg.clip:
-            norm = math.sqrt(sum(v * v for v in g) + gb * gb)
-            coef = min(1.0, cfg.clip / (norm + 1e-6))
-            g, gb = [v * coef for v in g], gb * coef
-        rate = cfg.lr * factors[epoch - 1]
-        w = [wj - rate * gj for wj, gj in zip(w, g)]
-        b = b - rate * gb
-        row = epoch_pass(feats, w, b, dim, x_col, y_col, split_col)
-        res.weights.append((list(w), b))
-        metrics = {
-            "run_id": cfg.run_id,
-            "epoch": epoch,
-            "train_loss": train_loss,
-            "val_loss": row["val_loss"],
-            "val_f1": row["val_f1"],
-            "val_accuracy": row["val_accuracy"],
-            "lr": rate,
-            "l2_penalty": l2_penalty(w, cfg.l2),
-        }
-        res.log.append(metrics)
+        run.step(row)
+        row = epoch_pass(feats, run.w, run.b, dim, x_col, y_col, split_col)
+        metrics = run.observe(train_loss, row)
+        if checkpoints:
+            checkpoints.commit(run.state())
         if on_epoch_end is not None:
-            on_epoch_end(epoch, w, b, metrics)
-        vl = row["val_loss"]
-        if vl is not None and vl < best:
-            best, since, res.best_epoch = vl, 0, epoch
-        else:
-            since += 1
-            if since >= cfg.patience:
-                res.stop_epoch = epoch
-                break
+            on_epoch_end(run.epoch, run.w, run.b, metrics)
+    return run.res
+
+
+def train_sweep(features: DataFrame, dim: int, configs: list[TrainConfig], x_col: str = "x", y_col: str = "y", split_col: str = "split") -> list[TrainResult]:
+    """T1 runs of several configurations side by side, one scan per epoch for all of them.
+
+    Every pass multiplies the features with a block of weight columns, one per run still
+    going; a run that has stopped leaves the block. Each run's log is that of its own T1.
+    """
+    runs = [Run(dim, cfg) for cfg in configs]
+    rows: dict[int, dict] = {}
+
+    def scan(going: list[int]) -> None:
+        block = Heads(dim, len(going))
+        params = np.concatenate([np.array([runs[i].w for i in going]).T.ravel(), [runs[i].b for i in going]])
+        sums = block_pass(features, block, params, x_col, y_col, split_col)
+        rows.update({i: head_row(sums, block, j) for j, i in enumerate(going)})
+
+    going = [i for i, r in enumerate(runs) if not r.done]
+    while going:
+        if not rows:
+            scan(going)
+        losses = {i: rows[i]["train_loss"] for i in going}
+        for i in going:
+            runs[i].step(rows[i])
+        scan(going)
+        for i in going:
+            runs[i].observe(losses[i], rows[i])
+        going = [i for i in going if not runs[i].done]
+    return [r.res for r in runs]
+
+
+@dataclass
+class BatchConfig(TrainConfig):
+    batch_size: int = 32
+    accumulate: int = 1  # batches per step
+    seed: int = 42
+
+
+def step_tables(train: DataFrame, id_col: str, cfg: BatchConfig, epoch: int) -> tuple[DataFrame, int]:
+    """W7 over the epoch's shuffle, written by step: (table with batch_id, step and weight, number of batches).
+
+    Files follow the shuffled positions, so a step reads its own files and nothing else. A
+    row weighs 1 / rows of its batch, so weighted sums are sums of batch means.
+    """
+    from ledeframe.operators.order import shuffled_batches
+
+    spark = train.sparkSession
+    batched = shuffled_batches(train, id_col, cfg.batch_size, epoch, cfg.seed)
+    batched = batched.withColumn("step", F.floor(F.col("batch_id") / F.lit(cfg.accumulate)).cast("long"))
+    path = scratch_path(spark, f"steps-{epoch}")
+    batched.repartitionByRange("position").write.partitionBy("step").parquet(path)
+    table = spark.read.schema(batched.schema).parquet(path)  # no file at all if there are no rows
+    n = table.count()  # from the files' footers
+    last = (n - 1) // cfg.batch_size
+    size = F.when(F.col("batch_id") == last, F.lit(n - last * cfg.batch_size)).otherwise(F.lit(cfg.batch_size))
+    return table.withColumn("weight", F.lit(1.0) / size), last + 1 if n else 0
+
+
+def train_minibatches(features: DataFrame, id_col: str, dim: int, cfg: BatchConfig, x_col: str = "x", y_col: str = "y", split_col: str = "split") -> TrainResult:
+    """T1 over mini-batches of a shuffled loader, a new order every epoch.
+
+    A step takes ``accumulate`` batches: the mean of their mean gradients, L2 (A15), global clip
+    (F16), the rate of its step (W6 over all steps of all epochs). The epoch's train loss is the mean of
+    batch means, each taken at the weights of its step (A4). After an epoch the validation rows are scored
+    once; stop and best epoch are T1's. Orders come from hashes of ids, so the same steps are made for
+    any partitioning; every step is one job over its own rows. No training rows leave the
+    weights as they are.
+    """
+    train = features.filter(F.col(split_col) == "train")
+    val = features.filter(F.col(split_col) == "val")
+    total = train.count()
+    batches = -(-total // cfg.batch_size)
+    steps = -(-batches // cfg.accumulate)
+    factors = lr_factors(steps * cfg.max_epochs, cfg.warmup_share)
+    run, head, rate, done = Run(dim, cfg), Heads(dim, 1), 0.0, 0
+    while not run.done:
+        table, _ = step_tables(train, id_col, cfg, run.epoch + 1)
+        loss = 0.0
+        for step in range(steps):
+            own = table.filter(F.col("step") == step)
+            sums = block_pass(own, head, np.array([*run.w, run.b]), x_col, y_col, split_col, "weight")["train"]
+            taken = min(cfg.accumulate, batches - step * cfg.accumulate)
+            gradient = sums["gradient"] / taken
+            gradient[:dim] += cfg.l2 * np.array(run.w)
+            rate = cfg.lr * factors[done]
+            moved = np.array([*run.w, run.b]) - rate * clipped(gradient, cfg.clip)
+            run.w, run.b = moved[:dim].tolist(), float(moved[dim])
+            loss, done = loss + float(sums["loss"][0]), done + 1
+        run.epoch, run.rate = run.epoch + 1, rate
+        run.observe(loss / batches if batches else None, head_row(block_pass(val, head, np.array([*run.w, run.b]), x_col, y_col, split_col), head, 0))
+    return run.res
+
+
+@dataclass
+class NetworkResult:
+    log: list = field(default_factory=list)
+    params: list = field(default_factory=list)  # after each epoch
+    stop_epoch: int | None = None
+    best_epoch: int | None = None
+
+
+def start_weights(dim: int, hidden: int, seed: int = 42) -> np.ndarray:
+    """Start of a hidden layer, the same everywhere: uniforms of md5(seed|k) scaled to the layer's fan, biases 0."""
+    import hashlib
+
+    draw = lambda k: int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) / 2**32 * 2.0 - 1.0
+    first = [round(draw(k) * math.sqrt(6.0 / (dim + hidden)), 9) for k in range(dim * hidden)]
+    second = [round(draw(dim * hidden + k) * math.sqrt(6.0 / (hidden + 1)), 9) for k in range(hidden)]
+    return np.array([*first, *[0.0] * hidden, *second, 0.0])
+
+
+def train_network(
+    features: DataFrame, dim: int, hidden: int, cfg: TrainConfig, start: np.ndarray | None = None, x_col: str = "x", y_col: str = "y", split_col: str = "split"
+) -> NetworkResult:
+    """T2 with a hidden layer: rectified units and one sigmoid, full-batch gradient steps, one scan per epoch.
+
+    The backward pass runs as matrices inside the tasks; a pass returns one gradient. L2 falls on both
+    weight arrays, clipping on every array of its own (F16, per array), the rate follows W6, and the loss stops the
+    run as in T1.
+    """
+    net = HiddenLayer(dim, hidden)
+    params = start_weights(dim, hidden) if start is None else np.asarray(start, np.float64)
+    d = dim * hidden
+    arrays = [slice(0, d), slice(d, d + hidden), slice(d + hidden, d + 2 * hidden), slice(d + 2 * hidden, None)]
+    decay = np.zeros(net.width)
+    decay[arrays[0]] = decay[arrays[2]] = cfg.l2
+    run, res = Run(1, cfg), NetworkResult()
+    sums = block_pass(features, net, params, x_col, y_col, split_col)
+    while not run.done:
+        train = sums.get("train")
+        if train:
+            rate = cfg.lr * run.factors[run.epoch]
+            params = params - rate * clipped(train["gradient"] / train["n"] + decay * params, cfg.clip, arrays)
+        run.epoch, run.rate = run.epoch + 1, cfg.lr * run.factors[run.epoch]
+        sums = block_pass(features, net, params, x_col, y_col, split_col)
+        row = head_row({k: v | {"gradient": np.zeros(2)} for k, v in sums.items()}, Heads(1, 1), 0)
+        metrics = run.observe(float(train["loss"][0] / train["n"]) if train else None, row)
+        metrics["l2_penalty"] = 0.5 * float((decay * params * params).sum())
+        res.params.append(params)
+    res.log, res.stop_epoch, res.best_epoch = run.res.log, run.res.stop_epoch, run.res.best_epoch
     return res
 
 
+def network_score(df: DataFrame, dim: int, hidden: int, params, x_col: str = "x", threshold: float = 0.5) -> DataFrame:
+    """T8 for a hidden layer: ``df`` with p and pred, in built-in functions."""
+    w1, b1, w2, b2 = HiddenLayer(dim, hidden).parts(np.asarray(params, np.float64))
+    numbers = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    dot = lambda k: F.aggregate(F.zip_with(x_col, numbers(w1[:, k]), lambda a, b: a * b), F.lit(float(b1[k])), lambda a, v: a + v)
+    staged = df.withColumn("_units", F.array(*[F.greatest(dot(k), F.lit(0.0)) for k in range(hidden)]))
+    z = F.aggregate(F.zip_with("_units", numbers(w2), lambda a, b: a * b), F.lit(float(b2[0])), lambda a, v: a + v)
+    return staged.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).withColumn("pred", (F.col("p") > threshold).cast("int")).drop("_units")
+
+
 def log_frame(spark: SparkSession, res: TrainResult) -> DataFrame:
     """The epoch log of a T1 run as a DataFrame (driver-sized: one row per epoch)."""
     schema = "run_id string, epoch int, train_loss double, val_loss double, val_f1 double, val_accuracy double, lr double, l2_penalty double"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,48 @@ class BestWeightsSink:
     def load_best(self) -> tuple[list, float]:
         row = self.spark.read.parquet(self.saved[-1][-1]).first()
         return list(row["w"]), row["b"]
+
+
+class Checkpoints:
+    """K3, full state: a folder of epoch states, each written whole before an entry names it.
+
+    A state goes to a folder of its own; the entry is one small file that appears by a rename. What was
+    cut off while it was written has no entry, or its folder is not whole, and is passed over.
+    """
+
+    STATE = (
+        "epoch int, best double, since int, best_epoch int, stop_epoch int, weights array<struct<w: array<double>, b: double>>, "
+        "log array<struct<run_id: string, epoch: int, train_loss: double, val_loss: double, val_f1: double, val_accuracy: double, lr: double, l2_penalty: double>>"
+    )
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _entries(self) -> list[tuple[int, str]]:
+        """(epoch, folder) of the entries, the newest first."""
+        if not self.fs.exists(self._path("entries")):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path("entries"))]
+        return sorted(((int(n.split("-")[0]), n) for n in names if n.split("-")[0].isdigit()), reverse=True)
+
+    def commit(self, state: dict) -> None:
+        name = f"{state['epoch']:08d}-{uuid.uuid4().hex[:12]}"
+        self.spark.createDataFrame([state], self.STATE).coalesce(1).write.parquet(f"{self.path}/states/{name}")
+        self.fs.mkdirs(self._path("entries"))
+        aside = self._path(f"aside-{name}")
+        self.fs.create(aside).close()
+        self.fs.rename(aside, self._path(f"entries/{name}"))
+        for _, old in self._entries()[self.keep :]:
+            self.fs.delete(self._path(f"entries/{old}"), False)
+            self.fs.delete(self._path(f"states/{old}"), True)
+
+    def newest(self) -> dict | None:
+        """The state of the newest entry whose folder was finished; None without any."""
+        for _, name in self._entries():
+            if self.fs.exists(self._path(f"states/{name}/_SUCCESS")):
+                return self.spark.read.schema(self.STATE).parquet(f"{self.path}/states/{name}").first().asDict(recursive=True)
+        return None
