@@ -156,3 +156,22 @@ def shuffled_batches(df: DataFrame, id_col: str, batch_size: int, epoch: int = 1
     keyed = df.withColumn("_epoch", F.lit(epoch))
     out = hash_order_index(keyed, seed, id_col, "position", salt=("_epoch",))
     return out.withColumn(name, F.floor(F.col("position") / F.lit(batch_size)).cast("long")).drop("_epoch")
+
+
+def epoch_positions(df: DataFrame, order: list, epochs, seed: int = 42, batch_size: int | None = None, name: str = "position") -> DataFrame:
+    """O2 / W7 in closed form: ``df`` with one column ``{name}_{epoch}`` per epoch, the row's place in that epoch's shuffle
+    (and ``batch_{epoch}``).
+
+    The rows are numbered once in ``order`` (a unique key); every epoch's shuffle is a keyed permutation
+    of those numbers (``functions.permute``), so an epoch costs a projection: no sort, no exchange, no copy
+    of the rows. The same for any partitioning.
+    """
+    from ledeframe.functions.permute import permuted
+
+    indexed = with_row_index(df, order, "_index")
+    n = indexed.count()
+    for epoch in epochs:
+        indexed = indexed.withColumn(f"{name}_{epoch}", permuted(F.col("_index"), n, seed, F.lit(epoch)))
+        if batch_size:
+            indexed = indexed.withColumn(f"batch_{epoch}", F.floor(F.col(f"{name}_{epoch}") / F.lit(batch_size)).cast("long"))
+    return indexed.drop("_index")

@@ -73,9 +73,10 @@ def _improvements(records: DataFrame, run_col: str, min_delta: float) -> DataFra
     jump = cut_lineage(scanned.filter(F.col("_kind") == 0).select("_r", "e", F.col("_nx").alias("_j")))
     path = cut_lineage(recs.groupBy("_r").agg(F.min("e").alias("e")))  # the first epoch always improves
     while True:
-        step = path.join(jump, ["_r", "e"]).filter(F.col("_j").isNotNull()).select("_r", F.col("_j").alias("e"))
+        here = path.alias("p").join(jump.alias("j"), F.col("p._r").eqNullSafe(F.col("j._r")) & (F.col("p.e") == F.col("j.e")))
+        step = here.filter(F.col("j._j").isNotNull()).select("p._r", F.col("j._j").alias("e"))
         path = cut_lineage(path.unionByName(step).distinct())
-        longer = jump.alias("a").join(jump.alias("b"), (F.col("a._r") == F.col("b._r")) & (F.col("a._j") == F.col("b.e")), "left")
+        longer = jump.alias("a").join(jump.alias("b"), F.col("a._r").eqNullSafe(F.col("b._r")) & (F.col("a._j") == F.col("b.e")), "left")
         jump = cut_lineage(longer.select(F.col("a._r").alias("_r"), F.col("a.e").alias("e"), F.col("b._j").alias("_j")))
         if jump.filter(F.col("_j").isNotNull()).limit(1).count() == 0:
             break
@@ -151,12 +152,32 @@ def early_stop(
     """Per run the first epoch with ``patience`` evaluations since the last improvement (null if
     never), the last epoch that ran, and how many epochs ran.  Improvement is strict; with
     ``min_delta`` it must beat the best by more than that (callback semantics)."""
-    rows, _ = _run_part(df, patience, run_col, epoch_col, value_col, mode, min_delta)
-    return rows.groupBy(run_col).agg(
-        F.first("n_epochs").cast("long").alias("n_epochs"),
-        F.first("stop_epoch").cast("int").alias("stop_epoch"),
-        F.count(F.lit(1)).alias("epochs_run"),
-        F.first("last_epoch").cast("int").alias("last_epoch"),
+    return _at_stop(df, patience, run_col, epoch_col, value_col, mode, min_delta).select(run_col, "n_epochs", "stop_epoch", "epochs_run", "last_epoch")
+
+
+def _at_stop(df: DataFrame, patience: int, run_col: str, epoch_col: str, value_col: str, mode: str, min_delta: float = 0.0) -> DataFrame:
+    """One row per run, read off the row at which it stops (its last one if never): what has run by then and the epoch
+    and value of the last improvement. One aggregation over the scans; nothing but run, epoch and value is scanned."""
+    slim = df.select(run_col, epoch_col, value_col)
+    scans, rows = _flagged(slim, run_col, epoch_col, value_col, mode, min_delta)
+    hit = F.when(F.col("improved"), F.struct(F.col(epoch_col).alias("e"), F.col("_n").alias("n"), F.col(value_col).alias("v")))
+    rows = scans.scan(rows.withColumn("_hit", hit).withColumn("_one", F.lit(1)), [("_last", "_hit", "max", True), ("_rows", "_one", "sum", True)])
+    stops = (F.coalesce(F.col("_n"), F.lit(0)) - F.coalesce(F.col("_last.n"), F.lit(0))) >= F.lit(patience)
+    here = F.struct(F.col(epoch_col).alias("epoch"), F.col("_rows").alias("rows"), F.col("_last").alias("best"))
+    per_run = rows.groupBy(run_col).agg(
+        F.count(F.lit(1)).cast("long").alias("n_epochs"),
+        F.min_by(here, F.when(stops, F.col(epoch_col))).alias("_stop"),
+        F.max_by(here, F.col(epoch_col)).alias("_end"),
+    )
+    last = F.coalesce("_stop", "_end")
+    return per_run.select(
+        run_col,
+        "n_epochs",
+        F.col("_stop.epoch").cast("int").alias("stop_epoch"),
+        last["rows"].cast("long").alias("epochs_run"),
+        last["epoch"].cast("int").alias("last_epoch"),
+        last["best"]["e"].cast("int").alias("best_epoch"),
+        last["best"]["v"].alias("best_value"),
     )
 
 
@@ -167,14 +188,7 @@ def _best(epoch_col: str, out: str, signed: Column) -> Column:
 
 def best_epoch(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss", mode: str = "min") -> DataFrame:
     """The epoch whose state is kept: best value (earliest on ties) among epochs run."""
-    rows, _ = _run_part(df, patience, run_col, epoch_col, value_col, mode)
-    key = _signed(value_col, mode)
-    return rows.groupBy(run_col).agg(
-        F.count(F.lit(1)).alias("epochs_run"),
-        F.first("stop_epoch").cast("int").alias("stop_epoch"),
-        _best(epoch_col, epoch_col, key).cast("int").alias("best_epoch"),
-        _best(epoch_col, value_col, key).alias("best_value"),
-    )
+    return _at_stop(df, patience, run_col, epoch_col, value_col, mode).select(run_col, "epochs_run", "stop_epoch", "best_epoch", "best_value")
 
 
 def dual_criterion(df: DataFrame, patience: int, run_col: str = "run_id", epoch_col: str = "epoch", loss_col: str = "val_loss", score_col: str = "f1") -> DataFrame:
@@ -263,7 +277,10 @@ def warmup_schedule(steps_df: DataFrame, base_lr: float, warmup_share: float = 0
 
 
 def checkpoint_retention(df: DataFrame, keep: int, patience: int | None = None, run_col: str = "run_id", epoch_col: str = "epoch", value_col: str = "val_loss") -> DataFrame:
-    """Checkpoints kept: the newest ``keep`` epochs of each run (by rank) plus its best epoch."""
+    """Checkpoints kept: the newest ``keep`` epochs of each run (by rank) plus its best epoch; with
+    ``patience`` of the epochs up to its early stop."""
+    if patience is not None:
+        df = _run_part(df, patience, run_col, epoch_col, value_col, "min")[0].select(*df.columns)
     ranked = running_aggregate(df.withColumn("_one", F.lit(1)), run_col, [F.col(epoch_col)], [("_pos", "_one", "sum", True)])
     last = ranked.groupBy(F.col(run_col).alias("_run")).agg(
         F.max("_pos").alias("_last"), _best(epoch_col, epoch_col, _signed(value_col, "min")).alias("_best")
@@ -290,8 +307,8 @@ def log_series(df: DataFrame, key: str, without: str | None = None, run_col: str
 
 def trim_series(train: DataFrame, evals: DataFrame, run_col: str = "run_id", point_col: str = "point") -> DataFrame:
     """Cut each run's train series to the number of eval points of that run."""
-    n_eval = evals.groupBy(run_col).agg(F.count(F.lit(1)).alias("_n_eval"))
-    return train.join(n_eval, run_col).filter(F.col(point_col) <= F.col("_n_eval")).drop("_n_eval")
+    n_eval = evals.groupBy(F.col(run_col).alias("_run")).agg(F.count(F.lit(1)).alias("_n_eval"))
+    return train.join(n_eval, F.col(run_col).eqNullSafe(F.col("_run"))).filter(F.col(point_col) <= F.col("_n_eval")).drop("_run", "_n_eval")
 
 
 def curve_data(df: DataFrame, id_cols=("run_id", "epoch"), series=("val_loss", "f1")) -> DataFrame:

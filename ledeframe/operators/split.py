@@ -33,7 +33,6 @@ def class_quotas(counts: DataFrame, label_col: str, val_share: float) -> DataFra
     q = q.withColumn("_cont", F.col("c").cast("double") / F.col("_n").cast("double") * F.col("_ntrain").cast("double"))
     q = q.withColumn("_fl", F.floor("_cont")).withColumn("_rem", F.col("_cont") - F.col("_fl"))
     order = [F.col("_rem").desc(), F.col(label_col).asc_nulls_first()]
-    q = cut_lineage(q)
     need = q.agg((F.first("_ntrain") - F.sum("_fl")).alias("need")).scalar()
     q = with_row_index(q, order, "_rk0").withColumn("_rk", F.col("_rk0") + 1)
     q = q.withColumn("train_n", (F.col("_fl") + F.when(F.col("_rk") <= need, 1).otherwise(0)).cast("long"))

@@ -398,6 +398,34 @@ def score_foreign_model(df: DataFrame, load_model: Callable[[], object], predict
     return df.mapInPandas(run, schema)
 
 
+def score_model_file(df: DataFrame, path: str, load_model: Callable[[str], object], predict: Callable[[object, "np.ndarray"], "np.ndarray"], x_col: str = "x", out: str = "p", batch_size: int = 4096) -> DataFrame:
+    """T8 for a model file (ONNX, pickled, weights): ``df`` with ``out``, ``predict(model, x)`` of each batch of feature rows.
+
+    The file (any path Spark reads) is shipped to every executor once; a Python worker loads it with ``load_model(local path)``
+    at its first batch and keeps it for all tasks it runs."""
+    import os
+
+    from pyspark import SparkFiles
+    from pyspark.ml.functions import predict_batch_udf
+
+    from ledeframe.session import ship_code
+
+    ship_code()
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def make_predict():
+        model = load_model(SparkFiles.get(name))
+        return lambda x: predict(model, x)
+
+    from pyspark.sql import types as ST
+
+    dim_known = df.select(F.size(x_col).alias("d")).limit(1).collect()
+    dim = dim_known[0]["d"] if dim_known else 1
+    score = predict_batch_udf(make_predict, return_type=ST.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[dim]])
+    return df.withColumn(out, score(x_col))
+
+
 def classifier_estimator(dim: int, x_col: str = "x", y_col: str = "y", kind: str = "logistic", hidden: int = 16, max_iter: int = 50, reg: float = 0.0, seed: int = 42):
     """T2 (unfitted): array column -> vector -> LogisticRegression or a one-hidden-layer MLP.
 

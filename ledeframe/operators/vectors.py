@@ -75,14 +75,21 @@ def embed_lookup(df: DataFrame, matrix: DataFrame, id_col: str = "doc_id", ids_c
 
 
 def vector_sequences(df: DataFrame, matrix: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", out: str = "vecs") -> DataFrame:
-    """T3 (array form): per document the array of its position vectors, in order.
+    """T3 (array form): per row the array of its position vectors, in order; no ids give empty arrays.
 
-    Documents are partitioned by id before exploding, so regrouping needs no
-    exchange; the group is one document's padded length (a parameter).
+    Rows are partitioned by id and ids' hash before exploding, so regrouping needs no
+    exchange and rows that repeat a document's id keep their own sequences; a row repeated in
+    full comes back as often. The group is one row's padded length (a parameter).
     """
-    looked = embed_lookup(df, matrix, id_col, ids_col)
-    seqs = looked.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "vec"))).alias("_s"))
-    return seqs.select(id_col, F.col("_s.id").alias("pos_ids"), F.col("_s.vec").alias(out))
+    keys = [id_col, "_ids"]
+    keyed = df.select(id_col, F.col(ids_col).alias("_seq"), F.xxhash64(ids_col).alias("_ids")).repartition(*keys)
+    ex = keyed.select(*keys, F.posexplode_outer("_seq").alias("pos", "id"))
+    looked = ex.join(F.broadcast(matrix.select("id", "vec")), "id", "left")
+    begins = F.col("pos").isNull() | (F.col("pos") == 0)
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "id", "vec"))
+    seqs = looked.groupBy(*keys).agg(F.sort_array(F.collect_set(entry)).alias("_s"), F.count_if(begins).alias("_copies"))
+    copies = seqs.select(id_col, F.col("_s.id").alias("pos_ids"), F.col("_s.vec").alias(out), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_c"))
+    return copies.drop("_c")
 
 
 def _dim_sum(vecs: Column, weights: Column | None, dim: int) -> Column:

@@ -24,8 +24,7 @@ def _tokens(df: DataFrame, text_col: str, tokens) -> Column:
 
 
 def by_document(df: DataFrame, id_col: str, num_partitions: int | None = None) -> DataFrame:
-    """Hash-partition rows by document id.  Vocabulary fitting and encoding of the
-    same input both start here, so Spark computes this exchange once and reuses it."""
+    """Hash-partition rows by document id."""
     # Without an explicit count AQE may coalesce the partitions at run time (never
     # below the cluster's parallelism), and still keeps rows clustered by id.
     if num_partitions:
@@ -95,28 +94,28 @@ def token_to_id(
     """Word -> id; unknown words and ids >= ``max_words`` -> 1; only the first ``max_len``
     tokens if it is given (cut before anything is exploded).
 
-    Plan: tokens are exploded inside each partition of the documents and looked up with
-    a broadcast hash join against the cut vocabulary (at most ``max_words - 2`` rows by
+    Plan: a row's tokens are exploded once, inside the partitions of one shuffle, and looked up
+    with a broadcast hash join against the cut vocabulary (at most ``max_words - 2`` rows by
     construction, so the broadcast is bounded by a parameter, not by the data).  The
-    ids are regrouped in position order by (id, tokens' hash), so rows that repeat an
-    id keep their own sequences.
+    ids are regrouped in position order by (id, tokens' hash) in the same partitions; the row's own
+    columns ride on its first token, so the text is shuffled and tokenised once. Rows that
+    repeat an id keep their own sequences.
     """
     cut = vocab.filter(F.col("id") < max_words).select("word", F.col("id").alias("_id"))
     words = _tokens(df, text_col, tokens)
-    rows = df.withColumn("_tokens", F.slice(words, 1, max_len) if max_len is not None else words)
-    rows = rows.withColumn("_text", F.xxhash64("_tokens"))
-    keys = [F.col(id_col), F.col("_text")]
-    keyed = rows.repartition(num_partitions, *keys) if num_partitions else rows.repartition(*keys)
-    exploded = keyed.select(*keys, F.posexplode("_tokens").alias("_pos", "word"))
-    looked = exploded.join(F.broadcast(cut), "word", "left").select(
-        *keys, F.struct("_pos", F.coalesce("_id", F.lit(OOV_ID)).alias("id")).alias("_p")
-    )
-    # A set: a row repeated in full adds nothing.
-    seqs = looked.groupBy(*keys).agg(F.sort_array(F.collect_set("_p")).alias("_ps"))
-    seqs = seqs.select(*keys, F.col("_ps.id").alias(out))
-    # Documents without a single token still get an empty sequence.
-    joined = keyed.drop("_tokens").join(seqs, [id_col, "_text"], "left").drop("_text")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    rows = df.select(F.struct(*df.columns).alias("_row"), (F.slice(words, 1, max_len) if max_len is not None else words).alias("_tokens"))
+    keys = ["_doc", "_text"]
+    keyed = rows.select(F.col(f"_row.{id_col}").alias("_doc"), F.xxhash64("_tokens").alias("_text"), "_row", "_tokens")
+    keyed = keyed.repartition(num_partitions, *keys) if num_partitions else keyed.repartition(*keys)
+    exploded = keyed.select(*keys, "_row", F.posexplode_outer("_tokens").alias("_pos", "word"))
+    first = F.col("_pos").isNull() | (F.col("_pos") == 0)
+    exploded = exploded.select(*keys, "_pos", "word", F.when(first, F.col("_row")).alias("_row"))
+    looked = exploded.join(F.broadcast(cut), "word", "left")
+    place = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(OOV_ID)).alias("id")))
+    # A set of places: rows with one id and the same tokens share their sequence; each of them is a row again.
+    seqs = looked.groupBy(*keys).agg(F.sort_array(F.collect_set(place))["id"].alias("_ids"), F.collect_list("_row").alias("_rows"))
+    out_rows = seqs.select("_ids", F.explode("_rows").alias("_row"))
+    return out_rows.select("_row.*", F.col("_ids").alias(out))
 
 
 def longest_sequence(df: DataFrame, ids_col: str = "ids", cap: int = 128, group_cols=()) -> DataFrame:
@@ -128,8 +127,7 @@ def longest_sequence(df: DataFrame, ids_col: str = "ids", cap: int = 128, group_
 def pad_to_longest(df: DataFrame, ids_col: str = "ids", cap: int = 128, group_cols=(), out: str | None = None) -> DataFrame:
     """F8: pad every sequence to the longest of its group (capped) instead of a constant.
 
-    The per-group lengths are one row per group, joined back through the
-    size-checked broadcast."""
+    The per-group lengths are one row per group, joined back."""
     from ledeframe.functions.sequence import pad_sequence
 
     lens = longest_sequence(df, ids_col, cap, group_cols)

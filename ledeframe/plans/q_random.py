@@ -48,6 +48,29 @@ def q_epoch_shuffle(spark, sf_dir):
     return out.select(i64("epoch").alias("epoch"), "doc_id", i64("shuffle_index").alias("shuffle_index"))
 
 
+def _sql_half(k: int, a: str, b: str) -> str:
+    moved, by, size = ("r", "c", a) if k % 2 else ("c", "r", b)
+    bits = f"(('0x' || substr(md5('42|' || e || '|{k}|' || {by}{k - 1}), 1, 8))::BIGINT)"
+    return f"({moved}{k - 1} + {bits}) % {size} AS {moved}{k}, {by}{k - 1} AS {by}{k}"
+
+
+@register(
+    "epoch_permutation",
+    f"""WITH RECURSIVE _n AS (SELECT count(*) AS n, CASE WHEN count(*) < 2 THEN 1 ELSE ceil(sqrt(count(*)))::BIGINT END AS a FROM labels),
+_g AS (SELECT n, a, greatest(1, CAST(ceil(n::DOUBLE / a) AS BIGINT)) AS b FROM _n),
+_i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x FROM labels),
+_w AS (SELECT e::BIGINT AS e, doc_id, x, 0 AS k FROM _i, (SELECT unnest(range(1, 4)) AS e)
+  UNION ALL
+  SELECT e, doc_id, r6 * b + c6, k + 1 FROM (SELECT e, doc_id, k, b, x // b AS r0, x % b AS c0, {", ".join(_sql_half(k, "a", "b") for k in range(1, 7))} FROM _w, _g WHERE k = 0 OR x >= n))
+SELECT doc_id, max(x) FILTER (e = 1) AS position_1, max(x) FILTER (e = 2) AS position_2, max(x) FILTER (e = 3) AS position_3, max(x // 32) FILTER (e = 1) AS batch_1,
+       max(x // 32) FILTER (e = 2) AS batch_2, max(x // 32) FILTER (e = 3) AS batch_3 FROM _w, _g WHERE k > 0 AND x < n GROUP BY doc_id""",
+)
+def q_epoch_permutation(spark, sf_dir):
+    """O2 / W7 in closed form: place and batch of every row in three epochs, from one numbering."""
+    out = O.epoch_positions(table(spark, sf_dir, "labels").select("doc_id"), [F.col("doc_id")], (1, 2, 3), 42, 32)
+    return out.select("doc_id", *[i64(f"{c}_{e}").alias(f"{c}_{e}") for c in ("position", "batch") for e in (1, 2, 3)])
+
+
 @register(
     "batch_assign",
     """SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS position,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledeframe.operators import cooccur as C
 from ledeframe.operators import metrics as M
 from ledeframe.operators import train as T
-from ledeframe.plans.catalog import i64, register, sql_bits
+from ledeframe.plans import fixtures as X
+from ledeframe.plans.catalog import ORACLE, i64, r6, register, sql_bits
 from ledeframe.plans.q_metrics import sql_per_class
 from ledeframe.plans.q_train import _T1_SQL, FEAT_SQL, REG, T1_CHECK, _t1_log_out, headline_features
 from ledeframe.plans.q_vectors import DIM
@@ -262,3 +264,74 @@ def q_pipeline_sink(spark, sf_dir):
     return both.groupBy(i64("y").alias("y")).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("p0") != F.col("p1")).alias("mismatches")).select(
         F.lit(row["run_id"]).alias("run_id"), "y", "support", "mismatches"
     )
+
+
+# --- T8: a model in a file ------------------------------------------------------------
+
+
+def _load_weights(path: str):
+    import json
+
+    import numpy as np
+
+    with open(path) as file:
+        found = json.load(file)
+    return np.array(found["w"]), found["b"]
+
+
+def _predict(model, x):
+    import numpy as np
+
+    return 1.0 / (1.0 + np.exp(-(x @ model[0] + model[1])))
+
+
+@register("foreign_model_score", ORACLE["batch_score"])
+def q_foreign_model_score(spark, sf_dir):
+    """The weights of T1 as a file that Spark knows nothing about, loaded by the Python workers."""
+    feats = headline_features(spark, sf_dir)
+    w, b = T.train_epochs(feats, DIM, T1_CHECK).weights[-1]
+    path = scratch_path(spark, "weights")
+    spark.createDataFrame([(w, b)], "w array<double>, b double").select(F.to_json(F.struct("w", "b")).alias("value")).coalesce(1).write.text(path)
+    file = spark.read.text(path).inputFiles()[0]
+    scored = T.score_model_file(feats, file, _load_weights, _predict)
+    return scored.select("doc_id", r6("p").alias("p"), i64(F.col("p") > 0.5).alias("pred"))
+
+
+# --- T7: co-occurrence ------------------------------------------------------------------
+
+_WINDOW, _LEAST = 2, 5
+
+
+def _tokens(spark, sf_dir):
+    from ledeframe.functions.text import split_words
+
+    return X.corpus(spark, sf_dir).select(split_words(F.lower("text")).alias("tokens"))
+
+
+@register(
+    "cooccurrences",
+    f"""WITH _t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS ws FROM documents),
+_p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM _t),
+_w AS (SELECT ws[i] AS word FROM _p GROUP BY 1 HAVING count(*) >= {_LEAST}),
+_a AS (SELECT ws[i] AS word, ws[i + d] AS context, count(*) AS n FROM _p, (SELECT unnest(range(1, {_WINDOW + 1})) AS d) WHERE i + d <= len(ws) GROUP BY 1, 2),
+_b AS (SELECT * FROM _a WHERE word IN (SELECT word FROM _w) AND context IN (SELECT word FROM _w)),
+_c AS (SELECT word, context, sum(n) AS n FROM (SELECT * FROM _b UNION ALL SELECT context, word, n FROM _b) GROUP BY 1, 2),
+_s AS (SELECT word, sum(n) AS s FROM _c GROUP BY word)
+SELECT _c.word, _c.context, _c.n::BIGINT AS n, round(greatest(ln(_c.n::DOUBLE * (SELECT sum(s) FROM _s)::DOUBLE / (a.s::DOUBLE * b.s::DOUBLE)), 0.0), 6) AS ppmi
+FROM _c JOIN _s a ON a.word = _c.word JOIN _s b ON b.word = _c.context""",
+)
+def q_cooccurrences(spark, sf_dir):
+    """Counts of frequent words at most two places apart, with their positive PMI."""
+    counts = C.cooccurrences(_tokens(spark, sf_dir), "tokens", _WINDOW, _LEAST)
+    return counts.join(C.positive_pmi(counts), ["word", "context"], "left").select("word", "context", i64("n").alias("n"), r6(F.coalesce("value", F.lit(0.0))).alias("ppmi"))
+
+
+@register(
+    "cooccurrence_vectors",
+    f"""SELECT word, 16::BIGINT AS dim FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS word FROM documents)
+    GROUP BY word HAVING count(*) >= {_LEAST}""",
+)
+def q_cooccurrence_vectors(spark, sf_dir):
+    """A vector for every frequent word; the numbers themselves are tested against a dense factorisation."""
+    vecs = C.cooccurrence_vectors(_tokens(spark, sf_dir), "tokens", 16, _WINDOW, _LEAST)
+    return vecs.select("word", i64(F.size("vec")).alias("dim"))
