@@ -55,3 +55,12 @@ def label_to_int(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
 def prune_columns(df: DataFrame, cols=("ids", "mask", "label")) -> DataFrame:
     """Keep only the model's columns."""
     return project_columns(df, cols)
+
+
+def clean_titles(df: DataFrame, title_col: str = "title", blank_after: bool = False) -> DataFrame:
+    """P5 and F3 in the reference's order: blank titles go, then titles are cleaned, which may empty some; with
+    ``blank_after`` those go too (Q8). Null titles go with the blank ones."""
+    from ledeframe.functions.text import clean_headline
+
+    cleaned = filter_not_blank(df, title_col).withColumn(title_col, clean_headline(title_col))
+    return filter_not_blank(cleaned, title_col) if blank_after else cleaned

@@ -370,6 +370,13 @@ def network_score(df: DataFrame, dim: int, hidden: int, params, x_col: str = "x"
     return staged.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).withColumn("pred", (F.col("p") > threshold).cast("int")).drop("_units")
 
 
+def chosen_weights(res: TrainResult, which: str = "best") -> tuple[list, float]:
+    """Weights after the best epoch (the last one if none improved), or after the last that ran (Q2)."""
+    if which not in ("best", "last"):
+        raise ValueError(f"which: {which}")
+    return res.weights[res.best_epoch - 1 if which == "best" and res.best_epoch else -1]
+
+
 def log_frame(spark: SparkSession, res: TrainResult) -> DataFrame:
     """The epoch log of a T1 run as a DataFrame (driver-sized: one row per epoch)."""
     schema = "run_id string, epoch int, train_loss double, val_loss double, val_f1 double, val_accuracy double, lr double, l2_penalty double"

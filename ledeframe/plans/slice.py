@@ -24,6 +24,15 @@ def encoded_headlines(spark: SparkSession, sf_dir: str, max_words: int = 2000, m
     return enc.select("doc_id", "label", "ids", pad_sequence("ids", max_len).alias("padded"))
 
 
+def split_then_encode(df: DataFrame, text_col: str, max_words: int, fit_on: str = "train", val_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Q6: stratified split, vocabulary of the train rows (``fit_on='train'``) or of all (``'all'``), ids of every row."""
+    if fit_on not in ("train", "all"):
+        raise ValueError(f"fit_on: {fit_on}")
+    sp = stratified_split(df, "label", "doc_id", val_share, seed, materialize=True)
+    seen = sp.filter(F.col("split") == "train") if fit_on == "train" else sp
+    return token_to_id(sp, vocab_top_n(seen, max_words, text_col, "doc_id"), max_words, text_col, "doc_id")
+
+
 def encode_split_summary(spark: SparkSession, sf_dir: str, max_words: int = 2000, max_len: int = 30, seed: int = 42, val_share: float = 0.2) -> DataFrame:
     enc = encoded_headlines(spark, sf_dir, max_words, max_len)
     sp = stratified_split(enc, "label", "doc_id", val_share, seed, materialize=True)  # encoding is costly to recompute
