@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,8 @@ from ledeframe.llm.common import ship_code
 
 REMEMBER = 300_000  # words a task keeps encoded
 TEXTS = 3 << 21  # characters of text whose new words are walked together
-VERDICTS = 1 << 21  # pairs of tokens a task keeps judged
+VERDICTS = 1 << 19  # pairs of tokens a task keeps judged
+HEAD = 32  # bytes of neighbouring words that are compared at once
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -82,10 +84,15 @@ class Trie:
         self.verdicts: dict[tuple[int, int], bool] = {}
         self.ids = {token: i for token, i in vocabulary["ids"].items() if i not in vocabulary["dead"]}
         self.lengths = {i: len(token) for token, i in self.ids.items()}
-        # How long a token that ends with a byte can be.
-        self.longest = [0] * 256
+        # How long the tokens can be that end with the same three bytes, the longest first.
+        tails: dict[bytes, set[int]] = {}
         for token in self.ids:
-            self.longest[token[-1]] = max(self.longest[token[-1]], len(token))
+            if len(token) > 2:
+                tails.setdefault(token[-3:], set()).add(len(token))
+        self.sizes = {tail: (*sorted(sizes, reverse=True), *self._short(tail)) for tail, sizes in tails.items()}
+
+    def _short(self, tail: bytes) -> tuple[int, ...]:
+        return (2, 1) if len(tail) > 1 and tail[-2:] in self.ids else (1,)
 
     def _spine(self, token: int, side: int, held: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
         """The tokens at one end of a token while it is made: (token, rank of the merge that ends it)."""
@@ -114,27 +121,27 @@ class Trie:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and where each word's begin (one more entry at the end)."""
         order = sorted(range(len(words)), key=words.__getitem__)
-        ids, lengths, longest, verdicts, fits = self.ids, self.lengths, self.longest, self.verdicts, self.fits
+        ids, lengths, sizes, verdicts, fits = self.ids, self.lengths, self.sizes, self.verdicts, self.fits
         out: list[list[int]] = [[]] * len(words)
         lasts: list[int] = [-1]  # last token of each prefix of the word before
         before = b""
-        for at in order:
+        for at, shared in zip(order, shared_prefixes([words[k] for k in order])):
             word = words[at]
-            shared, most = 0, min(len(word), len(before))
-            if word[:most] == before[:most]:
-                shared = most
-            else:
-                while word[shared] == before[shared]:
+            if shared == HEAD:
+                while shared < len(word) and shared < len(before) and word[shared] == before[shared]:
                     shared += 1
             del lasts[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest[word[end - 1]]), end):
-                    token = ids.get(word[start:end])
+                tail = word[end - 3 : end] if end > 3 else word[:end]
+                for size in sizes.get(tail) or self._short(tail):
+                    if size > end:
+                        continue
+                    token = ids.get(word[end - size : end])
                     if token is None:
                         continue
-                    if start == 0:
+                    if size == end:
                         break
-                    pair = (lasts[start], token)
+                    pair = (lasts[end - size], token)
                     fine = verdicts.get(pair)
                     if fine is None:
                         fine = verdicts[pair] = fits(*pair)
@@ -154,6 +161,14 @@ class Trie:
         return np.fromiter((i for row in out for i in row), np.int32, int(bounds[-1])), bounds
 
 
+def shared_prefixes(words: list[bytes]) -> list[int]:
+    """How many bytes each word shares with the one before, at most ``HEAD``."""
+    heads = np.array([w[:HEAD] for w in words], f"S{HEAD}").view(np.uint8).reshape(-1, HEAD)
+    same = np.minimum.accumulate(heads[1:] == heads[:-1], axis=1).sum(axis=1)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return [0, *np.minimum(same, np.minimum(lengths[1:], lengths[:-1])).tolist()][: len(words)]
+
+
 class Words:
     """The distinct words of a task and their ids."""
 
@@ -270,15 +285,19 @@ def decode(docs: DataFrame, vocabulary: Broadcast, ids_col: str = "ids", out: st
         bounds = np.concatenate(([0], np.cumsum([len(t or b"") for t in tokens])))
         real = np.array([t is not None for t in tokens])
         for batch in batches:
-            texts = []
-            for row in batch:
-                if not row.is_valid:
-                    texts.append(None)
-                    continue
-                ids = row.values.to_numpy(zero_copy_only=False)
+            rows, every = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
+            for i in range(0, len(batch), 500):
+                j = min(i + 500, len(batch))
+                ids = every[rows[i] : rows[j]]
                 if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens) or not real[ids].all()):
                     raise ValueError("an id outside the vocabulary")
-                texts.append(gather(flat, bounds, ids)[0].tobytes().decode("utf-8", "replace"))
-            yield pa.array(texts, pa.string())
+                text, lengths = gather(flat, bounds, ids)
+                ends = np.concatenate(([0], np.cumsum(lengths)))[rows[i : j + 1] - rows[i]].astype(np.int64)
+                joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends), pa.py_buffer(text)])
+                try:
+                    texts = joined.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:  # some bytes are no UTF-8
+                    texts = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+                yield pc.if_else(batch.is_valid()[i:j], texts, None)
 
     return docs.withColumn(out, text_of(F.col(ids_col)))
