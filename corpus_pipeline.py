@@ -22,19 +22,24 @@ TOXIC_FROM = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``TOXIC_FROM``."""
+    """Documents that score below ``TOXIC_FROM``. Null and empty texts score like any other text without a toxic
+    string; rows are judged one by one, so repeated rows and ids go or stay together. Without labelled rows, and
+    on an empty table, nothing is dropped."""
     score = unused(docs, "score")
     model = fit(*labelled_sample(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
     return toxicity(docs, model, "text", score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose 3-word-shingle SimHashes hang together at 2 bits or less."""
+    """One document of each group whose 3-word-shingle SimHashes hang together at 2 bits or less: that with the least id
+    (null ids last, then fingerprint and text hash). Null and wordless texts have fingerprint 0 and make one group, of
+    rows repeated in full one stays, an empty table stays empty."""
     return one_of_each_group(docs, "doc_id", "text", shingle=3, max_bits=2)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets masked; n_chars follows the text."""
+    """Secrets masked; n_chars follows the text, where it was not null. Null texts stay null, every row is kept, repeated ones
+    alike; an empty table stays empty."""
     masked = mask_secrets(docs, "text")
     if "n_chars" not in docs.columns:
         return masked
@@ -42,12 +47,15 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source: documents as often as it takes them."""
+    """The mix by source: documents as often as it takes them, up to three times. Null is a source of its own (the last);
+    null and wordless texts have no words to take and go; ties in the order are broken by a hash of the id, then
+    id and source, so reruns agree; an empty table stays empty."""
     return take_mix(docs, "doc_id", "text", "source")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids, their number and digest, and the digest of the bytes they decode to."""
+    """doc_id, source, token ids, their number and digest, and the digest of the bytes they decode to; all other columns
+    end here. Null and empty texts have no ids, repeated rows are encoded alike, an empty table stays empty."""
     vocabulary = load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids = encode(docs.select("doc_id", "source", "text"), vocabulary, public_tokenizers.PATTERN, "text", "ids", spaced=True).drop("text")
     return decode(ids, vocabulary, "ids", "decoded").select(
