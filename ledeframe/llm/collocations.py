@@ -32,12 +32,14 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ledeframe.llm.common import ship_code, written
+from ledeframe.llm.common import give_back, ship_code, written
 
 LONGEST = 5
 NEVER = 255  # entry of a phrase that has not reached the least count
-BLOCK = 1 << 20  # words that are numbered together
+BLOCK = 1 << 18  # words that are numbered together
+GRAMS = 1 << 20  # occurrences whose counts a task adds up before they leave it
 # ASCII letters in lower case; what ends a piece becomes a line feed and a tab a blank.
 CLEAN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in bytes(range(256)).lower())
 
@@ -48,40 +50,41 @@ class Numbers(dict):
         return number
 
 
+def _block(lang: str, texts: list[bytes], shard: int) -> pa.RecordBatch:
+    numbers = Numbers()
+    numbers[b"\n"]
+    flat = b"\n".join(texts).replace(b"\n", b" \n ").split(b" ")
+    tokens = np.fromiter(map(numbers.__getitem__, filter(None, flat)), np.int32)
+    tokens = np.append(tokens, np.int32(0)) - np.int32(1)
+    ends = np.append(False, (tokens[1:] < 0) & (tokens[:-1] < 0))
+    tokens = tokens[~ends]
+    words = list(numbers)[1:]
+    counts = np.bincount(tokens[tokens >= 0], minlength=len(words))
+    # The commonest words get the least numbers, which pack best.
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order) + 1, np.int32)
+    place[order], place[-1] = np.arange(len(order), dtype=np.int32), -1
+    words = [words[i] for i in order.tolist()]
+    head = lang.encode() + b"\0"
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(head + w) for w in words), np.uint64, len(words))
+    return pa.RecordBatch.from_pydict(
+        {
+            "shard": pa.array([shard], pa.int32()),
+            "lang": [lang],
+            "words": pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
+            "counts": pa.array([counts[order]], pa.list_(pa.int64())),
+            "hashes": pa.array([hashes.view(np.int64)], pa.list_(pa.int64())),
+            "tokens": [place[tokens].tobytes()],
+        }
+    )
+
+
 def _blocks(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> DataFrame:
     """(shard, lang, words, counts, hashes, tokens): the texts of one language in a stretch of a task, as
     its different words, how often each occurs, their 64-bit hashes (of language and word), and the texts as
     numbers of words, with -1 after every piece."""
     ship_code()
 
-    def block(lang: str, texts: list[bytes], shard: int) -> pa.RecordBatch:
-        numbers = Numbers()
-        numbers[b"\n"]
-        flat = b"\n".join(texts).replace(b"\n", b" \n ").split(b" ")
-        tokens = np.fromiter(map(numbers.__getitem__, filter(None, flat)), np.int32)
-        tokens = np.append(tokens, np.int32(0)) - np.int32(1)
-        ends = np.append(False, (tokens[1:] < 0) & (tokens[:-1] < 0))
-        tokens = tokens[~ends]
-        words = list(numbers)[1:]
-        counts = np.bincount(tokens[tokens >= 0], minlength=len(words))
-        # The commonest words get the least numbers, which pack best.
-        order = np.argsort(-counts, kind="stable")
-        place = np.empty(len(order) + 1, np.int32)
-        place[order], place[-1] = np.arange(len(order), dtype=np.int32), -1
-        words = [words[i] for i in order.tolist()]
-        head = lang.encode() + b"\0"
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(head + w) for w in words), np.uint64, len(words))
-        return pa.RecordBatch.from_pydict(
-            {
-                "shard": pa.array([shard], pa.int32()),
-                "lang": [lang],
-                "words": pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-                "counts": pa.array([counts[order]], pa.list_(pa.int64())),
-                "hashes": pa.array([hashes.view(np.int64)], pa.list_(pa.int64())),
-                "tokens": [place[tokens].tobytes()],
-            }
-        )
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -95,10 +98,12 @@ def _blocks(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> DataF
                 held.setdefault(key, []).append(text)
                 size[key] = size.get(key, 0) + len(text)
                 if size[key] >= 6 * BLOCK:
-                    yield block(lang, held.pop(key), key[1])
+                    yield _block(lang, held.pop(key), key[1])
                     size[key] = 0
-        for (lang, shard), texts in held.items():
-            yield block(lang, texts, shard)
+        while held:
+            (lang, shard), texts = held.popitem()
+            yield _block(lang, texts, shard)
+        give_back()
 
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(cut, "shard int, lang string, words array<string>, counts array<long>, hashes array<long>, tokens binary")
@@ -138,30 +143,50 @@ def _grams(h: np.ndarray, real: np.ndarray, reached: np.ndarray, step: int, shar
         at, key, since = at[known], key[known], since[known]
 
 
+def _summed(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases in ``parts``, each occurrence being (key, key without the last word, key of the last word, kind)."""
+    key, left, last, kind = (np.concatenate(x) for x in zip(*parts))
+    _, where, n = np.unique(key, return_index=True, return_counts=True)
+    for i in range(0, len(where), 1 << 16):
+        part = where[i : i + (1 << 16)]
+        columns = [left[part].view(np.int64), last[part].view(np.int64), kind[part].astype(np.int64), n[i : i + (1 << 16)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["head", "last", "kind", "n"])
+
+
 def _scan(blocks: DataFrame, table: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
-    """(length, id, head, last, first, n): occurrences, per block, of the phrases whose cycle includes ``step``."""
+    """(head, last, kind, n): occurrences, added up in each task, of the phrases whose cycle includes ``step``. A phrase is known by
+    the keys of what is before its last word and of that word; kind is 256 * length + first step."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = np.frombuffer(zlib.decompress(table.value), np.uint8)
+        held, size = [], 0
         for batch in batches:
             for hashes, tokens in zip(batch["hashes"], batch["tokens"]):
                 tokens = np.frombuffer(tokens.as_py(), np.int32)
                 known = np.append(hashes.values.to_numpy(zero_copy_only=False).view(np.uint64), np.uint64(0))
                 for length, key, left, last, first in _grams(known[tokens], tokens >= 0, reached, step, shards, longest):
-                    _, where, n = np.unique(key, return_index=True, return_counts=True)
-                    for i in range(0, len(where), 1 << 16):
-                        part = where[i : i + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(part), length, np.int32)),
-                                *(pa.array(x[part].view(np.int64)) for x in (key, left, last)),
-                                pa.array(first[part].astype(np.int32)),
-                                pa.array(n[i : i + (1 << 16)]),
-                            ],
-                            ["length", "id", "head", "last", "first", "n"],
-                        )
-
-    return blocks.where(F.col("shard") == step % shards).select("hashes", "tokens").mapInArrow(count, "length int, id long, head long, last long, first int, n long")
+                    held.append((key, left, last, first + np.int16(256 * length)))
+                    size += len(key)
+                if size >= GRAMS:
+                    yield from _summed(held)
+                    held, size = [], 0
+        if size:
+            yield from _summed(held)
+        held = []
+        give_back()
+
+    return blocks.where(F.col("shard") == step % shards).select("hashes", "tokens").mapInArrow(count, "head long, last long, kind long, n long")
+
+
+def _with_key(phrases: DataFrame) -> DataFrame:
+    ship_code()
+
+    @arrow_udf("long")
+    def key(head: pa.Array, last: pa.Array) -> pa.Array:
+        left, right = (x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in (head, last))
+        return pa.array(_mix(left, right).view(np.int64))
+
+    return phrases.select("*", key("head", "last").alias("id"))
 
 
 def _mark(reached: np.ndarray, step: int, *tables: DataFrame) -> int:
@@ -173,7 +198,7 @@ def _mark(reached: np.ndarray, step: int, *tables: DataFrame) -> int:
         ids = ids.unionByName(more.select("id"))
     maps = ids.groupBy(F.bitmap_bucket_number(entry).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(entry)).alias("bits"))
     new = 0
-    for row in maps.toLocalIterator():  # at most 2 ** bits bits
+    for row in maps.collect():  # at most 2 ** bits bits
         found = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")) + (row["bucket"] - 1) * 32768
         found = found[reached[found] == NEVER]
         reached[found] = step
@@ -182,7 +207,7 @@ def _mark(reached: np.ndarray, step: int, *tables: DataFrame) -> int:
 
 
 def count_phrases(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, shards: int = 4, bits: int = 24
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, shards: int = 2, bits: int = 24
 ) -> tuple[DataFrame, DataFrame]:
     """Exact counts of all phrases of up to ``longest`` words that occur ``least`` times in their language.
 
@@ -190,12 +215,14 @@ def count_phrases(
     pieces, overlaps included), single words among them; totals has lang and n, all
     occurrences of words. Null texts are empty, a null language is ``und``; languages
     without a word do not appear. No rows give no rows. Repeated rows count as often as they
-    stand there. ``shards`` and ``bits`` change time, not results.
+    stand there. ``shards`` and ``bits`` change time, not results: the counts of phrases
+    in their cycle are shuffled once per step, so more shards start longer phrases sooner and shuffle more.
     """
     spark = docs.sparkSession
     blocks = written(_blocks(docs, text_col, lang_col, shards))
     reached = np.full(1 << bits, NEVER, np.uint8)
     counted, words, found = None, None, []
+    first = F.col("kind").bitwiseAND(F.lit(255))
     step = latest = 0
     while step <= latest + shards:  # what was activated last begins at latest + 1 and needs a full cycle
         if step < shards:
@@ -206,12 +233,14 @@ def count_phrases(
         if step:
             table = spark.sparkContext.broadcast(zlib.compress(reached.tobytes(), 1))
             fresh = _scan(blocks, table, step, shards, longest)
-            live = counted.where(F.col("first") + shards > step) if counted else None
+            live = counted.where(first + shards > step) if counted else None
             both = live.unionByName(fresh) if live else fresh
-            counted = written(both.groupBy("length", "id", "head", "last", "first").agg(F.sum("n").alias("n")))
+            counted = written(both.groupBy("head", "last", "kind").agg(F.sum("n").alias("n")))
             table.destroy()
-            often.append(counted.where(F.col("n") >= least))
-            found.append(counted.where((F.col("n") >= least) & (F.col("first") + shards - 1 == step)))
+            reaching = counted.where(F.col("n") >= least)
+            reaching = written(_with_key(reaching))
+            often.append(reaching)
+            found.append(reaching.where(first + shards - 1 == step).select("id", "head", "last", F.shiftright("kind", 8).alias("length"), "n"))
         if _mark(reached, step, *often):
             latest = step
         step += 1
@@ -259,7 +288,7 @@ def collocations(
     least: int = 100,
     longest: int = LONGEST,
     top: int = 2000,
-    shards: int = 4,
+    shards: int = 2,
     bits: int = 24,
 ) -> DataFrame:
     """The strongest phrases of every language: lang, rank (from 1), phrase, a, l, r, n, score.

@@ -50,6 +50,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system (where the C library can), as workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
 def hex64(value: Column) -> Column:
     """16 lowercase hex digits of a long read as unsigned."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
@@ -90,4 +99,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-__all__ = ["BLANK", "WORD", "connected_components", "cut_lineage", "documents", "hex64", "ship_code", "table", "unused", "word_count", "words_of", "written"]
+__all__ = ["BLANK", "WORD", "connected_components", "cut_lineage", "documents", "give_back", "hex64", "ship_code", "table", "unused", "word_count", "words_of", "written"]
