@@ -13,7 +13,10 @@ and only contents that share a gram need to be compared window by window. Rows a
 per block, a few dozen to a hundred windows each in running text.
 
 Hashes are polynomial: the sum of symbol[i] * B^i modulo 2^64 over a range, moved to
-the origin and mixed; two bases make up the 128 bits that decide equality.
+the origin and mixed; two bases, each over symbols of its own, make up the 128 bits that decide equality. Modulo a
+power of two there are known sequences of 1,024 symbols and more that collide for every base, so no range may
+be that long: blocks have fewer than twice ``size`` symbols, ``size`` is at most ``WIDEST``, and the number of a
+longer word is another hash of its bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
+WIDEST = 512
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 31) - 1)
 CHUNK = 1 << 19  # bytes of text worked on at a time; a longer text is a chunk of its own
@@ -72,13 +77,15 @@ def anchors(sums: Sums, n: int, size: int, gram: int) -> np.ndarray:
 
 
 def split_blocks(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> dict[str, np.ndarray]:
-    """Blocks of the texts that end at ``bounds`` (first 0): text number, anchor, first and last
+    """Blocks of the texts (two rows of symbols) that end at ``bounds`` (first 0): text number, anchor, first and last
     window start (positions in all symbols), gram hash and content hash."""
     none = {k: np.zeros(0, np.int64) for k in ("text", "anchor", "lo", "hi")} | {k: np.zeros(0, np.uint64) for k in ("gram", "content")}
-    n = len(symbols)
+    n = symbols.shape[1]
+    if size > WIDEST:
+        raise ValueError(f"windows of more than {WIDEST} symbols")
     if n < size:
         return none
-    sums = Sums(symbols, BASES[0])
+    sums = Sums(symbols[0], BASES[0])
     anchor = anchors(sums, n, size, gram)
     ends = np.repeat(bounds[1:], np.diff(bounds))[: n - size + 1]
     whole = np.flatnonzero(np.arange(size, n + 1) <= ends)
@@ -88,7 +95,7 @@ def split_blocks(symbols: np.ndarray, bounds: np.ndarray, size: int, gram: int)
     first = np.flatnonzero(np.concatenate(([True], np.diff(anchor) != 0)))
     last = np.append(first[1:], len(whole)) - 1
     lo, hi, anchor = whole[first], whole[last], anchor[first]
-    content = Sums(symbols, BASES[1]).of(lo, hi + size)
+    content = Sums(symbols[1], BASES[1]).of(lo, hi + size)
     content = mixed(content ^ mixed(((anchor - lo) << 32 | (hi - lo)).astype(np.uint64)))
     return {
         "text": np.searchsorted(bounds, lo, "right") - 1,
@@ -105,21 +112,26 @@ _BLANKS[[9, 10, 11, 12, 13, 32]] = True
 
 
 def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each byte, and the bounds of the texts."""
+    """Two rows of a number for each byte, and the bounds of the texts."""
     table = mixed(np.arange(1, 257, dtype=np.uint64))
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
-    return table[np.frombuffer(b"".join(texts), np.uint8)], bounds
+    numbers = table[np.frombuffer(b"".join(texts), np.uint8)]
+    return np.broadcast_to(numbers, (2, len(numbers))), bounds
 
 
 def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and the bounds of the texts in words."""
+    """Two rows of a hash for each word, and the bounds of the texts in words."""
     joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     blank = _BLANKS[joined]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))
     start, end = edge[::2], edge[1::2]
-    sums = Sums(mixed(np.arange(1, 257, dtype=np.uint64))[joined], BASES[0])
+    letters = mixed(np.arange(1, 257, dtype=np.uint64))[joined]
+    hashes = np.stack([Sums(letters, base).of(start, end) for base in BASES])
+    for k in np.flatnonzero(end - start > WIDEST).tolist():
+        word = joined[start[k] : end[k]].tobytes()
+        hashes[:, k] = xxhash.xxh3_64_intdigest(word, 1), xxhash.xxh3_64_intdigest(word, 2)
     ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    return sums.of(start, end), np.concatenate(([0], np.searchsorted(start, ends))).astype(np.int64)
+    return hashes, np.concatenate(([0], np.searchsorted(start, ends))).astype(np.int64)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:

@@ -1,6 +1,6 @@
 """The Spark side of repeated passages: candidate blocks, distinct contents, the texts they need, and cutting.
 
-A document is known by its id and 128 hashed bits of its text (``tid`` and ``uid``), which
+A document is known by its id and 64 hashed bits of its text (``tid``), which
 alone tell texts apart that share an id or have none; rows that repeat both are the same
 document, returned for each row. Null ids count as the least.
 Nothing here gathers a group: frequent grams and contents are counted with partial
@@ -20,24 +20,26 @@ from ledeframe.llm import blocks as B
 from ledeframe.llm.common import ship_code, written
 
 LEAST = -(1 << 63)
-DOC = ["did", "tid", "uid"]
-DOC_SCHEMA = "did long, tid long, uid long"
+DOC = ["did", "tid"]
+DOC_SCHEMA = "did long, tid long"
+TEXT, PLACES = len(DOC), len(DOC) + 1  # columns of what the tasks read
+SPAN = 12  # bits of a block's windows beyond the first: fewer than ``blocks.WIDEST``
 Symbols = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, did, tid, uid, text: the id, the identity and the text of every row; a null text is empty.
+    """doc_id, did, tid, text: the id, the identity and the text of every row; a null text is empty.
 
     The upper half of ``tid`` is the 32-bit hash that orders the texts of an id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     did = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
     tid = F.shiftleft(F.hash(text).cast("long"), 32).bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return docs.select(F.col(id_col).alias("doc_id"), did.alias("did"), tid.alias("tid"), F.xxhash64(F.lit(1), text).alias("uid"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), did.alias("did"), tid.alias("tid"), text.alias("text"))
 
 
 def keys_of(batch: pa.RecordBatch) -> np.ndarray:
-    """The first three columns, did, tid and uid, as rows of an array."""
-    return np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]).astype(np.int64, copy=False)
+    """The first columns, did and tid, as rows of an array."""
+    return np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(DOC))]).astype(np.int64, copy=False)
 
 
 def key_columns(keys: np.ndarray) -> dict[str, pa.Array]:
@@ -53,9 +55,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, first_stays: bool) -> DataFrame:
-    """Blocks of ``rows`` (did, tid, uid, text), those without a twin in their chunk of texts.
+    """Blocks of ``rows`` (did, tid, text), those without a twin in their chunk of texts.
 
-    Columns: did, tid, uid, lo, hi (first and last window start, in symbols of the text), gram, content. Of blocks
+    Columns: did, tid, lo, hi (first and last window start, in symbols of the text), gram, content. Of blocks
     that are equal within a chunk one is kept, the first by did and place; the others'
     windows are known to be repeated and come merged as rows with a null gram, lo to
     hi then being a range to remove. Unless ``first_stays`` the kept one's is among them.
@@ -88,7 +90,7 @@ def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, fi
 
     def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = keys_of(batch), texts_of(batch.column(3))
+            keys, texts = keys_of(batch), texts_of(batch.column(TEXT))
             once = {key: k for k, key in reversed(list(enumerate(map(tuple, keys.tolist()))))}
             if len(once) < len(texts):  # rows of one document
                 rows_ = sorted(once.values())
@@ -101,37 +103,42 @@ def candidate_blocks(rows: DataFrame, symbols: Symbols, size: int, gram: int, fi
 
 def contents(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, classes): the blocks whose gram occurs in two blocks or more; and one row per distinct
-    content of them: gram, content, first (least did, tid, uid, lo, hi), copied (it has another place), and
+    content of them: gram, content, first (least did, tid, lo, hi), copied (it has another place), and
     kinds, the number of contents of its gram."""
-    own = blocks.where(F.col("gram").isNotNull())
+    at = F.shiftleft("lo", SPAN).bitwiseOR(F.col("hi") - F.col("lo")).alias("at")  # slim rows: these are shuffled
+    own = blocks.where(F.col("gram").isNotNull()).select("gram", "content", *DOC, at)
     common = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     members = written(own.join(common, "gram"))
-    place = F.struct(*DOC, "lo", "hi")
-    classes = members.groupBy("gram", "content").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("copied"))
+    lo = lambda at: F.shiftright(at, SPAN)
+    hi = lambda at: F.shiftright(at, SPAN) + F.col(at).bitwiseAND(F.lit((1 << SPAN) - 1))
+    place = F.struct(*DOC, "at")
+    classes = members.groupBy("gram", "content").agg(F.min(place).alias("place"), (F.min(place) < F.max(place)).alias("copied"))
+    first = F.struct(*[F.col(f"place.{k}").alias(k) for k in DOC], lo("place.at").alias("lo"), hi("place.at").alias("hi"))
     kinds = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    return members, written(classes.join(kinds, "gram"))
+    classes = written(classes.join(kinds, "gram")).select("gram", "content", first.alias("first"), "copied", "kinds")
+    return members.select("gram", "content", *DOC, lo("at").alias("lo"), hi("at").alias("hi")), classes
 
 
 def with_places(rows: DataFrame, places: DataFrame, name: str, how: str = "inner") -> DataFrame:
-    """``rows`` (did, tid, uid, text) with the array ``name`` of all structs that ``places`` (did, tid, uid, place) has
+    """``rows`` (did, tid, text) with the array ``name`` of all structs that ``places`` (did, tid, place) has
     for the document: as many as the text has places, however frequent their contents are."""
     lists = places.groupBy(*DOC).agg(F.collect_list("place").alias(name))
     return rows.join(lists, DOC, how)
 
 
 def first_windows(windows: DataFrame) -> DataFrame:
-    """Rows (w1, w2, did, tid, uid, at) with ``first``, the least (did, tid, uid, at) of their 128-bit hash, where it occurs again."""
+    """Rows (w1, w2, did, tid, at) with ``first``, the least (did, tid, at) of their 128-bit hash, where it occurs again."""
     first = F.min(F.struct(*DOC, "at")).alias("first")
     common = windows.groupBy("w1", "w2").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return windows.join(common, ["w1", "w2"])
 
 
 def window_rows(symbols: Symbols, size: int) -> Callable:
-    """For mapInArrow over (did, tid, uid, text, places of struct lo, hi): w1, w2, did, tid, uid, at of each window there."""
+    """For mapInArrow over (did, tid, text, places of struct lo, hi): w1, w2, did, tid, at of each window there."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, places = keys_of(batch), texts_of(batch.column(3)), batch.column(4)
+            keys, texts, places = keys_of(batch), texts_of(batch.column(TEXT)), batch.column(PLACES)
             cuts = places.offsets.to_numpy()
             lo, hi = (places.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in B.chunks(texts):
@@ -143,7 +150,7 @@ def window_rows(symbols: Symbols, size: int) -> Callable:
                 which = np.repeat(text, many)
                 at = np.repeat(lo[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())
                 start = bounds[which] + at
-                w1, w2 = (B.Sums(values, base).of(start, start + size) for base in B.BASES)
+                w1, w2 = (B.Sums(row, base).of(start, start + size) for row, base in zip(values, B.BASES))
                 for k in range(0, max(len(at), 1), 100_000):
                     s = slice(k, k + 100_000)
                     yield pa.record_batch({"w1": _signed(w1[s]), "w2": _signed(w2[s])} | key_columns(keys[i:j][which[s]]) | {"at": pa.array(at[s])})
@@ -156,13 +163,13 @@ STRETCH = 16
 
 
 def stretch_rows(symbols: Symbols, size: int, gram: int) -> Callable:
-    """For mapInArrow over (did, tid, uid, text, places of struct lo, hi): the windows of each place in stretches of
+    """For mapInArrow over (did, tid, text, places of struct lo, hi): the windows of each place in stretches of
     up to ``STRETCH``, cut at places that count from the anchor, so that equal windows fall into like stretches:
-    s1, s2 (hash of all symbols), did, tid, uid, at (of the first window) and ws, the windows' (w1, w2)."""
+    s1, s2 (hash of all symbols), did, tid, at (of the first window) and ws, the windows' (w1, w2)."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, places = keys_of(batch), texts_of(batch.column(3)), batch.column(4)
+            keys, texts, places = keys_of(batch), texts_of(batch.column(TEXT)), batch.column(PLACES)
             cuts = places.offsets.to_numpy()
             lo, hi = (places.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j in B.chunks(texts):
@@ -170,8 +177,8 @@ def stretch_rows(symbols: Symbols, size: int, gram: int) -> Callable:
                 part = slice(cuts[i], cuts[j])
                 text = np.repeat(np.arange(j - i), np.diff(cuts[i : j + 1]))
                 a, b = lo[part], hi[part]
-                sums = [B.Sums(values, base) for base in B.BASES]
-                c = B.anchors(sums[0], len(values), size, gram)[bounds[text] + a] - bounds[text]
+                sums = [B.Sums(row, base) for row, base in zip(values, B.BASES)]
+                c = B.anchors(sums[0], values.shape[1], size, gram)[bounds[text] + a] - bounds[text]
                 # Stretch k of a place holds the windows whose distance from the anchor is in [16 k, 16 k + 16).
                 first, last = (c - b) // STRETCH, (c - a) // STRETCH
                 many = last - first + 1
@@ -202,7 +209,7 @@ STRETCH_SCHEMA = f"s1 long, s2 long, {DOC_SCHEMA}, at long, ws array<struct<w1:b
 
 
 def shared_ranges(stretches: DataFrame, size: int) -> DataFrame:
-    """Ranges (did, tid, uid, start, end) of the windows of ``stretches`` that occur at another place too.
+    """Ranges (did, tid, start, end) of the windows of ``stretches`` that occur at another place too.
 
     Equal stretches are settled as a whole; of each distinct one the windows are counted once."""
     place = F.struct(*DOC, "at")
@@ -218,8 +225,8 @@ def shared_ranges(stretches: DataFrame, size: int) -> DataFrame:
 
 
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``rows`` (did, tid, uid, text) with ``ranges``, all ranges (struct start, end) that ``ranges``
-    (did, tid, uid, start, end) has for the document; an empty array without any."""
+    """``rows`` (did, tid, text) with ``ranges``, all ranges (struct start, end) that ``ranges``
+    (did, tid, start, end) has for the document; an empty array without any."""
     place = ranges.select(*DOC, F.struct("start", "end").alias("place"))
     listed = with_places(rows, place, "ranges", "left")
     return listed.withColumn("ranges", F.coalesce(F.col("ranges"), F.array().cast("array<struct<start:bigint,end:bigint>>")))

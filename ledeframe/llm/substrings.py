@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of words; later copies of a window go.
 
-Each word is a number and each window of ``size`` words a polynomial hash of them
-(two bases, 128 bits), all from running sums. Windows that cannot be repeated, because
+Each word is a pair of numbers and each window of ``size`` words a pair of polynomial hashes of them
+(128 bits), all from running sums. Windows that cannot be repeated, because
 the gram they are anchored at occurs in no other block, and blocks whose whole content
 is repeated are settled without sending their windows; the windows of the distinct
 contents left are counted in Spark, and every window that is not the first of its
@@ -28,7 +28,7 @@ GRAM = 6
 
 
 def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
-    """Ranges of words (did, tid, uid, start, end), overlapping, of windows whose words also start earlier."""
+    """Ranges of words (did, tid, start, end), overlapping, of windows whose words also start earlier."""
     rows = R.keyed(docs, id_col, text_col)
     gram = min(GRAM, size)
     blocks = R.candidate_blocks(rows, B.word_symbols, size, gram, first_stays=True)

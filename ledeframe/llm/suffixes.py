@@ -82,15 +82,15 @@ def maximal_repeats(strings: list[bytes], size: int) -> Iterator[tuple[int, np.n
 
 
 def block_strings(size: int):
-    """For mapInArrow over (did, tid, uid, text, places of struct gram, lo, hi): gram, did, tid, uid, lo, string of each."""
+    """For mapInArrow over (did, tid, text, places of struct gram, lo, hi): gram, did, tid, lo, string of each."""
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = R.keys_of(batch)
-            cuts, places = batch.column(4).offsets.to_numpy(), batch.column(4).values
+            cuts, places = batch.column(R.PLACES).offsets.to_numpy(), batch.column(R.PLACES).values
             gram, lo, hi = (places.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             owner = np.repeat(np.arange(len(keys)), np.diff(cuts))
-            texts = R.texts_of(batch.column(3))
+            texts = R.texts_of(batch.column(R.TEXT))
             gram, lo, hi = (x[cuts[0] : cuts[-1]] for x in (gram, lo, hi))
             for i in range(0, len(owner), 20_000):
                 s = slice(i, i + 20_000)
@@ -101,7 +101,7 @@ def block_strings(size: int):
 
 
 def occurrences(size: int):
-    """For mapInArrow over (bucket of struct did, tid, uid, lo, string): repeat, did, tid, uid, start, end, one row per
+    """For mapInArrow over (bucket of struct did, tid, lo, string): repeat, did, tid, start, end, one row per
     occurrence of a maximal repeat; ``repeat`` numbers the repeats within their batch."""
 
     def of(rows: list[list[dict]]) -> pa.RecordBatch:
@@ -136,7 +136,7 @@ def occurrences(size: int):
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 200) -> DataFrame:
-    """Ranges of bytes (did, tid, uid, start, end), overlapping, of strings of ``size`` bytes or more that occur twice."""
+    """Ranges of bytes (did, tid, start, end), overlapping, of strings of ``size`` bytes or more that occur twice."""
     ship_code()
     rows = R.keyed(docs, id_col, text_col)
     gram = max(1, size // 2)

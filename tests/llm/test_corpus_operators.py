@@ -652,3 +652,20 @@ def test_pipeline_stages_take_odd_rows(spark, odd, none):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count()
     assert isinstance(last.schema["ids"].dataType, T.ArrayType)
+
+
+def test_long_words_that_fool_sums_modulo_a_power_of_two(spark):
+    """A Thue-Morse word of 1,024 letters and its letter swap have one polynomial hash to any base modulo 2^64."""
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(swap)
+    rest = " ".join(f"w{i}" for i in range(20))
+    for k in (1, 4):  # also as words of 4,096 letters
+        rows = [(1, f"{rest} {word * k}"), (2, f"{rest[::-1]} {word.translate(swap) * k}"), (3, f"x {word * k} {rest}"), (4, f"x {word.translate(swap) * k} {rest}")]
+        got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), size=20).collect()}
+        assert got == {1: 0, 2: 0, 3: 20, 4: 20}
+        pair = [(1, f"{word * k} {rest[:60]}"), (2, f"{word.translate(swap) * k} {rest[:60]}")]
+        n = len(rest[:60].split()) + 1
+        got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame(pair, "doc_id long, text string"), size=n).collect()}
+        assert got == {1: 0, 2: 0}
