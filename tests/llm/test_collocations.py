@@ -94,3 +94,24 @@ def test_tables_of_any_size(spark):
         found = {tuple(r["words"]): r["n"] for r in phrases.collect()}
         assert found == {("a",): 10, ("b",): 10, ("c",): 7, ("x",): 50, ("a", "b"): 10, ("b", "c"): 7, ("a", "b", "c"): 7}
         assert [tuple(r) for r in totals.collect()] == [("en", 77)]
+
+
+def test_entries_shared_by_phrases(spark):
+    """A phrase whose entry another one set early is counted for a full cycle all the same, and so are longer ones."""
+    rnd = random.Random(0)
+    vocab, rows = [f"w{i}" for i in range(60)], []
+    for _ in range(150):
+        words = []
+        for _ in range(rnd.randint(0, 40)):
+            words += rnd.choices(vocab, weights=[1 / (j + 1) for j in range(60)])
+            words += ["new", "york", "city", "hall", "x"] if rnd.random() < 0.15 else []
+        rows.append((" ".join(words), rnd.choice(["en", "de", None])))
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in C.collocations(df, least=5, shards=2, bits=8).collect()) == brute(rows, 5)
+
+
+def test_languages_that_end_like_words(spark):
+    """A language's name and a word are told apart wherever zero bytes stand in them."""
+    rows = [("b\x00c d", "a")] * 6 + [("c d", "a\x00b")] * 7
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(tuple(r) for r in C.collocations(df, least=5, bits=16).collect()) == brute(rows, 5)
