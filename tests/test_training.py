@@ -103,6 +103,24 @@ def test_minibatches_by_hand_and_for_any_partitioning(spark, feats, size, k):
         assert np.allclose([r["train_loss"] for r in res.log], losses, atol=1e-10)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 1000])
+def test_steps_run_in_stretches(feats, monkeypatch, steps):
+    """A job runs a stretch of steps, not one; how many makes no difference to the result."""
+    from ledeframe.operators.order import shuffled_batches
+
+    cfg = T.BatchConfig(max_epochs=2, lr=0.3, l2=0.02, batch_size=16, accumulate=3, patience=9, run_id="m")
+    order = {e: [r["doc_id"] for r in shuffled_batches(feats.where("split = 'train'"), "doc_id", 16, e, cfg.seed).orderBy("position").collect()] for e in (1, 2)}
+    w, losses = by_hand(rows(300), cfg, order)
+    passes, plain = [], B.block_pass
+    monkeypatch.setattr(T, "block_pass", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    if steps < 1000:
+        monkeypatch.setattr(T, "STRETCH", steps * 16 * 3 * DIM)
+    res = T.train_minibatches(feats, "doc_id", DIM, cfg)
+    assert np.allclose([*res.weights[-1][0], res.weights[-1][1]], w, atol=1e-10)
+    assert np.allclose([r["train_loss"] for r in res.log], losses, atol=1e-10)
+    assert steps == 1 or len(passes) == 2  # the validation rows, once per epoch
+
+
 def test_the_gradient_of_the_hidden_layer(spark):
     """Against differences of the loss."""
     data = rows(40, seed=3, val=0.0)
