@@ -216,3 +216,22 @@ def test_encoding_keeps_every_row_and_its_columns(spark):
     assert out.columns == ["doc_id", "text", "ids_text", "ids"]
     want = [(1, "a b", "p", [2, 3]), (1, "a b", "q", [2, 3]), (1, "b", "r", [3]), (None, "a", "s", [2]), (2, "", "t", []), (2, None, "u", []), (1, "a b", "p", [2, 3])]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+# ---- A2 / J4 ------------------------------------------------------------------------
+
+
+def test_partitions_grow_with_the_documents(spark, monkeypatch):
+    from ledeframe.operators import vocab as V
+
+    rows = [(i % 290 if i % 7 else None, " ".join(f"w{(i * k) % 13}" for k in range(i % 9))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab = V.vocab_top_n(df, 9)
+    run = lambda: (V.word_counts(df).drop("first_pos"), V.token_to_id(df, vocab, 9))
+    flat = lambda frames: [sorted(map(str, f.collect())) for f in frames]
+    plain = flat(run())
+    monkeypatch.setattr(V, "ROWS", 10)
+    frames = run()
+    for f in frames:
+        assert "], 30\n" in f._jdf.queryExecution().optimizedPlan().toString()
+    assert flat(frames) == plain
