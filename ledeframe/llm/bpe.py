@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ledeframe.llm.common import ship_code
+from ledeframe.llm.common import give_back, ship_code
 
 REMEMBER = 300_000  # words or pieces a task keeps encoded
-TEXTS = 3 << 21  # characters of text whose new words are encoded together
+TEXTS = 3 << 20  # characters of text whose new words are encoded together
 SLAB = 1 << 20  # bytes of distinct pieces that are replayed together
 
 
@@ -269,6 +269,10 @@ def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str, text_col: str =
                     rows, size = [], 0
                     if len(encoder.numbers) > REMEMBER:
                         encoder.forget()
+                    text = ids = lengths = ends = None
+                    give_back()  # what learning took, beside what is remembered
+        batch = encoder = None
+        give_back()
 
     return docs.withColumn(out, ids_of(F.col(text_col).cast("string")))
 
@@ -300,5 +304,8 @@ def decode(docs: DataFrame, vocabulary: Broadcast, ids_col: str = "ids", out: st
                 ends = np.concatenate(([0], np.cumsum(lengths)))[rows[i : j + 1] - rows[i]]
                 joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(text)])
                 yield pc.if_else(valid[i:j], joined.cast(pa.binary()), None)
+            batch = valid = rows = ids = own = text = lengths = ends = joined = None
+        ranks = tokens = flat = bounds = known = None
+        give_back()
 
     return docs.withColumn(out, bytes_of(F.col(ids_col)))

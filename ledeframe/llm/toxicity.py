@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ledeframe.llm.common import ship_code
+from ledeframe.llm.common import give_back, ship_code
 
 GRAM, SPAN, DECAY = 4, 7, 0.5
 WINDOW = 16  # bytes at which the sequences of a window start
@@ -304,6 +304,8 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col:
                 values.append(highest([t or b"" for t in batch[i : i + 1000].cast(pa.binary()).to_pylist()], weights))
             top = np.concatenate(values) if values else np.zeros(0)
             yield pa.array(1 / (1 + np.exp(-np.clip(slope * top + offset, -60, 60))))
+            batch = values = top = None
+        give_back()
 
     return docs.withColumn(out, score(F.col(text_col).cast("string")))
 

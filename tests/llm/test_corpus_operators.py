@@ -669,3 +669,20 @@ def test_long_words_that_fool_sums_modulo_a_power_of_two(spark):
         n = len(rest[:60].split()) + 1
         got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame(pair, "doc_id long, text string"), size=n).collect()}
         assert got == {1: 0, 2: 0}
+
+
+def test_workers_give_memory_back(spark, small, monkeypatch, tmp_path):
+    """pipeline: Python workers live on between tasks, so what a task took must not stay with them."""
+    docs = small.select("doc_id", "text").limit(40).repartition(2)
+    vocabulary = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    model = toxicity.fit([b"an awful idiot"] * 3, [b"good day"] * 9)
+    encoded = spark.createDataFrame(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, "text", "ids", spaced=True).collect(), "doc_id long, text string, ids array<int>")
+    for name, module, run in (
+        ("encode", bpe, lambda: bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, "text", "ids", spaced=True)),
+        ("decode", bpe, lambda: bpe.decode(encoded, vocabulary, "ids", "decoded")),
+        ("score", toxicity, lambda: toxicity.toxicity(docs, model, "text", "score")),
+    ):
+        path = str(tmp_path / name)
+        monkeypatch.setattr(module, "give_back", lambda path=path: open(path, "a").write("x"))
+        assert len(run().collect()) == 40
+        assert open(path).read()
