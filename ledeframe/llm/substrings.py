@@ -39,7 +39,9 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = members.join(copied, ["gram", "content"]).where(F.struct(*R.DOC, "lo") > F.struct(*first, "first.lo"))
     later = later.select(*R.DOC, F.col("lo").alias("start"), (F.col("hi") + size).alias("end"))
     open_ = classes.where("kinds > 1").select(*first, F.struct("first.lo", "first.hi").alias("place"))
-    windows = R.with_places(rows.drop("doc_id"), open_, "places").mapInArrow(R.window_rows(B.word_symbols, size), R.WINDOW_SCHEMA)
+    # doc_id comes along unread, last: these are the columns that ``remove_repeats`` shuffles, so the texts are shuffled once.
+    placed = R.with_places(rows, open_, "places").select(*R.DOC, "text", "places", "doc_id")
+    windows = placed.mapInArrow(R.window_rows(B.word_symbols, size), R.WINDOW_SCHEMA)
     repeated = R.first_windows(windows).where(F.struct(*R.DOC, "at") > F.col("first"))
     return local.unionByName(later).unionByName(repeated.select(*R.DOC, F.col("at").alias("start"), (F.col("at") + size).alias("end")))
 
